@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from perkwise.functions.numbers import round_exact
 from perkwise.functions.stemming import porter_stem
@@ -75,15 +75,14 @@ def bleu_counts(
         key, metric_tokens(F.col(generated)).alias("_gen"), metric_tokens(F.col(reference)).alias("_ref")
     ).repartition(key)
 
+    def entry(order: int, flag: int):
+        return lambda gram: F.struct(
+            F.lit(order).alias("order"), gram.alias("gram"), F.lit(flag).alias("generated")
+        )
+
     def side(column: str, flag: int) -> list[Column]:
         return [
-            F.transform(
-                _ngrams(F.col(column), n),
-                lambda gram, n=n: F.struct(
-                    F.lit(n).alias("order"), gram.alias("gram"), F.lit(flag).alias("generated")
-                ),
-            )
-            for n in range(1, max_order + 1)
+            F.transform(_ngrams(F.col(column), n), entry(n, flag)) for n in range(1, max_order + 1)
         ]
 
     grams = tokens.select(
@@ -147,12 +146,12 @@ def _common_length(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _lcs(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([_common_length(list(a), list(b)) for a, b in zip(left, right)])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stemmed(tokens: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
 

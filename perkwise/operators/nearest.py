@@ -8,14 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from perkwise.operators.keyed import top_k
 
 # A catalogue up to this many numbers (64 MB as doubles) is broadcast; a larger one is joined by blocks.
 BROADCAST_NUMBERS = 8_000_000
 # Rows of queries and of catalogue that meet in one block task.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 50_000
 # Similarities are compared to nine digits, so equal vectors tie whatever the order of additions.
 DIGITS = 9
 
@@ -108,10 +108,9 @@ def _block_join(
         "id", "embedding", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"),
         F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).cast("bigint").alias("strip"),
     )
-    partial = left.groupBy("part", "strip").cogroup(right.groupBy("part", "strip")).applyInPandas(
+    return left.groupBy("part", "strip").cogroup(right.groupBy("part", "strip")).applyInPandas(
         _search_group(k, cosine), _NEIGHBOURS
     )
-    return partial
 
 
 def nearest(
@@ -167,22 +166,26 @@ def nearest_approximate(
     becomes many bounded tasks.
     """
     cosine = metric != "dot"
-    n_catalogue, n_queries = catalogue.count(), queries.count()
-    share = min(1.0, training_rows / max(n_catalogue, 1))
+    share = min(1.0, training_rows / max(catalogue.count(), 1))
     sample = catalogue.sample(share, seed) if share < 1.0 else catalogue  # only trains the centres
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features").fit(
         sample.select(array_to_vector("embedding").alias("features"))
     )
-    # Enough slices that even a cell holding everything is cut to blocks.
-    parts = max(1, -(-n_catalogue // block_rows))
-    strips = max(1, -(-n_queries // block_rows))
-    left = _cells(queries, model, "query_id", probes).select(
-        "query_id", "embedding", "cell", F.pmod(F.xxhash64("query_id"), F.lit(strips)).alias("strip"),
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("bigint").alias("part"),
+    routed = _cells(queries, model, "query_id", probes)
+    stored = _cells(catalogue, model, "id", 1)
+
+    def pieces(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias(name))
+
+    # One row per cell: how many pieces each side of it is cut into.
+    plan = F.broadcast(pieces(stored, "parts").join(pieces(routed, "strips"), "cell"))
+    left = routed.join(plan, "cell").select(
+        "query_id", "embedding", "cell", F.pmod(F.xxhash64("query_id"), F.col("strips")).alias("strip"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"),
     )
-    right = _cells(catalogue, model, "id", 1).select(
-        "id", "embedding", "cell", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"),
-        F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).cast("bigint").alias("strip"),
+    right = stored.join(plan, "cell").select(
+        "id", "embedding", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("strips") - 1)).alias("strip"),
     )
     keys = ["cell", "part", "strip"]
     partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
