@@ -1,0 +1,45 @@
+"""Streaming queries, each equal to its batch form."""
+
+from pyspark.sql import functions as F
+
+from checks import query, sql
+from perkwise import schemas
+from perkwise.session import scratch_path
+from perkwise.sources import sample_tables as st
+from perkwise.streaming import feeds
+
+
+def _feed(spark, frame, schema, name):
+    path = scratch_path(spark, name)
+    frame.write.parquet(path)
+    return feeds.read_feed(spark, path, schema)
+
+
+@query("str1_stream_feedback_events", f"""SELECT * FROM {sql.FEEDBACK_EVENTS}
+  WHERE event_type IN ('click', 'redeem', 'ignore', 'unsubscribe')""")
+def stream_feedback_events(spark, d):
+    rows = st.feedback_events(spark, d)
+    # Every event arrives twice.
+    stream = _feed(spark, rows.unionByName(rows), schemas.FEEDBACK_EVENTS, "feedback-events")
+    return feeds.run_once(feeds.ingest_feedback_events(stream, st.REFERENCE_TS), "ingested")
+
+
+@query("str2_rolling_feedback_stats", f"""SELECT w AS window_start, w + INTERVAL 7 DAY AS window_end,
+  CAST(sum(rating) AS BIGINT) AS rating_sum, count(*) FILTER (WHERE thumbs = 'up') AS ups, count(*) AS record_count
+  FROM (SELECT *, unnest(generate_series(date_trunc('day', created_at)::TIMESTAMP - INTERVAL 6 DAY,
+    date_trunc('day', created_at)::TIMESTAMP, INTERVAL 1 DAY)) AS w FROM {sql.FEEDBACK})
+  WHERE w + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY w""")
+def rolling_feedback_stats(spark, d):
+    stream = _feed(spark, st.feedback(spark, d), schemas.FEEDBACK, "ratings")
+    return feeds.run_once(feeds.rolling_feedback_stats(stream), "rolling")
+
+
+@query("str3_stream_call_metrics", f"""SELECT date_trunc('minute', created_at)::TIMESTAMP AS window_start, model, count(*) AS calls,
+  round(sum(latency_ms), 4) AS latency_sum, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
+  CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens FROM {sql.CALLS}
+  WHERE date_trunc('minute', created_at)::TIMESTAMP + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 5 MINUTE FROM events)
+  GROUP BY 1, 2""")
+def stream_call_metrics(spark, d):
+    stream = _feed(spark, st.llm_calls(spark, d), schemas.LLM_CALLS, "calls")
+    out = feeds.run_once(feeds.call_metrics(stream), "call-metrics")
+    return out.withColumn("latency_sum", F.round("latency_sum", 4))

@@ -106,7 +106,7 @@ def _block_join(
     )
     right = catalogue.select(
         "id", "embedding", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"),
-        F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).cast("bigint").alias("strip"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(strips - 1).cast("bigint"))).alias("strip"),
     )
     return left.groupBy("part", "strip").cogroup(right.groupBy("part", "strip")).applyInPandas(
         _search_group(k, cosine), _NEIGHBOURS

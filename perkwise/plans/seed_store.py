@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from perkwise.operators.features import compute_features
 from perkwise.operators.store import read_store, write_version
-from perkwise.session import scratch_path
+from perkwise.session import stage
 
 
 def seed(events: DataFrame, store_path: str, version: str, reference_ts: str, written_at: str) -> DataFrame:
@@ -16,8 +16,6 @@ def seed(events: DataFrame, store_path: str, version: str, reference_ts: str, wr
     write read one row per customer instead of computing them from the events twice.
     """
     spark = events.sparkSession
-    staged = scratch_path(spark, "features")
-    features = compute_features(events, reference_ts)
-    features.write.parquet(staged)
-    write_version(spark.read.schema(features.schema).parquet(staged), store_path, version, written_at)
+    features = stage(compute_features(events, reference_ts), "features")
+    write_version(features, store_path, version, written_at)
     return read_store(spark, store_path)

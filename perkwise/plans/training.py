@@ -13,6 +13,7 @@ from perkwise.operators.propensity import (
     threshold_metrics,
 )
 from perkwise.operators.store import newest_version
+from perkwise.session import stage
 
 EPOCHS = 20
 PATIENCE = 3
@@ -38,7 +39,8 @@ class Trained:
 def training_rows(stored: DataFrame) -> DataFrame:
     """The newest stored version with label, vector and split. Training is strict about channels."""
     labelled = newest_version(stored).withColumn("label", label(F.col("offer_redemption_rate")))
-    return stratified_split(feature_matrix(labelled, strict=True))
+    # Fitting passes over the rows many times.
+    return stage(stratified_split(feature_matrix(labelled, strict=True)), "training")
 
 
 def with_staged_scores(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
@@ -87,6 +89,7 @@ def train(stored: DataFrame, epochs: int = EPOCHS, depth: int = 4, seed: int = 4
     model = GBTClassifier(maxIter=epochs, maxDepth=depth, seed=seed, stepSize=0.1).fit(fit_on)
     staged = with_staged_scores(model, rows.filter("split <> 'train'"))
     metrics = epoch_metrics(staged, ("split",)).withColumn("run", F.lit(version))
+    metrics = stage(metrics, "epochs")
     validation = metrics.filter("split = 'validation'").select("epoch", "roc_auc").orderBy("epoch").collect()
     best, last = best_epoch([r["roc_auc"] or 0.0 for r in validation])
     return Trained(model, best, metrics.filter(F.col("epoch") <= last), version=version)
