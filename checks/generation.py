@@ -8,6 +8,7 @@ from perkwise.operators.features import compute_features
 from perkwise.operators.retrieval import embed_hashed
 from perkwise.plans.recommend import recommend
 from perkwise.plans.training import train
+from perkwise.session import stage
 from perkwise.sources import sample_tables as st
 
 
@@ -191,7 +192,7 @@ _CUSTOMER_QUERIES = f"""(SELECT customer_id AS query_id, engagement_score AS pro
     FROM (SELECT *, propensity >= min_propensity_threshold AS ok FROM {sql.neighbours(queries=_CUSTOMER_QUERIES)} WHERE rank <= 5)
   ) b ON b.query_id = f.customer_id AND b.place = 1 WHERE f.customer_id IN {_WANTED}""")
 def recommendations(spark, d):
-    features = _features(spark, d)
+    features = stage(_features(spark, d), "features")
     scores = features.select(
         "customer_id", F.col("engagement_score").alias("propensity_score"),
         (F.col("engagement_score") >= 0.5).cast("int").alias("label"),
@@ -217,7 +218,7 @@ def customers_without_features(spark, d):
 
 @query("gen12_recommendations_with_model")
 def recommendations_with_model(spark, d):
-    features = _features(spark, d)
+    features = stage(_features(spark, d), "features")
     scores = train(st.stored_features(spark, d), epochs=5).score(features)
     contexts = features.select("customer_id", pr.context_string(features).alias("text"))
     vectors = embed_hashed(contexts).select("customer_id", "embedding")

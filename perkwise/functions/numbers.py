@@ -40,7 +40,7 @@ def ratio(numerator: Column, denominator: Column, default: float = 0.0) -> Colum
 
 def minmax(col: Column, low: Column, high: Column) -> Column:
     """Scale to [0, 1]; a constant column becomes zeros."""
-    return F.when(high == low, F.lit(0.0)).otherwise((col - low) / (high - low))
+    return F.coalesce((col - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
 
 
 def clip(col: Column, low: float, high: float) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from perkwise.functions.numbers import clip, minmax, ratio, round_scaled
+from perkwise.functions.numbers import minmax, ratio, round_scaled
 
 # Weights of the engagement score.
 ENGAGEMENT_WEIGHTS = {
@@ -34,22 +34,33 @@ def elapsed_days(ts: Column, reference_ts: str) -> Column:
 
 
 def rfm(events: DataFrame, reference_ts: str) -> DataFrame:
-    """One row per customer from a single pass over the events (null customers are dropped)."""
+    """One row per customer from a single pass over the events (null customers are dropped).
+
+    Counting per customer and channel first makes the modal channel a comparison of a few counts,
+    and keeps both aggregations free of per-customer value maps.
+    """
     ts, kind = F.col("timestamp"), F.col("event_type")
     is_recent_purchase = (kind == "purchase") & (ts >= days_before(reference_ts, 90))
     amount = F.when(is_recent_purchase, F.nanvl(F.col("amount"), F.lit(None).cast("double")))
-    grouped = (
+    per_channel = (
         events.filter(F.col("customer_id").isNotNull())
-        .groupBy("customer_id")
+        .groupBy("customer_id", "channel")
         .agg(
             F.max(ts).alias("_last"),
             F.count_if(ts >= days_before(reference_ts, 30)).alias("_recent"),
             F.sum(amount).alias("_spend"),
             F.count_if(kind == "offer_view").alias("_views"),
             F.count_if(kind == "redeem").alias("_redeems"),
-            F.mode("channel", deterministic=True).alias("channel_preference"),
+            F.count(F.lit(1)).alias("_events"),
         )
     )
+    # Most frequent first, ties by name; a missing channel comes after every known one.
+    preference = F.struct(F.col("channel").isNull(), -F.col("_events"), F.col("channel"))
+    grouped = per_channel.groupBy("customer_id").agg(
+        F.max("_last").alias("_last"),
+        *[F.sum(c).alias(c) for c in ("_recent", "_spend", "_views", "_redeems")],
+        F.min_by("channel", preference).alias("channel_preference"),
+    )
     return grouped.select(
         "customer_id",
         F.coalesce(elapsed_days(F.col("_last"), reference_ts), F.lit(0)).alias("recency_days"),
@@ -69,7 +80,7 @@ def _scaled(features: DataFrame) -> dict[str, Column]:
             # Touching the remaining columns keeps both aggregations identical,
             # so the exchange below them is computed once and reused.
             F.max("recency_days").alias("recency_high"),
-            F.max("channel_preference").alias("channel_high"),
+            F.count("channel_preference").alias("with_channel"),
         ).alias("limits")
     ).scalar()
     return {
@@ -91,7 +102,7 @@ def with_engagement(features: DataFrame) -> DataFrame:
     for name, col in _scaled(features).items():
         term = col * F.lit(ENGAGEMENT_WEIGHTS[name])
         score = term if score is None else score + term
-    return features.withColumn("engagement_score", round_scaled(clip(score, 0.0, 1.0), 6))
+    return features.withColumn("engagement_score", round_scaled(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)), 6))
 
 
 def compute_features(events: DataFrame, reference_ts: str) -> DataFrame:

@@ -19,7 +19,7 @@ BLOCK_ROWS = 50_000
 # Similarities are compared to nine digits, so equal vectors tie whatever the order of additions.
 DIGITS = 9
 
-_NEIGHBOURS = "query_id string, id string, score double"
+_NEIGHBOURS = "query_id string, id string, score double, rank int"
 
 
 def _matrix(vectors: pd.Series, cosine: bool) -> np.ndarray:
@@ -41,6 +41,7 @@ def _best(query_ids, queries: np.ndarray, ids: np.ndarray, catalogue: np.ndarray
         "query_id": np.repeat(np.asarray(query_ids, dtype=object), k),
         "id": ids[picked].ravel(),
         "score": np.take_along_axis(scores, picked, axis=1).ravel(),
+        "rank": np.tile(np.arange(1, k + 1, dtype=np.int32), len(scores)),
     })
 
 
@@ -78,7 +79,7 @@ def _broadcast_join(queries: DataFrame, catalogue: DataFrame, k: int, cosine: bo
 def _search_group(k: int, cosine: bool):
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "id": [], "score": [], "rank": []})
         right = right.sort_values("id", kind="stable")
         ids, matrix = right["id"].to_numpy(dtype=object), _matrix(right["embedding"], cosine)
         return pd.concat([
@@ -90,14 +91,15 @@ def _search_group(k: int, cosine: bool):
 
 
 def _merge(partial: DataFrame, k: int) -> DataFrame:
-    return top_k(partial, ["query_id"], [F.desc("score"), F.asc("id")], k)
+    """The best k per query of the answers of several blocks."""
+    return top_k(partial.drop("rank"), ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
 def _block_join(
     queries: DataFrame, catalogue: DataFrame, k: int, cosine: bool, block_rows: int
 ) -> DataFrame:
     """Exact join of two large sides: each pair of blocks meets in one bounded task, which keeps only
-    its k best per query; the partial answers are then merged."""
+    its k best per query."""
     parts = max(1, -(-catalogue.count() // block_rows))
     strips = max(1, -(-queries.count() // block_rows))
     left = queries.select(
@@ -126,10 +128,10 @@ def nearest(
         raise ValueError(f"unknown metric {metric!r}")
     cosine = metric != "dot"
     if _fits(catalogue, broadcast_numbers):
-        found = _broadcast_join(queries, catalogue, k, cosine)
+        # A query meets the whole catalogue in one task, so its answer needs no shuffle.
+        ranked = _broadcast_join(queries, catalogue, k, cosine)
     else:
-        found = _block_join(queries, catalogue, k, cosine, block_rows)
-    ranked = _merge(found, k)
+        ranked = _merge(_block_join(queries, catalogue, k, cosine, block_rows), k)
     if metric == "distance":
         ranked = ranked.withColumn("score", F.round(F.lit(1.0) - F.col("score"), DIGITS))
     return ranked

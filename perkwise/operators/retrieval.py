@@ -88,14 +88,30 @@ def count_indexed(existing: DataFrame) -> DataFrame:
     return existing.agg(F.count(F.lit(1)).alias("indexed"))
 
 
-def _with_offer(found: DataFrame, offers: DataFrame) -> DataFrame:
-    # The offer attributes travel without the vectors.
-    details = offers.select("id", "title", "description", "category", "min_propensity_threshold")
-    return found.join(details, "id")
+def _judged(found: DataFrame, queries: DataFrame, offers: DataFrame) -> DataFrame:
+    """Neighbours with ``eligible``: the propensity reaches the offer's threshold (0 when missing).
+
+    Only ids and numbers travel here; titles and texts are joined to the final rows.
+    """
+    thresholds = offers.select("id", F.coalesce("min_propensity_threshold", F.lit(0.0)).alias("_minimum"))
+    return (
+        found.join(thresholds, "id")
+        .join(queries.select("query_id", "propensity"), "query_id")
+        .select("query_id", "id", "score", "rank", (F.col("propensity") >= F.col("_minimum")).alias("eligible"))
+    )
 
 
-def _eligible() -> Column:
-    return F.col("propensity") >= F.coalesce("min_propensity_threshold", F.lit(0.0))
+def _first(kept: DataFrame, k: int) -> DataFrame:
+    place = Window.partitionBy("query_id").orderBy("rank")
+    return kept.withColumn("position", F.row_number().over(place)).filter(F.col("position") <= k)
+
+
+def _described(rows: DataFrame, offers: DataFrame, score: Column) -> DataFrame:
+    details = offers.select("id", "title", "description", "category")
+    return rows.join(details, "id").select(
+        "query_id", "position", F.col("id").alias("offer_id"), "title", "description", "category",
+        score.alias("score"),
+    )
 
 
 def retrieve(
@@ -104,43 +120,21 @@ def retrieve(
     """Offers per query (query_id, embedding, propensity): the nearest 4k, less those whose
     threshold exceeds the propensity, then the first k. A query may end up with fewer than k."""
     found = neighbours(queries, offers, k * OVERFETCH, metric=metric)
-    kept = (
-        _with_offer(found, offers)
-        .join(queries.select("query_id", "propensity"), "query_id")
-        .filter(_eligible())
-    )
-    place = Window.partitionBy("query_id").orderBy("rank")
-    return (
-        kept.withColumn("position", F.row_number().over(place))
-        .filter(F.col("position") <= k)
-        .select("query_id", "position", F.col("id").alias("offer_id"), "title", "description", "category", "score")
-    )
+    kept = _judged(found, queries, offers).filter("eligible")
+    return _described(_first(kept, k), offers, F.col("score"))
 
 
 def retrieve_or_all(queries: DataFrame, offers: DataFrame, k: int = TOP_K, neighbours=nearest) -> DataFrame:
-    """The nearest k offers a query is eligible for, or all of them when it is eligible for none.
+    """The nearest offers a query is eligible for, or all of them when it is eligible for none.
 
     The score is 1 / (1 + original place).
     """
-    found = neighbours(queries, offers, TOP_K, metric="cosine")
-    rows = (
-        _with_offer(found, offers)
-        .join(queries.select("query_id", "propensity"), "query_id")
-        .withColumn("_eligible", _eligible())
-    )
+    judged = _judged(neighbours(queries, offers, TOP_K, metric="cosine"), queries, offers)
     whole = Window.partitionBy("query_id")
-    kept = rows.withColumn("_any", F.max("_eligible").over(whole)).filter(
-        F.col("_eligible") | ~F.col("_any")
-    )
-    place = Window.partitionBy("query_id").orderBy("rank")
-    return (
-        kept.withColumn("position", F.row_number().over(place))
-        .filter(F.col("position") <= k)
-        .select(
-            "query_id", "position", F.col("id").alias("offer_id"), "title", "description", "category",
-            (F.lit(1.0) / F.col("rank")).alias("score"),
-        )
+    kept = judged.withColumn("_any", F.max("eligible").over(whole)).filter(
+        F.col("eligible") | ~F.col("_any")
     )
+    return _described(_first(kept, k), offers, F.lit(1.0) / F.col("rank"))
 
 
 def with_fallback(customers: DataFrame, retrieved: DataFrame, key: str = "query_id") -> DataFrame:

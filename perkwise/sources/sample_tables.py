@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from perkwise.operators.ingest import encode_items
-from perkwise.operators.store import FEATURE_COLUMNS
+from perkwise.operators.features import compute_features
+from perkwise.operators.store import FEATURE_COLUMNS, read_store
+from perkwise.session import scratch_path
 
 REFERENCE_TS = "2024-02-15 00:00:00"
 # The same events seen at three moments give three versions of the feature store.
@@ -295,17 +296,10 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three versions of the features, as the store would hold them."""
-    from perkwise.operators.features import compute_features
-
-    parts = [
-        compute_features(loyalty_events(spark, sf_dir), moment)
-        .select("customer_id", *FEATURE_COLUMNS)
-        .withColumn("written_at", F.lit(moment).cast("timestamp"))
-        .withColumn("version", F.lit(version))
-        for version, moment in VERSION_TIMES.items()
-    ]
-    stored = parts[0]
-    for part in parts[1:]:
-        stored = stored.unionByName(part)
-    return stored
+    """Three versions of the features, written to and read back from a store."""
+    path = scratch_path(spark, "store")
+    for version, moment in VERSION_TIMES.items():
+        compute_features(loyalty_events(spark, sf_dir), moment).select(
+            "customer_id", *FEATURE_COLUMNS, F.lit(moment).cast("timestamp").alias("written_at")
+        ).write.parquet(f"{path}/version={version}")
+    return read_store(spark, path)
