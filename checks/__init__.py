@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# As in the package: code for Python workers travels by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 

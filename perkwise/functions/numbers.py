@@ -10,14 +10,38 @@ def clean(col: Column) -> Column:
     return F.when(F.isnan(col), F.lit(None)).otherwise(col)
 
 
-def fixed_text(col: Column, digits: int) -> Column:
-    """``format(x, '.Nf')``: DecimalFormat rounds the exact binary value half-even, as Python does."""
-    return F.replace(F.format_number(col.cast("double"), digits), F.lit(","), F.lit(""))
+_SPLITTER = 134217729.0  # 2**27 + 1
+
+
+def _halves(x):
+    """A double as the sum of two with half the digits each (Veltkamp)."""
+    high = x * _SPLITTER - (x * _SPLITTER - x)
+    return high, x - high
 
 
 def round_exact(col: Column, digits: int) -> Column:
-    """Python's ``round(x, digits)``."""
-    return fixed_text(col, digits).cast("double")
+    """Python's ``round(x, digits)``: half-even on the exact binary value.
+
+    Scaling may land on a tie that the exact value misses; the error of the product (Dekker) tells
+    on which side it lies.
+    """
+    scale = float(10**digits)
+    x = col.cast("double")
+    product = x * F.lit(scale)
+    (high, low), (scale_high, scale_low) = _halves(x), _halves(scale)
+    error = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
+    nearest = F.rint(product)
+    tie = F.abs(product - nearest) == 0.5
+    whole = (
+        F.when(tie & (error > 0), product + 0.5).when(tie & (error < 0), product - 0.5).otherwise(nearest)
+    )
+    # Beyond 2**52 a double has no fraction left to round.
+    return F.when(F.abs(product) < 4503599627370496.0, whole / F.lit(scale)).otherwise(x)
+
+
+def fixed_text(col: Column, digits: int) -> Column:
+    """``format(x, '.Nf')``. The rounded value has no more than the wanted digits, so its text is exact."""
+    return F.replace(F.format_number(round_exact(col, digits), digits), F.lit(","), F.lit(""))
 
 
 def round_scaled(col: Column, digits: int) -> Column:

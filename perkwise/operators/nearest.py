@@ -79,13 +79,18 @@ def _broadcast_join(queries: DataFrame, catalogue: DataFrame, k: int, cosine: bo
 def _search_group(k: int, cosine: bool):
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": [], "rank": []})
+            return pd.DataFrame({
+                "query_id": np.empty(0, object), "id": np.empty(0, object),
+                "score": np.empty(0), "rank": np.empty(0, np.int32),
+            })
         right = right.sort_values("id", kind="stable")
         ids, matrix = right["id"].to_numpy(dtype=object), _matrix(right["embedding"], cosine)
-        return pd.concat([
+        found = pd.concat([
             _best(part["query_id"], _matrix(part["embedding"], cosine), ids, matrix, k)
             for part in _slices(left, len(ids))
         ])
+        # Text gathered from several Arrow batches is chunked, which Spark does not take back.
+        return found.astype({"query_id": object, "id": object})
 
     return search
 

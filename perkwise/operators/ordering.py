@@ -15,9 +15,10 @@ BUCKETS = 256
 
 
 def _bucketed(df: DataFrame, value: str, buckets: int) -> DataFrame:
-    cuts = df.stat.approxQuantile(
-        value, [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets)
-    )
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = df.stat.approxQuantile(value, shares, 1.0 / (4 * buckets)) if shares else []
+    if not cuts:
+        return df.withColumn("_bucket", F.lit(0.0))
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     return Bucketizer(splits=splits, inputCol=value, outputCol="_bucket").transform(df)
 
