@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks import query, sql
+from checks.features import compared
 from perkwise.operators import prompts as pr
 from perkwise.operators.features import compute_features
 from perkwise.operators.retrieval import embed_hashed
@@ -16,6 +17,14 @@ def _features(spark, d):
     return compute_features(st.loyalty_events(spark, d), st.REFERENCE_TS)
 
 
+def _customers(spark, d):
+    """Features with money rounded: a sum of doubles depends on the order of additions."""
+    return compared(_features(spark, d))
+
+
+_CUSTOMERS = f"(SELECT {sql.FEATURE_SELECT} FROM {sql.features()})"
+
+
 @query("gen1_context_string", f"""SELECT customer_id, 'customer_id=' || customer_id || ' recency_days=' || recency_days
   || ' frequency_30d=' || frequency_30d || ' engagement_score=' || engagement_score AS context FROM {sql.features()}""")
 def context_string(spark, d):
@@ -43,16 +52,16 @@ _RENDERED = """'Tier Gold, score ' || format('{:.2f}', engagement_score) || ', s
   || ' - {unknown} {{"headline": "..."}} ' || frequency_30d || ' ' || channel_preference || channel_preference || '.'"""
 
 
-@query("gen2_render_template", f"SELECT customer_id, {_RENDERED} AS prompt FROM {sql.features()}")
+@query("gen2_render_template", f"SELECT customer_id, {_RENDERED} AS prompt FROM {_CUSTOMERS}")
 def render_template(spark, d):
-    rows = _features(spark, d)
+    rows = _customers(spark, d)
     return rows.select("customer_id", pr.strip(_rendered(rows)).alias("prompt"))
 
 
-@query("gen3_message_list", f"""SELECT customer_id, 0 AS position, 'system' AS role, 'Be brief.' AS content FROM {sql.features()}
-  UNION ALL SELECT customer_id, 1, 'user', {_RENDERED} FROM {sql.features()}""")
+@query("gen3_message_list", f"""SELECT customer_id, 0 AS position, 'system' AS role, 'Be brief.' AS content FROM {_CUSTOMERS}
+  UNION ALL SELECT customer_id, 1, 'user', {_RENDERED} FROM {_CUSTOMERS}""")
 def message_list(spark, d):
-    rows = _features(spark, d)
+    rows = _customers(spark, d)
     return rows.select("customer_id", F.posexplode(pr.message_list(" Be brief.\n", _rendered(rows)))).select(
         "customer_id", F.col("pos").alias("position"), "col.role", "col.content"
     )
@@ -168,9 +177,9 @@ class EchoBackend:
 
 
 @query("gen11_backend_copy", f"""SELECT customer_id, 'Hello' AS headline, {_RENDERED} AS body, 'Redeem now' AS cta,
-  'friendly' AS tone, 1 AS attempts, 'echo' AS model_version, 1 AS prompt_version FROM {sql.features()}""")
+  'friendly' AS tone, 1 AS attempts, 'echo' AS model_version, 1 AS prompt_version FROM {_CUSTOMERS}""")
 def backend_copy(spark, d):
-    rows = _features(spark, d)
+    rows = _customers(spark, d)
     asked = rows.select("customer_id", pr.message_list("Be brief.", _rendered(rows)).alias("messages"))
     return pr.generate_copy(asked, EchoBackend).select(
         "customer_id", *pr.COPY_FIELDS, "attempts", "model_version", "prompt_version"

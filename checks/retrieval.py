@@ -81,11 +81,11 @@ def count_indexed(spark, d):
     return rt.count_indexed(_stored(spark, d))
 
 
-_FOUND = "SELECT query_id, id, round(score, 6) AS score, rank FROM"
+_FOUND = "SELECT query_id, id, score, rank FROM"
 
 
 def _shown(found):
-    return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("bigint"))
+    return found.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("ret6_nearest_cosine", f"{_FOUND} {sql.neighbours()} WHERE rank <= 5")
@@ -120,13 +120,13 @@ def recall(spark, d):
 
 _KEPT = f"""(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM {sql.neighbours()}
   WHERE rank <= 20 AND propensity >= min_propensity_threshold)"""
-_RETRIEVED = f"""(SELECT query_id, position, id AS offer_id, title, description, category, round(score, 6) AS score
+_RETRIEVED = f"""(SELECT query_id, position, id AS offer_id, title, description, category, score
   FROM {_KEPT} WHERE position <= 5)"""
 
 
 def _retrieved(spark, d):
     out = rt.retrieve(st.retrieval_queries(spark, d), st.offers(spark, d))
-    return out.withColumn("score", F.round("score", 6)).withColumn("position", F.col("position").cast("bigint"))
+    return out.withColumn("position", F.col("position").cast("bigint"))
 
 
 @query("ret9_retrieve_eligible", f"SELECT * FROM {_RETRIEVED}")
@@ -134,7 +134,7 @@ def retrieve_eligible(spark, d):
     return _retrieved(spark, d)
 
 
-@query("ret10_distance_order", f"""SELECT query_id, id, round(1.0::DOUBLE - score, 6) AS score, rank
+@query("ret10_distance_order", f"""SELECT query_id, id, round(1.0::DOUBLE - score, 9) AS score, rank
   FROM {sql.neighbours()} WHERE rank <= 5""")
 def distance_order(spark, d):
     return _shown(nn.nearest(st.retrieval_queries(spark, d), st.offers(spark, d), 5, metric="distance"))

@@ -96,13 +96,13 @@ def _vectors(spark, d, version):
 def _flat(vectors):
     return vectors.withColumns({
         "feature_names": F.array_join("feature_names", ","),
-        "values": F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 4),
+        "values": F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 7),
     })
 
 
 _NAMES = ",".join(store.NUMERIC_FEATURES)
 _TOTAL = " + ".join(f"{c}::DOUBLE" for c in store.NUMERIC_FEATURES)
-_VECTOR = f"""customer_id, '{_NAMES}' AS feature_names, round({_TOTAL}, 4) AS "values", written_at AS computed_at"""
+_VECTOR = f"""customer_id, '{_NAMES}' AS feature_names, round({_TOTAL}, 7) AS "values", written_at AS computed_at"""
 _OLD = f"SELECT * FROM {sql.STORED} WHERE version = 'v1' AND recency_days < 3"
 _NEW = f"SELECT * FROM {sql.STORED} WHERE version = 'v3' AND frequency_30d > 40"
 

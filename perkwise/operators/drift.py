@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from perkwise.functions.numbers import round_exact
+from perkwise.functions.times import before, instant
 
 # Bins, floor of an empty bin and status limits.
 BINS = 10
@@ -144,9 +145,8 @@ def tag_periods(
     scored: DataFrame, at: str, now: str, baseline_days: int = 30, current_days: int = 7
 ) -> DataFrame:
     """Rows of the current window (last ``current_days``) and of the baseline window before it."""
-    moment = F.lit(now).cast("timestamp")
-    age = F.unix_micros(moment) - F.unix_micros(at)
-    day = F.lit(86_400_000_000)
-    return scored.filter((age >= 0) & (age < day * baseline_days)).withColumn(
-        "period", F.when(age < day * current_days, "current").otherwise("baseline")
+    scored_at = F.col(at)
+    inside = (scored_at > before(now, baseline_days)) & (scored_at <= instant(now))
+    return scored.filter(inside).withColumn(
+        "period", F.when(scored_at > before(now, current_days), "current").otherwise("baseline")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from perkwise.functions.numbers import round_exact
 from perkwise.functions.stemming import porter_stem
 from perkwise.functions.jsontext import string_map
+from perkwise.operators.prompts import render_template
 
 # Gate, judge dimensions and their fallback, weights of the aggregate.
 PASS_THRESHOLD = 0.75
@@ -85,23 +86,18 @@ def bleu_counts(
             F.transform(_ngrams(F.col(column), n), entry(n, flag)) for n in range(1, max_order + 1)
         ]
 
-    grams = tokens.select(
-        key, F.inline(F.concat(*side("_gen", 1), *side("_ref", 0)))
-    )
+    # A marker of order 0 keeps pairs of two empty texts, which have no n-gram at all.
+    marker = F.array(F.struct(F.lit(0).alias("order"), F.lit("").alias("gram"), F.lit(0).alias("generated")))
+    grams = tokens.select(key, F.inline(F.concat(*side("_gen", 1), *side("_ref", 0), marker)))
     per_gram = grams.groupBy(key, "order", "gram").agg(
         F.sum("generated").alias("_gen"), F.sum(F.lit(1) - F.col("generated")).alias("_ref")
     )
     matched, order = F.least("_gen", "_ref"), F.col("order")
-    counted = per_gram.groupBy(key).agg(
+    return per_gram.groupBy(key).agg(
         *[F.sum(F.when(order == n, matched).otherwise(0)).alias(f"correct_{n}") for n in range(1, max_order + 1)],
         *[F.sum(F.when(order == n, F.col("_gen")).otherwise(0)).alias(f"total_{n}") for n in range(1, max_order + 1)],
         F.sum(F.when(order == 1, F.col("_ref")).otherwise(0)).alias("reference_length"),
     )
-    # A pair of two empty texts has no n-gram; its missing counts are zeros.
-    names = [c for c in counted.columns if c != key]
-    return tokens.select(key).join(counted, key, "left").select(
-        key, *[F.coalesce(c, F.lit(0)).alias(c) for c in names]
-    )
 
 
 def bleu_from_counts(max_order: int = 4) -> Column:
@@ -180,6 +176,31 @@ def rouge_l(
     return common.select(key, score.alias("rouge_l"))
 
 
+def judge_answers(copies: DataFrame, make_backend, template: str) -> DataFrame:
+    """Add ``judge_raw``: a backend's answer to the template filled with headline, body and cta.
+
+    A failing call leaves null, which scores as the default.
+    """
+    fields = {c: F.col(c) for c in ("headline", "body", "cta")}
+    asked = copies.withColumn("_prompt", render_template(template, fields))
+    schema = copies.select("*", F.lit(None).cast("string").alias("judge_raw")).schema
+
+    def run(batches):
+        backend = make_backend()
+
+        def answer(prompt: str) -> str | None:
+            try:
+                return backend.generate([{"role": "user", "content": prompt}])
+            except Exception:
+                return None
+
+        for batch in batches:
+            answers = [answer(p) for p in batch["_prompt"]]
+            yield batch.drop(columns="_prompt").assign(judge_raw=pd.Series(answers, batch.index, dtype=object))
+
+    return asked.mapInPandas(run, schema)
+
+
 def judge_scores(raw: Column) -> Column:
     """Judge answer as a struct of three scores in [0, 1]; any fault gives the default for all."""
     fields = string_map(raw)

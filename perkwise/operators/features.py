@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from perkwise.functions.numbers import minmax, ratio, round_scaled
+from perkwise.functions.times import before, elapsed_days
 
 # Weights of the engagement score.
 ENGAGEMENT_WEIGHTS = {
@@ -13,26 +14,6 @@ ENGAGEMENT_WEIGHTS = {
     "offer_redemption_rate": 0.30,
 }
 
-_DAY_MICROS = 86_400_000_000
-
-
-def instant(reference_ts: str) -> Column:
-    """A timestamp literal in the session time zone."""
-    return F.lit(reference_ts).cast("timestamp")
-
-
-def days_before(reference_ts: str, days: int) -> Column:
-    return F.timestamp_micros(
-        F.unix_micros(instant(reference_ts)) - F.lit(days * _DAY_MICROS)
-    )
-
-
-def elapsed_days(ts: Column, reference_ts: str) -> Column:
-    """Whole 24-hour periods from ``ts`` to the reference, never negative."""
-    micros = F.unix_micros(instant(reference_ts)) - F.unix_micros(ts)
-    return F.greatest(F.floor(micros / F.lit(_DAY_MICROS)), F.lit(0)).cast("int")
-
-
 def rfm(events: DataFrame, reference_ts: str) -> DataFrame:
     """One row per customer from a single pass over the events (null customers are dropped).
 
@@ -40,14 +21,14 @@ def rfm(events: DataFrame, reference_ts: str) -> DataFrame:
     and keeps both aggregations free of per-customer value maps.
     """
     ts, kind = F.col("timestamp"), F.col("event_type")
-    is_recent_purchase = (kind == "purchase") & (ts >= days_before(reference_ts, 90))
+    is_recent_purchase = (kind == "purchase") & (ts >= before(reference_ts, 90))
     amount = F.when(is_recent_purchase, F.nanvl(F.col("amount"), F.lit(None).cast("double")))
     per_channel = (
         events.filter(F.col("customer_id").isNotNull())
         .groupBy("customer_id", "channel")
         .agg(
             F.max(ts).alias("_last"),
-            F.count_if(ts >= days_before(reference_ts, 30)).alias("_recent"),
+            F.count_if(ts >= before(reference_ts, 30)).alias("_recent"),
             F.sum(amount).alias("_spend"),
             F.count_if(kind == "offer_view").alias("_views"),
             F.count_if(kind == "redeem").alias("_redeems"),

@@ -11,10 +11,15 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-BUCKETS = 256
 
+def _bucket_count(df: DataFrame) -> int:
+    """As many buckets as the session has shuffle partitions, within limits: the per-bucket rows
+    that meet in one window stay few."""
+    return min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 32), 4096)
 
-def _bucketed(df: DataFrame, value: str, buckets: int) -> DataFrame:
+
+def _bucketed(df: DataFrame, value: str, buckets: int | None) -> DataFrame:
+    buckets = buckets or _bucket_count(df)
     shares = [i / buckets for i in range(1, buckets)]
     cuts = df.stat.approxQuantile(value, shares, 1.0 / (4 * buckets)) if shares else []
     if not cuts:
@@ -28,7 +33,7 @@ def running_totals(
     value: str,
     totals: Sequence[str],
     groups: Sequence[str] = (),
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add ``<t>_before`` (sum over smaller values) and ``<t>_total`` for each column in ``totals``.
 
@@ -63,7 +68,7 @@ def exact_percentiles(
     value: str,
     percentiles: dict[str, float],
     groups: Sequence[str] = (),
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Percentiles with linear interpolation, one output column per entry of ``percentiles``."""
     counted = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from perkwise.functions.times import before
 from perkwise.operators.keyed import keep_last, upsert
 from perkwise.schemas import FEATURE_COLUMNS, NUMERIC_FEATURES, STORED_FEATURES
 
@@ -162,8 +163,7 @@ def lookup(
     ids: DataFrame, hot: DataFrame, cold: DataFrame, now: str, max_age: int = HOT_SECONDS
 ) -> DataFrame:
     """Vectors for a list of ids: the hot row while it is fresh, else the cold one; others dropped."""
-    expiry = F.unix_micros(F.lit(now).cast("timestamp")) - F.lit(max_age * 1_000_000)
-    fresh = hot.filter(F.unix_micros("computed_at") > expiry)
+    fresh = hot.filter(F.col("computed_at") > before(now, max_age / 86_400))
     wanted = ids.select("customer_id").distinct()
 
     def packed(df: DataFrame, name: str) -> DataFrame:

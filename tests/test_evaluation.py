@@ -131,6 +131,19 @@ def test_judge_is_all_or_nothing(spark):
     assert got == [(1.0, 0.8, 0.6)] + [(0.75, 0.75, 0.75)] * 4
 
 
+def test_judge_backend_errors_give_the_default(spark):
+    class Judge:
+        def generate(self, messages):
+            if "bad" in messages[0]["content"]:
+                raise RuntimeError("network error")
+            return '{"coherence": 5, "brand_alignment": 5, "cta_strength": 5}'
+
+    copies = spark.createDataFrame([("a", "H", "bad", "C"), ("b", "H", "good", "C")], "pair_id string, headline string, body string, cta string")
+    rated = ev.judge_answers(copies, Judge, "Rate {headline} / {body} / {cta}")
+    got = {r["pair_id"]: r["s"]["coherence"] for r in rated.select("pair_id", ev.judge_scores(F.col("judge_raw")).alias("s")).collect()}
+    assert got == {"a": 0.75, "b": 1.0}
+
+
 def test_evaluation_run(spark, tmp_path):
     from perkwise.sources.tables import read_eval_history
 
