@@ -37,17 +37,17 @@ def _stored(spark, d):
 
 
 def _batch(spark, d):
-    """The queries' vectors under ids that partly overlap the offers', each arriving twice."""
-    return st.table(spark, d, "embeddings").filter("label < 5").select(
-        F.concat(F.lit("offer_"), F.lpad(F.col("vec_id").cast("string"), 7, "0")).alias("id"),
+    """All vectors under shifted ids, so some are new and most are known; each arrives twice."""
+    return st.table(spark, d, "embeddings").select(
+        F.concat(F.lit("offer_"), F.lpad((F.col("vec_id") + 100).cast("string"), 7, "0")).alias("id"),
         F.concat(F.lit("New "), F.col("vec_id").cast("string")).alias("title"),
         F.reverse("embedding").alias("embedding"),
         F.explode(F.array(F.lit(1), F.lit(2))).alias("arrival"),
     ).withColumn("title", F.concat_ws("-", "title", "arrival"))
 
 
-_NEW = """(SELECT 'offer_' || lpad(CAST(vec_id AS VARCHAR), 7, '0') AS id, 'New ' || vec_id || '-2' AS title, embedding
-  FROM embeddings WHERE label < 5)"""
+_NEW = """(SELECT 'offer_' || lpad(CAST(vec_id + 100 AS VARCHAR), 7, '0') AS id, 'New ' || vec_id || '-2' AS title, embedding
+  FROM embeddings)"""
 
 
 @query("ret2_upsert_embeddings", f"""SELECT id, title, {_TOTAL} FROM {_NEW} UNION ALL SELECT id, title, {_TOTAL} FROM {sql.OFFERS}
@@ -112,10 +112,11 @@ def nearest_approximate(spark, d):
     return _shown(found)
 
 
-@query("ret8_recall")
+@query("ret8_recall", f"SELECT 5 * count(*) AS n_exact, true AS most_found FROM {sql.SEARCHES}")
 def recall(spark, d):
     queries, offers = st.retrieval_queries(spark, d), st.offers(spark, d)
-    return nn.recall(nn.nearest_approximate(queries, offers, 5), nn.nearest(queries, offers, 5))
+    found = nn.recall(nn.nearest_approximate(queries, offers, 5), nn.nearest(queries, offers, 5))
+    return found.select("n_exact", (F.col("recall") > 0.5).alias("most_found"))
 
 
 _KEPT = f"""(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM {sql.neighbours()}

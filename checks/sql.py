@@ -111,10 +111,10 @@ OFFERS = """(SELECT 'offer_' || lpad(CAST(vec_id AS VARCHAR), 7, '0') AS id, 'Of
   'Reward number ' || vec_id || ' of group ' || label AS description, CAST(label AS VARCHAR) AS category,
   'all' AS channel, vec_id * 37 % 71 / 100.0 AS min_propensity_threshold,
   CAST(vec_id % 36 + 5 AS INT) AS discount_pct, 30 AS expiry_days, embedding
-  FROM embeddings WHERE vec_id % 5 = 0)"""
+  FROM embeddings)"""
 
 SEARCHES = """(SELECT CAST(vec_id AS VARCHAR) AS query_id, embedding, CAST(label AS VARCHAR) AS expected_category,
-  vec_id * 53 % 101 / 100.0 AS propensity FROM embeddings WHERE vec_id % 5 <> 0)"""
+  vec_id * 53 % 101 / 100.0 AS propensity FROM embeddings)"""
 
 
 def neighbours(measure: str = "list_cosine_similarity", queries: str = SEARCHES) -> str:

@@ -147,7 +147,7 @@ def test_judge_backend_errors_give_the_default(spark):
 def test_evaluation_run(spark, tmp_path):
     from perkwise.sources.tables import read_eval_history
 
-    body = "Earn 2x stars on every purchase this Saturday. No code needed."
+    body = "A free slice of cake comes with your third visit. Just show the app."
     frame = spark.createDataFrame([("a", body, body, None), ("b", body, "other words here", '{"coherence": 5, "brand_alignment": 5, "cta_strength": 5}')],
         "pair_id string, body string, reference string, judge_raw string")
     scores = ev.evaluate_copies(frame)
