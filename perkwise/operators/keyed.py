@@ -91,7 +91,8 @@ def top_k(
 ) -> DataFrame:
     """The first ``k`` rows per key with their position.
 
-    Spark cuts each task's input to ``k`` rows per key before the shuffle. With ``hot_keys`` a key
+    Spark cuts each task's input to ``k`` rows per key before the shuffle (for ``k`` up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``). With ``hot_keys`` a key
     is first cut per stripe of input tasks; the best ``k`` of the stripes' best rows are the best
     overall, however the rows fall into stripes.
     """

@@ -13,6 +13,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Top-k cuts each task's rows before the shuffle up to this k; preference pairs need 10,000.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 
