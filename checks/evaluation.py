@@ -69,6 +69,29 @@ def sentence_bleu(spark, d):
     return out.withColumn("bleu", F.round("bleu", 8))
 
 
+def _words(text: str) -> str:
+    return f"list_filter(string_split_regex(lower({text}), '[^a-z0-9]+'), lambda t: t <> '')"
+
+
+# The textbook table of common subsequence lengths, one row of it per step.
+ROUGE = f"""WITH RECURSIVE tok AS MATERIALIZED (SELECT pair_id, {_words('generated')} AS g, {_words('reference')} AS r FROM {sql.PAIRS}),
+  cells AS MATERIALIZED (SELECT pair_id, unnest(r) AS b, unnest(range(1, len(r) + 1)) AS j FROM tok),
+  dp AS (SELECT pair_id, 0 AS i, j, b, 0 AS v FROM cells
+    UNION ALL SELECT pair_id, i + 1, j, b, max(c) OVER (PARTITION BY pair_id ORDER BY j) FROM (
+      SELECT d.pair_id, d.i, d.j, d.b, greatest(d.v, (t.g[d.i + 1] = d.b)::INT
+        + coalesce(lag(d.v) OVER (PARTITION BY d.pair_id ORDER BY d.j), 0)) AS c
+      FROM dp d JOIN tok t ON t.pair_id = d.pair_id AND d.i < len(t.g))),
+  lcs AS (SELECT pair_id, max(v) AS n FROM dp GROUP BY pair_id)
+  SELECT pair_id, CASE WHEN coalesce(n, 0) = 0 THEN 0.0::DOUBLE ELSE round(2.0::DOUBLE * n / (len(g) + len(r)), 9) END AS rouge_l
+  FROM tok LEFT JOIN lcs USING (pair_id)"""
+
+
+@query("evl4_rouge_l_unstemmed", ROUGE)
+def rouge_l_unstemmed(spark, d):
+    out = ev.rouge_l(st.copy_pairs(spark, d), stem=False)
+    return out.withColumn("rouge_l", F.round("rouge_l", 9))
+
+
 @query("evl4_rouge_l")
 def rouge_l(spark, d):
     return ev.rouge_l(st.copy_pairs(spark, d))

@@ -263,3 +263,12 @@ def write_run(scores: DataFrame, path: str, timestamp: str, threshold: float = P
     """One run: the summary under ``eval_<time>`` and its scores, one per line, under ``scores_<time>``."""
     run_report(scores, timestamp, threshold).coalesce(1).write.json(f"{path}/eval_{timestamp}")
     scores.write.json(f"{path}/scores_{timestamp}")
+
+
+def latest_run(history: DataFrame) -> DataFrame:
+    """The newest entry of a run history; without any, a failed run of score 0."""
+    newest = F.max_by(F.struct("timestamp", "mean_score", "passed"), "run")
+    nothing = F.struct(
+        F.lit("\u2014").alias("timestamp"), F.lit(0.0).alias("mean_score"), F.lit(False).alias("passed")
+    )
+    return history.agg(F.coalesce(newest, nothing).alias("_run")).select("_run.*")

@@ -160,6 +160,9 @@ def test_evaluation_run(spark, tmp_path):
     history = read_eval_history(spark, f"{tmp_path}/eval_*").collect()
     assert [h["run"][5:9] for h in history] == ["2026", "2026", "2025"]
     assert history[0]["n"] == 2 and history[0]["timestamp"] == "20260102T000000Z"
+    runs = read_eval_history(spark, f"{tmp_path}/eval_*")
+    assert ev.latest_run(runs).first()["timestamp"] == "20260102T000000Z"
+    assert tuple(ev.latest_run(runs.filter("false")).first()) == ("\u2014", 0.0, False)
     assert tuple(history[2])[1:] == ("eval_20250101T000000Z", 0.5, False, 0)
 
 
