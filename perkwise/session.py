@@ -35,13 +35,24 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The cluster's shared folder, read from ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets one temporary folder for the session; any other master is
+    an error, because its executors would each write to a disk of their own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="perkwise-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    key = spark.sparkContext.applicationId
+    if key not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[key] = tempfile.mkdtemp(prefix="perkwise-")
+    return _LOCAL_FOLDERS[key]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
