@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perkwise.llm import langid, linededup, mixing, packing, simhash
+from perkwise.llm import extraction, langid, linededup, mixing, packing, secrets, simhash, topk, toxicity
 from perkwise.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "raw")
+
+
 @query
 def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -79,3 +87,63 @@ def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.drop_repeated_lines(docs).select(
         "doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_sort("removed").alias("removed"), "text")
+
+
+@query
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extraction.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op8_blob_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    _, findings = secrets.scan(docs)
+    spans = secrets.span_text(F.col("found"))
+    return secrets.by_path(docs, findings).select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_KEYWORDS = "|".join(_any_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_SECRET_PATTERNS = {
+    "assign": f"""({_KEYWORDS})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+    "access": "(AKIA[A-Z0-9]+)()",
+    "hex": "([0-9a-f]+)()",
+}
+_SECRET_LEAST = {"assign": "length(regexp_extract(m, p, 2)) >= 8", "access": "length(m) >= 16", "hex": "length(m) >= 32"}
+
+SQL["op8_blob_secrets"] = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+kinds AS ({" UNION ALL ".join(f"SELECT {i} AS o, '{k}' AS kind, '{p}' AS p" for i, (k, p) in enumerate(_SECRET_PATTERNS.items()))}),
+lists AS (SELECT r, o, kind, p, regexp_extract_all(t, p) AS ms, string_split_regex(t, p) AS gaps FROM docs, kinds WHERE regexp_matches(t, p)),
+parts AS (SELECT r, o, kind, p, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, unnest(range(len(ms))) AS i FROM lists),
+ends AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY r, o ORDER BY i) AS e FROM parts),
+spans AS (SELECT r, o, kind, e - length(m) AS s, e FROM ends
+          WHERE CASE kind {" ".join(f"WHEN '{k}' THEN {c}" for k, c in _SECRET_LEAST.items())} END),
+found AS (SELECT r, string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, o) AS spans,
+                 count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c
+          FROM spans GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN found USING (r)
+"""
+
+
+@query
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.quantized(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
+    return topk.search(rows.filter("id % 100 = 0"), rows, 10)
+
+
+SQL["op9_exact_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w::DOUBLE[], c.w::DOUBLE[])::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
