@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perkwise.llm import extraction, langid, linededup, mixing, packing, secrets, simhash, topk, toxicity
+from perkwise.llm import ann, extraction, langid, linededup, mixing, packing, secrets, simhash, topk, toxicity
 from perkwise.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,8 @@ pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w::DOUBLE[
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op6_neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)

@@ -20,6 +20,7 @@ from perkwise.session import stage
 # Bound of the training sample, in labelled rows; the ones of the smallest digests.
 TRAINING_ROWS = 20_000
 LEXICON_WORDS = 1_000
+PREFIXES = (4, 5)
 TREES, DEPTH = 24, 4
 CALIBRATION_FOLD = FOLDS - 1
 _WORD = re.compile(r"[^\W\d_]+")
@@ -43,17 +44,19 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     """The dense features of a whole text, in the order of NAMES."""
     words = chars = letters = capitals = loud = exclaimed = marks = masked = you = hits = unmasked = repeats = 0
     weight = strongest = nearest = 0.0
+    get = lexicon.get
     for part in windows(text):
         tokens = _WORD.findall(part)
         low = [w.lower() for w in tokens]
-        found = [i for i, w in enumerate(low) if w in lexicon]
+        marked = [(i, v) for i, w in enumerate(low) if (v := get(w) or get(w[:5] + "-") or get(w[:4] + "-"))]
+        found = [i for i, _ in marked]
         pronouns = [i for i, w in enumerate(low) if w in _YOU]
         words += len(low)
         hits += len(found)
         you += len(pronouns)
-        for i in found:
-            weight += lexicon[low[i]]
-            strongest = max(strongest, lexicon[low[i]])
+        for _, v in marked:
+            weight += v
+            strongest = max(strongest, v)
         if found and pronouns:
             places = np.array(pronouns)
             at = np.searchsorted(places, found)
@@ -98,7 +101,11 @@ def _featured(rows: DataFrame, lexicon: dict[str, float], text_col: str, keep: l
 
 
 def learn_lexicon(sample: DataFrame, text_col: str, prior: float, limit: int = LEXICON_WORDS) -> dict[str, float]:
-    """Words that stand in toxic texts far more often than chance, with the share of their texts that are toxic."""
+    """Words and beginnings of words ("stem-") that stand in toxic texts far more often than chance.
+
+    With each goes the share of its texts that are toxic. What counts as chance rises with the number of
+    words that are tried.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,14 +114,16 @@ def learn_lexicon(sample: DataFrame, text_col: str, prior: float, limit: int = L
                 own = set()
                 for part in windows(text):
                     own.update(_WORD.findall(part.lower()))
+                own |= {w[:n] + "-" for w in own for n in PREFIXES if len(w) > n}
                 words += own
                 marks += [toxic] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(marks, pa.int32())], names=["word", "toxic"])
 
-    counts = (sample.select(text_col, "toxic").mapInArrow(run, "word string, toxic int")
-              .groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")))
+    counts = stage(sample.select(text_col, "toxic").mapInArrow(run, "word string, toxic int")
+                   .groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).filter("n >= 3"), "toxicity-words")
+    least = 3.5 + 0.5 * float(np.log10(max(1, counts.count())))
     excess = (F.col("a") - F.col("n") * prior) / F.sqrt(F.col("n") * prior * (1 - prior))
-    chosen = (counts.filter((F.col("a") >= 3) & (excess >= 4) & (F.col("a") >= 0.3 * F.col("n")))
+    chosen = (counts.filter((excess >= least) & (F.col("a") >= 0.3 * F.col("n")))
               .orderBy(excess.desc(), "word").limit(limit).select("word", (F.col("a") / F.col("n")).alias("share")))
     return {r["word"]: r["share"] for r in chosen.collect()}
 
