@@ -59,23 +59,36 @@ def prepared(rows: DataFrame, id_col: str, vector_col: str, copies: int) -> tupl
     return ranked.filter("place = 1").select("id", "vector"), ranked.select("rep", "id"), width
 
 
-def coded(points: DataFrame, width: int) -> DataFrame:
-    """(id, code): eight-bit copies of the vectors with the component that makes norms equal."""
+def coded(points: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """(id, code): eight-bit copies of the vectors with the component that makes norms equal, and its parts."""
     squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     largest, norm = points.agg(F.max(F.array_max(F.transform("vector", F.abs))), F.max(squares)).first()
     scale = 127.0 / max(largest or 1.0, 1e-300)
+    # The added component may be larger than all others; it is spread over as many as it needs.
+    parts = max(1, int(np.ceil((np.sqrt(norm or 0.0) / (largest or 1.0)) ** 2)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _floats(batch.column(1), width)
             rest = np.sqrt(np.maximum(0.0, norm - (x * x).sum(axis=1, keepdims=True)))
-            # The added component may be larger than all others; it is spread over as many as it needs.
-            parts = max(1, int(np.ceil((np.sqrt(norm) / (largest or 1.0)) ** 2)))
             whole = np.hstack([x, np.repeat(rest / np.sqrt(parts), parts, axis=1)])
             code = np.clip(np.rint(whole * scale), -127, 127).astype(np.int8)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in code], pa.binary())], names=["id", "code"])
 
-    return stage(points.mapInArrow(run, "id long, code binary"), "ann-codes")
+    return stage(points.mapInArrow(run, "id long, code binary"), "ann-codes"), parts
+
+
+def query_codes(points: DataFrame, width: int, parts: int) -> DataFrame:
+    """(id, code) of vectors as queries: nothing in the added component, and as fine as eight bits allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _floats(batch.column(1), width)
+            whole = np.hstack([x / np.abs(x).max(axis=1, keepdims=True) * 127.0, np.zeros((len(x), parts))])
+            code = np.rint(whole).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in code], pa.binary())], names=["id", "code"])
+
+    return points.select("id", "vector").mapInArrow(run, "id long, code binary")
 
 
 def _best(edges: DataFrame, key: str, count: int, *keep: str) -> DataFrame:
@@ -220,7 +233,7 @@ def search(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col
     ``score`` is the inner product of the original vectors in double precision; ties go to the smaller id.
     """
     points, members, width = prepared(rows, id_col, vector_col, k + 1)
-    codes = coded(points, width)
+    codes, parts = coded(points, width)
     graph = build(codes)
     # A query walks under the id of its vector; equal queries share one walk.
     everyone = stage(rows.filter(F.col(id_col).isNotNull() & usable(vector_col) & F.exists(vector_col, lambda x: x != 0)
@@ -229,7 +242,7 @@ def search(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col
                      .filter(is_query).groupBy("id").agg(F.min("vector").alias("vector")), "ann-queries")
     asked = everyone.join(points.select(F.col("id").alias("rep"), F.col("vector").alias("v")), F.col("vector") == F.col("v")).select("id", "rep", "vector")
     asked = stage(asked, "ann-asked")
-    walkers = codes.join(asked.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    walkers = stage(query_codes(points.join(asked.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), width, parts), "ann-walkers")
     found = walk(walkers, codes, graph).select(F.col("id").alias("rep"), F.col("other").alias("near"))
     near = points.select(F.col("id").alias("near"), F.col("vector").alias("w"))
     pairs = asked.join(found, "rep").join(near, "near")

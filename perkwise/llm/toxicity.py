@@ -61,7 +61,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
             places = np.array(pronouns)
             at = np.searchsorted(places, found)
             gap = np.minimum(np.abs(places[np.minimum(at, len(places) - 1)] - found), np.abs(places[np.maximum(at - 1, 0)] - found))
-            nearest = max(nearest, 1.0 / float(gap.min()))
+            nearest = max(nearest, 1.0 / (1.0 + float(gap.min())))
         disguised = _MASKED.findall(part)
         masked += len(disguised)
         unmasked += sum(_fold(w) in lexicon for w in disguised)
