@@ -49,7 +49,17 @@ def _reasons(rules: Sequence[tuple[str, Column]]) -> Column:
 
 
 def _text(column: str) -> Column:
-    return F.trim(F.col(column).cast("string"))
+    """The value as text without white space at its ends."""
+    return F.regexp_replace(F.col(column).cast("string"), r"(?U)^\s+|\s+$", "")
+
+
+def _time(column: str) -> Column:
+    """The value as a time, null where it is none."""
+    return _text(column).try_cast("timestamp")
+
+
+def _valid_time(column: str) -> tuple[str, Column]:
+    return column, F.col(column).isNull() | _time(column).isNotNull()
 
 
 def check_transactions(
@@ -60,16 +70,16 @@ def check_transactions(
     customer_id, amount and store_id are required. A missing transaction_id is derived from the
     record and its arrival number, so a recomputed task yields the same id.
     """
-    amount = F.trim(F.col("amount").cast("string")).try_cast("double")
+    amount = _text("amount").try_cast("double")
     generated = uuid_text(
         F.md5(F.concat_ws("|", F.col(arrival).cast("string"), _text("customer_id"), _text("store_id")))
     )
-    created = _text("created_at").try_cast("timestamp")
+    created = _time("created_at")
     rules = [
         ("customer_id", F.col("customer_id").isNotNull()),
         ("amount", amount.isNotNull()),
         ("store_id", F.col("store_id").isNotNull()),
-        ("created_at", F.col("created_at").isNull() | created.isNotNull()),
+        _valid_time("created_at"),
     ]
     if require_uuid:
         rules.append(("customer_id_format", _text("customer_id").rlike(_UUID)))
@@ -94,8 +104,8 @@ def check_transactions(
 
 def check_customers(raw: DataFrame, received_at: str, arrival: str = "arrival") -> Checked:
     """Coerce and validate customer profiles; email is required, the rest has defaults."""
-    spend = F.trim(F.col("total_spend").cast("string")).try_cast("double")
-    visits = F.trim(F.col("visit_count").cast("string")).try_cast("int")
+    spend = _text("total_spend").try_cast("double")
+    visits = _text("visit_count").try_cast("int")
     stamp = F.lit(received_at).cast("timestamp")
     generated = uuid_text(F.md5(F.concat_ws("|", F.col(arrival).cast("string"), _text("email"))))
     return Checked(
@@ -105,13 +115,15 @@ def check_customers(raw: DataFrame, received_at: str, arrival: str = "arrival")
             F.coalesce(_text("tier"), F.lit("standard")).alias("tier"),
             F.coalesce(spend, F.lit(0.0)).alias("total_spend"),
             F.coalesce(visits, F.lit(0)).alias("visit_count"),
-            F.coalesce(F.col("created_at").cast("timestamp"), stamp).alias("created_at"),
-            F.coalesce(F.col("updated_at").cast("timestamp"), stamp).alias("updated_at"),
+            F.coalesce(_time("created_at"), stamp).alias("created_at"),
+            F.coalesce(_time("updated_at"), stamp).alias("updated_at"),
             F.col(arrival).alias("arrival"),
             _reasons([
                 ("email", F.col("email").isNotNull()),
                 ("total_spend", F.col("total_spend").isNull() | spend.isNotNull()),
                 ("visit_count", F.col("visit_count").isNull() | visits.isNotNull()),
+                _valid_time("created_at"),
+                _valid_time("updated_at"),
             ]),
         )
     )
@@ -125,33 +137,37 @@ def check_feedback_events(raw: DataFrame, received_at: str) -> Checked:
             F.col("request_id").cast("string").alias("request_id"),
             "event_type",
             F.coalesce(F.col("metadata"), F.lit("{}")).alias("metadata"),
-            F.coalesce(F.col("created_at").cast("timestamp"), F.lit(received_at).cast("timestamp")).alias(
+            F.coalesce(_time("created_at"), F.lit(received_at).cast("timestamp")).alias(
                 "created_at"
             ),
             _reasons([
                 ("customer_id", F.col("customer_id").isNotNull()),
                 ("request_id", F.col("request_id").isNotNull()),
                 ("event_type", F.col("event_type").isin(FEEDBACK_EVENT_TYPES)),
+                _valid_time("created_at"),
             ]),
         )
     )
 
 
 def check_ratings(raw: DataFrame, received_at: str) -> Checked:
-    """Ratings 1..5 with a thumb up or down; version columns default to the empty string."""
+    """Whole ratings 1..5 with a thumb up or down; version columns default to the empty string."""
+    number = _text("rating").try_cast("double")
+    rating = F.when(number == F.floor(number), number).try_cast("int")
     required = ["offer_id", "customer_id", "generated_copy"]
     return Checked(
         raw.select(
-            "id", *required, F.col("rating").cast("int").alias("rating"), "thumbs",
+            "id", *required, rating.alias("rating"), "thumbs",
             F.coalesce("prompt_version", F.lit("")).alias("prompt_version"),
             F.coalesce("model_version", F.lit("")).alias("model_version"),
-            F.coalesce(F.col("created_at").cast("timestamp"), F.lit(received_at).cast("timestamp")).alias(
+            F.coalesce(_time("created_at"), F.lit(received_at).cast("timestamp")).alias(
                 "created_at"
             ),
             _reasons([
                 *[(c, F.col(c).isNotNull()) for c in required],
-                ("rating", F.col("rating").between(1, 5)),
+                ("rating", rating.between(1, 5)),
                 ("thumbs", F.col("thumbs").isin(THUMBS)),
+                _valid_time("created_at"),
             ]),
         )
     )
@@ -172,8 +188,9 @@ def upsert_customers(existing: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def insert_calls(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """Model-call log without repeated request ids."""
-    return insert_ignore(existing, batch, ["request_id"], ["created_at"])
+    """Model-call log without repeated request ids; the earliest wins, of equal times the smallest values."""
+    rest = [c for c in existing.columns if c not in ("request_id", "created_at")]
+    return insert_ignore(existing, batch, ["request_id"], ["created_at", *rest])
 
 
 def encode_items(items: Column) -> Column:

@@ -164,7 +164,7 @@ def _cells(rows: DataFrame, model, id_column: str, keep: int) -> DataFrame:
 
 def nearest_approximate(
     queries: DataFrame, catalogue: DataFrame, k: int = 5, cells: int = 16, probes: int = 4,
-    metric: str = "cosine", seed: int = 42, block_rows: int = BLOCK_ROWS, training_rows: int = 200_000,
+    metric: str = "cosine", seed: int = 42, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Approximate top-k: the catalogue is cut into cells around trained centres and a query looks
     only into its ``probes`` nearest cells.
@@ -173,10 +173,8 @@ def nearest_approximate(
     becomes many bounded tasks.
     """
     cosine = metric != "dot"
-    share = min(1.0, training_rows / max(catalogue.count(), 1))
-    sample = catalogue.sample(share, seed) if share < 1.0 else catalogue  # only trains the centres
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features").fit(
-        sample.select(array_to_vector("embedding").alias("features"))
+        catalogue.select(array_to_vector("embedding").alias("features"))
     )
     routed = _cells(queries, model, "query_id", probes)
     stored = _cells(catalogue, model, "id", 1)

@@ -10,6 +10,7 @@ from perkwise.functions.draws import digest
 from perkwise.functions.numbers import ratio
 from perkwise.operators.ordering import running_totals
 from perkwise.schemas import FEATURE_COLUMNS
+from perkwise.session import stage
 
 # Channel codes, thresholds and split shares.
 CHANNEL_CODES = {"in-store": 0, "mobile": 1, "web": 2}
@@ -84,12 +85,25 @@ def stratified_split(
     return ranked.select(*rows.columns, split.alias("split"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows with ``customer_id``, their number from 0 in the order in which they come.
+
+    The rows are written first, so that their order is settled; each part then starts after the earlier ones.
+    """
+    settled = stage(rows.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    sizes = settled.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    number = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return settled.join(starts, part == F.col("_part")).withColumn("customer_id", number.cast("string"))
+
+
 def as_results(scored: DataFrame, threshold: float, version: str, score: str = "propensity_score") -> DataFrame:
-    """Scores as result rows; a missing customer_id becomes a row number."""
-    who = (
-        F.col("customer_id").cast("string") if "customer_id" in scored.columns
-        else F.monotonically_increasing_id().cast("string")
-    )
+    """Scores as result rows; without a customer_id it is the number of the row, from 0."""
+    if "customer_id" not in scored.columns:
+        scored = _numbered(scored)
+    who = F.col("customer_id").cast("string")
     return scored.select(
         who.alias("customer_id"),
         F.col(score).cast("double").alias("propensity_score"),

@@ -124,12 +124,16 @@ def retrieve(
     return _described(_first(kept, k), offers, F.col("score"))
 
 
-def retrieve_or_all(queries: DataFrame, offers: DataFrame, k: int = TOP_K, neighbours=nearest) -> DataFrame:
-    """The nearest offers a query is eligible for, or all of them when it is eligible for none.
+def retrieve_or_all(
+    queries: DataFrame, offers: DataFrame, k: int = TOP_K, neighbours=nearest,
+    breadth: int | None = None,
+) -> DataFrame:
+    """Of the ``breadth`` (by default k) nearest offers those a query is eligible for, or all of them when it
+    is eligible for none; the first k.
 
     The score is 1 / (1 + original place).
     """
-    judged = _judged(neighbours(queries, offers, TOP_K, metric="cosine"), queries, offers)
+    judged = _judged(neighbours(queries, offers, max(k, breadth or k), metric="cosine"), queries, offers)
     whole = Window.partitionBy("query_id")
     kept = judged.withColumn("_any", F.max("eligible").over(whole)).filter(
         F.col("eligible") | ~F.col("_any")

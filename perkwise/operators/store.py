@@ -155,8 +155,9 @@ def to_vectors(features: DataFrame, computed_at) -> DataFrame:
 
 
 def upsert_vectors(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """Feature vectors by customer; the last of a batch wins."""
-    return upsert(existing, batch, ["customer_id"], ["computed_at"])
+    """Feature vectors by customer; the last of a batch wins, of equal times the largest values."""
+    rest = [c for c in existing.columns if c not in ("customer_id", "computed_at")]
+    return upsert(existing, batch, ["customer_id"], ["computed_at", *rest])
 
 
 def lookup(

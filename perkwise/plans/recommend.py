@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from perkwise.operators.nearest import nearest
 from perkwise.operators.prompts import fallback_copy
-from perkwise.operators.retrieval import retrieve_or_all, with_fallback
+from perkwise.operators.retrieval import TOP_K, retrieve_or_all, with_fallback
 
 # Used where a customer row has no tier or channel.
 DEFAULT_TIER = "Gold"
@@ -29,7 +29,7 @@ def recommend(
     queries = known.select("customer_id", "propensity_score").join(vectors, "customer_id").select(
         F.col("customer_id").alias("query_id"), F.col("propensity_score").alias("propensity"), "embedding"
     )
-    retrieved = retrieve_or_all(queries, offers, k, neighbours)
+    retrieved = retrieve_or_all(queries, offers, k, neighbours, breadth=max(k, TOP_K))
     best = with_fallback(known.select(F.col("customer_id").alias("query_id")), retrieved)
     tier = F.coalesce("tier", F.lit(DEFAULT_TIER)) if "tier" in customers.columns else F.lit(DEFAULT_TIER)
     result = known.join(best.withColumnRenamed("query_id", "customer_id"), "customer_id").select(

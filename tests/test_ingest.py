@@ -47,3 +47,41 @@ def test_ratings(spark):
         "id int, offer_id string, customer_id string, generated_copy string, rating int, thumbs string, prompt_version string, model_version string, created_at timestamp")
     checked = ingest.check_ratings(raw, NOW)
     assert checked.valid.count() == 2 and checked.valid.first()["prompt_version"] == ""
+
+
+def test_bad_records_are_set_aside_and_never_stop_a_load(spark):
+    from pyspark.sql import functions as F
+
+    from perkwise.operators import ingest
+
+    ratings = spark.createDataFrame(
+        [("1", "o", "c", "{}", "5", "up", None), ("2", "o", "c", "{}", "abc", "up", None), ("3", "o", "c", "{}", "4.7", "down", None),
+         ("4", "o", "c", "{}", "4", "up", "not a date")],
+        "id string, offer_id string, customer_id string, generated_copy string, rating string, thumbs string, created_at string",
+    ).withColumn("prompt_version", F.lit(None).cast("string")).withColumn("model_version", F.lit(None).cast("string"))
+    checked = ingest.check_ratings(ratings, "2024-02-15 00:00:00")
+    assert [r.id for r in checked.valid.collect()] == ["1"]
+    assert sorted((r.id, tuple(r.reasons)) for r in checked.quarantine.collect()) == [("2", ("rating",)), ("3", ("rating",)), ("4", ("created_at",))]
+    customers = spark.createDataFrame(
+        [("\tk\n", " a@b ", None, "1.5", "\t7\n", "2024-01-01", None, 1), ("l", "c@d", None, None, None, "soon", "later", 2)],
+        "customer_id string, email string, tier string, total_spend string, visit_count string, created_at string, updated_at string, arrival long")
+    checked = ingest.check_customers(customers, "2024-02-15 00:00:00")
+    (good,), (bad,) = checked.valid.collect(), checked.quarantine.collect()
+    assert (good.customer_id, good.email, good.visit_count) == ("k", "a@b", 7)
+    assert bad.reasons == ["created_at", "updated_at"]
+
+
+def test_a_shared_folder_is_required_off_a_local_master():
+    import pytest as pytest_
+
+    from perkwise import session
+
+    class Unset:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest_.raises(ValueError):
+        session.shared_folder(Unset)
