@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +23,17 @@ from perkwise.llm.common import stable_hash, windows
 from perkwise.session import stage
 
 CAPACITY = 2048
-BLOCK_WINDOWS = 256
-SMALLEST_CUT = 48
+BLOCK_WINDOWS = 128
+SMALLEST_CUT = 32
 END_ID = 1
 CACHED_WORDS = 400_000
 # Unicode's white space, which the tokenizer drops; str.split() also splits at U+001C to U+001F.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+# Below this code point, and only there surely, lower-casing commutes with normalising and nothing composes.
+_BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]")
+# Byte-level vocabularies spell printable bytes as themselves and the others as the code points from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
 _ONLY_PYTHON = re.compile("[\x1c-\x1f]")
 
 
@@ -36,34 +42,37 @@ class WordTokenizer:
 
     The tokenizer never joins characters across white space, nor a letter or digit to a mark after it, so
     each distinct word is encoded once, without its closing mark, and kept in two tables of bounded size
-    (the older one is dropped when the newer one is full). ASCII texts are lower-cased first, as the
+    (the older one is dropped when the newer one is full). Latin texts are lower-cased first, as the
     tokenizer would do, unless they may hold one of its special tokens.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_file(path).encode_batch_fast
+        tokenizer = Tokenizer.from_file(path)
+        self._encode, self._model = tokenizer.encode_batch_fast, tokenizer.model
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> np.ndarray:
-        parts = [self._part(x) for x in windows(text)]
-        return np.frombuffer(parts[0] if len(parts) == 1 else b"".join(parts), np.int32)
-
-    def _part(self, text: str) -> bytes:
-        if text.isascii() and "<|" not in text:
-            text = text.lower()
-        words = text.split() if not _ONLY_PYTHON.search(text) else [w for w in _SPACE.split(text) if w]
-        try:
-            return b"".join([self._new[w] for w in words])
-        except KeyError:
-            self._learn({*words} if len(self._new) > CACHED_WORDS else {w for w in words if w not in self._new})
-            return b"".join([self._new[w] for w in words])
-
-    def _learn(self, words: set[str]) -> None:
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        parts, of = [], []
+        for i, text in enumerate(texts):
+            for part in windows(text):
+                if "<|" not in part and not _BEYOND_LATIN.search(part):
+                    part = part.lower()
+                parts.append(part.split() if not _ONLY_PYTHON.search(part) else [w for w in _SPACE.split(part) if w])
+                of.append(i)
+        words = set().union(*parts)
         if len(self._new) > CACHED_WORDS:
             self._old, self._new = self._new, {}
+        self._learn(words - self._new.keys())
+        known = self._new.__getitem__
+        out = [b""] * len(texts)
+        for i, part in zip(of, parts):
+            out[i] += b"".join(map(known, part))
+        return [np.frombuffer(x, np.int32) for x in out]
+
+    def _learn(self, words: set[str]) -> None:
         new, old = self._new, self._old
         unseen = set()
         cut = {w: w[:-1] for w in words if w[-1] in ".,:;!?" and len(w) > 1 and w[-2].isascii() and w[-2].isalnum()}
@@ -73,7 +82,12 @@ class WordTokenizer:
                 new[w] = old[w]
             elif w not in new:
                 unseen.add(w)
-        unseen = sorted(unseen)
+        plain = {w for w in unseen if w.isalpha() and not _BEYOND_LATIN.search(w) and w.islower()}
+        for w in plain:
+            # Nothing to normalise or to split: such a word goes to the model as it is, in its byte alphabet.
+            spelled = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            new[w] = np.array([t.id for t in self._model.tokenize(spelled)], np.int32).tobytes()
+        unseen = sorted(unseen - plain)
         for w, e in zip(unseen, self._encode(unseen, add_special_tokens=False)):
             new[w] = np.array(e.ids, np.int32).tobytes()
         for w, base in cut.items():
@@ -167,15 +181,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             first = 0
+            sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
             while first < batch.num_rows:
-                # So many documents at once that their tokens stay within a few megabytes.
-                last, tokens, flat = first, 0, []
-                while last < batch.num_rows and tokens < 1 << 20:
-                    text = texts[last].as_py()
-                    ids = tokenizer.ids(text) if text else end[:0]
-                    flat += [ids, end]
-                    tokens += len(ids) + 1
+                # So many documents at once that their words and tokens stay within a few megabytes.
+                last, size = first + 1, sizes[first]
+                while last < batch.num_rows and size + sizes[last] <= 1 << 21:
+                    size += sizes[last]
                     last += 1
+                flat = [x for ids in tokenizer.ids([t or "" for t in texts[first:last].to_pylist()]) for x in (ids, end)]
                 rows, starts, lengths, totals, whole = [], [], [], [], []
                 for i, ids in enumerate(flat[::2]):
                     n = len(ids) + 1
