@@ -30,6 +30,10 @@ SLICES = 64
 BATCH_CHARS = 1 << 20
 ROWS_PER_TARGET = 400_000
 CROWDED = 200_000
+ALIKE = 24
+ENOUGH = 3
+# Tables of line numbers up to this many rows (about 20 MB) are copied to all tasks; larger ones are shuffled.
+SMALL_ROWS = 1_000_000
 _ENTRY = np.dtype([("cell", "<u8"), ("doc", "<i8"), ("low", "<u8"), ("high", "<u8"), ("line", "<i4"), ("crc", "<u4"),
                    ("n", "<i4"), ("at", "<i4"), ("role", "u1")])
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -116,13 +120,13 @@ def _overlap(total: np.ndarray, t: tuple[int, int]) -> np.ndarray:
 
 
 def _pairs(rows: np.ndarray, t: tuple[int, int], stop: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later, earlier, stopped) of sorted entries; with ``stop`` only the nearest earlier candidate of each."""
+    """(later, earlier, stopped) of sorted entries; with ``stop`` a few convincing candidates end the search of each."""
     edge = np.r_[True, rows["cell"][1:] != rows["cell"][:-1]]
     first = np.maximum.accumulate(np.where(edge, np.arange(len(rows)), 0))
     later, earlier, stopped = [], [], []
     active = np.flatnonzero((rows["role"] & 1 > 0) & (first < np.arange(len(rows))))
     n, at, role, low, high = (np.ascontiguousarray(rows[x]) for x in ("n", "at", "role", "low", "high"))
-    back = 1
+    back, convincing = 1, np.zeros(len(rows), np.int32)
     while len(active):
         other = active - back
         small, large = np.minimum(n[active], n[other]), np.maximum(n[active], n[other])
@@ -137,8 +141,16 @@ def _pairs(rows: np.ndarray, t: tuple[int, int], stop: bool) -> tuple[np.ndarray
         earlier.append(other[hit])
         back += 1
         more = active - back >= first[active]
-        stopped.append(more[hit])
-        active = active[more & ~hit] if stop else active[more]
+        if stop:
+            # Maps so much alike are no accident, whatever the length of the lines.
+            sure = hit & (apart * 3 <= 2 * (total - 2 * need)) & (apart <= ALIKE)
+            convincing[active[sure]] += 1
+            settled = convincing[active] >= ENOUGH
+            stopped.append((more & settled)[hit])
+            active = active[more & ~settled]
+        else:
+            stopped.append(np.zeros(int(hit.sum()), bool))
+            active = active[more]
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *later]), np.concatenate([none, *earlier]), np.concatenate([none > 0, *stopped])
 
@@ -297,9 +309,16 @@ def _found(doc, line, crc, other_doc, other_line, apart, stopped) -> pa.RecordBa
         [*arrays, pa.array(stopped)], names=["doc", "line", "crc", "other_doc", "other_line", "apart", "stopped"])
 
 
+def _small(rows: DataFrame, weights: str) -> DataFrame:
+    """The staged frame, to be broadcast if its lines are few enough."""
+    n = rows.agg(F.sum(F.size(weights)) + F.count("*")).first()[0] or 0
+    return F.broadcast(rows) if n <= SMALL_ROWS else rows
+
+
 def line_words(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, line, words): sorted digests of the words of the wanted (doc, line)."""
     per_doc = wanted.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__lines"))
+    per_doc = _small(stage(per_doc, "line-wanted"), "__lines")
     joined = docs.select(id_col, text_col).join(per_doc, F.col(id_col) == F.col("__doc")).select("__doc", text_col, "__lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,6 +403,7 @@ def drop_repeated_lines(docs: DataFrame, t: tuple[int, int] = SIMILARITY, id_col
     docs = docs.drop("n_lines", "removed")
     gone = (repeated_lines(docs, t, id_col, text_col).groupBy(F.col("doc").alias("__doc"))
             .agg(F.collect_list(F.struct("line", "crc")).alias("__gone")))
+    gone = _small(stage(gone, "lines-gone"), "__gone")
     joined = docs.join(gone, docs[id_col] == gone["__doc"], "left").drop("__doc")
     names = docs.columns
     at = names.index(text_col)
