@@ -24,9 +24,9 @@ FOREST = 6
 BLOCK = 256
 SAMPLED = 18
 ROUNDS = 6
-BEAM = 128
-EXPANDED = 48
-STEPS = 3
+BEAM = 192
+EXPANDED = 64
+STEPS = 4
 ENTRIES = 64
 
 
