@@ -10,7 +10,9 @@ from __future__ import annotations
 import heapq
 import os
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkwise.llm.common import stable_hash, windows
+from perkwise.llm.common import windows
 from perkwise.session import stage
 
 CAPACITY = 2048
@@ -27,6 +29,7 @@ BLOCK_WINDOWS = 128
 SMALLEST_CUT = 32
 END_ID = 1
 CACHED_WORDS = 400_000
+PART_CHARS = 1 << 22
 # Unicode's white space, which the tokenizer drops; str.split() also splits at U+001C to U+001F.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 # Below this code point, and only there surely, lower-casing commutes with normalising and nothing composes.
@@ -34,7 +37,24 @@ _BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]")
 # Byte-level vocabularies spell printable bytes as themselves and the others as the code points from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
-_ONLY_PYTHON = re.compile("[\x1c-\x1f]")
+# White space to Python and Arrow, but not to the tokenizer.
+_ONLY_PYTHON = "\x1c\x1d\x1e\x1f"
+
+
+def _is_space(char: str) -> bool:
+    return _SPACE.match(char) is not None
+
+
+def _latin(text: str) -> bool:
+    """No character from U+0250 on."""
+    if text.isascii():
+        return True
+    try:
+        # Much faster than a search, and true of most texts.
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _BEYOND_LATIN.search(text)
+    return True
 
 
 class WordTokenizer:
@@ -43,7 +63,8 @@ class WordTokenizer:
     The tokenizer never joins characters across white space, nor a letter or digit to a mark after it, so
     each distinct word is encoded once, without its closing mark, and kept in two tables of bounded size
     (the older one is dropped when the newer one is full). Latin texts are lower-cased first, as the
-    tokenizer would do, unless they may hold one of its special tokens.
+    tokenizer would do, unless they may hold one of its special tokens. Arrow splits the texts, finds their
+    distinct words and puts the ids of the words in place.
     """
 
     def __init__(self, path: str):
@@ -55,41 +76,74 @@ class WordTokenizer:
         self._old: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        parts, of = [], []
+        values, counts = self.flat(texts)
+        return np.split(values, np.cumsum(counts)[:-1])
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and the number of ids of each text."""
+        counts, values = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)]
+        parts: list[str] = []
+        of: list[int] = []
+        size = 0
+
+        def encode() -> None:
+            ids, n = self._parts(parts)
+            values.append(ids)
+            np.add.at(counts, of, n)
+            parts.clear()
+            of.clear()
+
         for i, text in enumerate(texts):
-            for part in windows(text):
-                if "<|" not in part and not _BEYOND_LATIN.search(part):
+            for part in windows(text, space=_is_space):
+                if "<|" not in part and _latin(part):
                     part = part.lower()
-                parts.append(part.split() if not _ONLY_PYTHON.search(part) else [w for w in _SPACE.split(part) if w])
+                parts.append(part)
                 of.append(i)
-        words = set().union(*parts)
+                size += len(part)
+                if size > PART_CHARS:
+                    encode()
+                    size = 0
+        if parts:
+            encode()
+        return np.concatenate(values), counts
+
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if any(c in part for part in parts for c in _ONLY_PYTHON):
+            lists = pa.array([[w for w in _SPACE.split(part) if w] for part in parts], pa.list_(pa.string()))
+        else:
+            lists = pa.compute.utf8_split_whitespace(pa.array(parts, pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self._new) > CACHED_WORDS:
             self._old, self._new = self._new, {}
-        self._learn(words - self._new.keys())
-        known = self._new.__getitem__
-        out = [b""] * len(texts)
-        for i, part in zip(of, parts):
-            out[i] += b"".join(map(known, part))
-        return [np.frombuffer(x, np.int32) for x in out]
+        # Leading and trailing white space leaves empty words.
+        self._new[""] = b""
+        self._learn(set(words).difference(self._new))
+        blobs = list(map(self._new.__getitem__, words))
+        ends = np.cumsum([0, *map(len, blobs)]) // 4
+        by_word = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
+        placed = by_word.take(coded.indices)
+        sizes = np.r_[0, np.cumsum(placed.value_lengths().to_numpy(zero_copy_only=False))]
+        offsets = lists.offsets.to_numpy()
+        return placed.flatten().to_numpy(), np.diff(sizes[offsets - offsets[0]])
 
     def _learn(self, words: set[str]) -> None:
         new, old = self._new, self._old
-        unseen = set()
         cut = {w: w[:-1] for w in words if w[-1] in ".,:;!?" and len(w) > 1 and w[-2].isascii() and w[-2].isalnum()}
-        needed = {*words.difference(cut), *cut.values(), *(w[-1] for w in cut)}
-        for w in needed:
+        unseen = set()
+        for w in {*words.difference(cut), *cut.values(), *(w[-1] for w in cut)}:
             if w in old:
                 new[w] = old[w]
             elif w not in new:
                 unseen.add(w)
-        plain = {w for w in unseen if w.isalpha() and not _BEYOND_LATIN.search(w) and w.islower()}
+        plain = {w for w in unseen if w.isalpha() and w.islower() and not _BEYOND_LATIN.search(w)}
         for w in plain:
             # Nothing to normalise or to split: such a word goes to the model as it is, in its byte alphabet.
             spelled = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            new[w] = np.array([t.id for t in self._model.tokenize(spelled)], np.int32).tobytes()
+            new[w] = array("i", [t.id for t in self._model.tokenize(spelled)]).tobytes()
         unseen = sorted(unseen - plain)
         for w, e in zip(unseen, self._encode(unseen, add_special_tokens=False)):
-            new[w] = np.array(e.ids, np.int32).tobytes()
+            new[w] = array("i", e.ids).tobytes()
         for w, base in cut.items():
             new[w] = new[base] + new[w[-1]]
 
@@ -171,13 +225,15 @@ def spread(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of every document: (id, start, ids, doc_tokens, whole, uid, slot). A null text is an empty one."""
+    """The pieces of every document: (id, start, ids, n, doc_tokens, whole, uid). A null text is an empty one.
+
+    ``ids`` are ``n`` little-endian 32-bit numbers, which Spark moves as one value.
+    """
     key = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part, made = worker_tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
         cuts: dict[int, list[int]] = {}
-        end = np.array([end_id], np.int32)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             first = 0
@@ -185,71 +241,84 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             while first < batch.num_rows:
                 # So many documents at once that their words and tokens stay within a few megabytes.
                 last, size = first + 1, sizes[first]
-                while last < batch.num_rows and size + sizes[last] <= 1 << 21:
+                while last < batch.num_rows and size + sizes[last] <= PART_CHARS:
                     size += sizes[last]
                     last += 1
-                flat = [x for ids in tokenizer.ids([t or "" for t in texts[first:last].to_pylist()]) for x in (ids, end)]
+                ids, counts = tokenizer.flat([t or "" for t in texts[first:last].to_pylist()])
+                ids = np.insert(ids, np.cumsum(counts), end_id)
                 rows, starts, lengths, totals, whole = [], [], [], [], []
-                for i, ids in enumerate(flat[::2]):
-                    n = len(ids) + 1
+                for i, n in enumerate((counts + 1).tolist()):
                     full, rest = divmod(n, capacity)
                     if rest not in cuts:
                         cuts[rest] = rest_cuts(rest)
                     own = [capacity] * full + cuts[rest]
                     rows += [first + i] * len(own)
                     lengths += own
-                    starts += np.cumsum([0, *own[:-1]]).tolist()
+                    starts += accumulate(own[:-1], initial=0)
                     totals += [n] * len(own)
                     whole += [True] * full + [False] * len(cuts[rest])
-                uid = [(part << 33) + made + i for i in range(len(rows))]
+                uid = (np.int64(part) << 33) + made + np.arange(len(rows))
                 made += len(rows)
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                offsets = np.cumsum([0, *lengths]).astype(np.int64) * 4
+                blobs = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<i4", copy=False))])
                 yield pa.RecordBatch.from_arrays([
-                    keys.take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat))),
-                    pa.array(totals, pa.int64()), pa.array(whole), pa.array(uid, pa.int64()),
-                    pa.array([stable_hash(str(u)) >> 2 for u in uid], pa.int64()),
-                ], names=[id_col, "start", "ids", "doc_tokens", "whole", "uid", "slot"])
+                    keys.take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), blobs.cast(pa.binary()),
+                    pa.array(lengths, pa.int32()), pa.array(totals, pa.int64()), pa.array(whole), pa.array(uid),
+                ], names=[id_col, "start", "ids", "n", "doc_tokens", "whole", "uid"])
                 first = last
 
-    schema = f"`{id_col}` {key}, start long, ids array<int>, doc_tokens long, whole boolean, uid long, slot long"
+    schema = f"`{id_col}` {key}, start long, ids binary, n int, doc_tokens long, whole boolean, uid long"
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block_windows: int = BLOCK_WINDOWS,
-         end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every token of every document in exactly one piece of a window of at most ``capacity`` tokens.
-
-    Returns (id, start, ids, doc_tokens, sequence_id, offset). ``end_id`` closes each document. A null or
-    empty text is the end token alone; repeated rows, also with equal or null ids, are documents of their
-    own; other columns are ignored, whatever their names; an empty table gives no rows.
-    """
+def pack_bytes(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block_windows: int = BLOCK_WINDOWS,
+               end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``pack``, with the ids of a piece as little-endian 32-bit numbers in one binary value."""
     pieces = stage(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
     rests = pieces.filter(~F.col("whole"))
-    total = rests.agg(F.sum(F.size("ids"))).first()[0] or 0
+    total = rests.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, round(total / (capacity * block_windows)))
 
     def place(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("uid").to_numpy(), kind="stable")
-        table = table.take(pa.array(order)).combine_chunks()
-        sizes = table.column("ids").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = table.column("n").to_numpy()[order].astype(np.int64)
         window = spread(sizes, capacity)
         by_window = np.argsort(window, kind="stable")
         before = np.cumsum(sizes[by_window]) - sizes[by_window]
         first = np.r_[True, window[by_window][1:] != window[by_window][:-1]]
         offset = np.empty(len(sizes), np.int64)
         offset[by_window] = before - np.maximum.accumulate(np.where(first, before, 0))
+        back = np.argsort(order)
         block = table.column("block").to_numpy()
-        return pa.table({
-            id_col: table.column(id_col), "start": table.column("start"), "ids": table.column("ids"),
-            "doc_tokens": table.column("doc_tokens"),
-            "sequence_id": pa.array((np.int64(1) << 62) + (block << 20) + window), "offset": pa.array(offset),
-        })
+        return table.select([id_col, "start", "ids", "doc_tokens"]).append_column(
+            "sequence_id", pa.array((np.int64(1) << 62) + (block << 20) + window[back])).append_column("offset", pa.array(offset[back]))
 
     key = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {key}, start long, ids array<int>, doc_tokens long, sequence_id long, offset long"
-    packed = (rests.withColumn("block", F.col("slot") % blocks).drop("whole", "slot")
+    schema = f"`{id_col}` {key}, start long, ids binary, doc_tokens long, sequence_id long, offset long"
+    packed = (rests.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks))).drop("whole")
               .groupBy("block").applyInArrow(place, schema))
     full = pieces.filter("whole").select(
         id_col, "start", "ids", "doc_tokens", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return full.unionByName(packed)
+
+
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block_windows: int = BLOCK_WINDOWS,
+         end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every token of every document in exactly one piece of a window of at most ``capacity`` tokens.
+
+    Returns (id, start, ids, doc_tokens, sequence_id, offset). ``end_id`` closes each document. A null or
+    empty text is the end token alone; repeated rows, also with equal or null ids, are documents of their
+    own; other columns are ignored, whatever their names; an empty table gives no rows.
+    """
+    packed = pack_bytes(docs, tokenizer_path, capacity, block_windows, end_id, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = batch.column(2)
+            ends = np.r_[0, np.cumsum(pa.compute.binary_length(blobs).to_numpy(zero_copy_only=False))] // 4
+            ids = pa.array(np.frombuffer(b"".join(blobs.to_pylist()), "<i4"))
+            yield batch.set_column(2, "ids", pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema)
+    return packed.mapInArrow(run, fields.replace("`ids` binary", "`ids` array<int>"))

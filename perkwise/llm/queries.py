@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,27 +49,15 @@ def tokenizer_path() -> str:
 
 
 def piece_digests(packed: DataFrame) -> DataFrame:
-    """The pieces with the length and the checksum of their ids in place of the ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(2)
-            offsets = ids.offsets.to_numpy()
-            values = memoryview(np.ascontiguousarray(ids.values.to_numpy(), "<i4")).cast("B")
-            sums = [zlib.crc32(values[4 * a:4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums, pa.int64()),
-                 *batch.columns[3:]],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    kind = packed.schema["doc_id"].dataType.simpleString()
-    return packed.select("doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset").mapInArrow(
-        run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    """The pieces of ``pack_bytes`` with the length and the checksum of their ids in place of the ids."""
+    return packed.select(
+        "doc_id", "start", (F.length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens", "sequence_id", "offset")
 
 
 @query
 def op4_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return piece_digests(packing.pack_bytes(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 @query
