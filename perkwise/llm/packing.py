@@ -28,7 +28,7 @@ CAPACITY = 2048
 BLOCK_WINDOWS = 128
 SMALLEST_CUT = 32
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 PART_CHARS = 1 << 22
 # Unicode's white space, which the tokenizer drops; str.split() also splits at U+001C to U+001F.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
