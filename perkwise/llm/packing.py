@@ -136,7 +136,7 @@ class WordTokenizer:
                 new[w] = old[w]
             elif w not in new:
                 unseen.add(w)
-        plain = {w for w in unseen if w.isalpha() and w.islower() and not _BEYOND_LATIN.search(w)}
+        plain = {w for w in unseen if w.isalpha() and w.islower() and (w.isascii() or not _BEYOND_LATIN.search(w))}
         for w in plain:
             # Nothing to normalise or to split: such a word goes to the model as it is, in its byte alphabet.
             spelled = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS)
@@ -171,45 +171,51 @@ def rest_cuts(rest: int, smallest: int = SMALLEST_CUT) -> list[int]:
 def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
     """The window of each piece, by multiway differencing.
 
-    Every partial partition is a descending vector of window sums less their minimum. The two of the
+    Every partial partition is an ascending vector of window sums less their minimum. The two of the
     largest spread are merged, the fullest window of one with the emptiest of the other, until one is left.
     """
     n = len(sizes)
     if windows <= 1 or n == 0:
         return np.zeros(n, np.int64)
+    size = sizes.tolist()
     sums: dict[int, np.ndarray] = {}
     merges: list[tuple[int, int, np.ndarray]] = []
-    heap = [(-int(s), i) for i, s in enumerate(sizes)]
+    heap = [(-s, i) for i, s in enumerate(size)]
     heapq.heapify(heap)
-
-    def vector(node: int) -> np.ndarray:
-        if node >= n:
-            return sums.pop(node)
-        out = np.zeros(windows, np.int64)
-        out[0] = sizes[node]
-        return out
-
+    bits = windows.bit_length()
+    number, mask = np.arange(windows), (1 << bits) - 1
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
-        both = vector(a) + vector(b)[::-1]
-        order = np.argsort(-both, kind="stable")
-        both = both[order]
+        if a >= n:
+            both = sums.pop(a)
+        else:
+            both = np.zeros(windows, np.int64)
+            both[-1] = size[a]
+        if b >= n:
+            both += sums.pop(b)[::-1]
+        else:
+            both[0] += size[b]
+        # Sum and place in one number: sorting it gives the sums in order and where each came from.
+        both <<= bits
+        both |= number
+        both.sort()
         node = n + len(merges)
-        merges.append((a, b, order.astype(np.int32)))
-        sums[node] = both - both[-1]
-        heapq.heappush(heap, (-int(both[0] - both[-1]), node))
+        merges.append((a, b, both & mask))
+        both >>= bits
+        both -= both[0]
+        sums[node] = both
+        heapq.heappush(heap, (-int(both[-1]), node))
     out = np.zeros(n, np.int64)
-    places = {heap[0][1]: np.arange(windows)}
+    places = {heap[0][1]: number}
     for i in range(len(merges) - 1, -1, -1):
         a, b, order = merges[i]
-        place = places.pop(n + i)
         left = np.empty(windows, np.int64)
-        left[order] = place
+        left[order] = places.pop(n + i)
         for node, where in ((a, left), (b, left[::-1])):
             if node >= n:
                 places[node] = where
             else:
-                out[node] = where[0]
+                out[node] = where[-1]
     return out
 
 
