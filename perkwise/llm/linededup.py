@@ -37,6 +37,9 @@ SMALL_ROWS = 1_000_000
 _ENTRY = np.dtype([("cell", "<u8"), ("doc", "<i8"), ("low", "<u8"), ("high", "<u8"), ("line", "<i4"), ("crc", "<u4"),
                    ("n", "<i4"), ("at", "<i4"), ("role", "u1")])
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+# The value of a byte in a word's digest; white space has none.
+_LETTER = np.where(np.isin(np.arange(256), [32, *range(9, 14)]), 0, np.arange(256) + 1).astype(np.uint64)
+_POWERS: list[np.ndarray] = []
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -48,24 +51,36 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(digest of each word, its line, text of each line, number of the line in its text)."""
     counts = np.array([t.count("\n") + 1 for t in texts], np.int64)
-    raw = np.frombuffer("\n".join(texts).lower().encode("utf-8", "replace") + b"\n", np.uint8)
+    raw = np.frombuffer("\n".join([t.lower() for t in texts]).encode("utf-8", "replace") + b"\n", np.uint8)
     text_of = np.repeat(np.arange(len(texts)), counts)
     number = np.arange(len(text_of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    starts = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+    solid = _LETTER.astype(bool)[raw]
+    starts = np.flatnonzero(np.r_[solid[:1], solid[1:] & ~solid[:-1]])
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), text_of, number
-    ends = np.flatnonzero(blank & np.r_[False, ~blank[:-1]])
-    size = ends - starts
-    letters = raw[~blank].astype(np.uint64) + np.uint64(1)
-    first = np.cumsum(size) - size
-    place = np.arange(len(letters)) - np.repeat(first, size)
-    powers = np.cumprod(np.full(int(size.max()), _MULTIPLIER, np.uint64))
-    digest = _mixed(np.add.reduceat(letters * powers[place], first))
-    line = np.searchsorted(np.flatnonzero(raw == 10), starts)
+    # A polynomial over the whole batch; dividing by the power of a word's place makes it independent of the place.
+    powers, inverse = _powers(len(raw))
+    digest = _mixed(np.add.reduceat(_LETTER[raw] * powers, starts) * inverse[starts])
+    ends = np.flatnonzero(raw == 10)
+    line = np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(starts, ends), prepend=0))
     return digest, line, text_of, number
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The multiplier to the powers 1 to n, and its inverse (modulo 2^64) to the powers 0 to n - 1."""
+    if n > 4 * BATCH_CHARS:
+        return _power_table(n)
+    if not _POWERS:
+        _POWERS.extend(_power_table(4 * BATCH_CHARS))
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    inverse = np.full(n, pow(int(_MULTIPLIER), -1, 1 << 64), np.uint64)
+    inverse[0] = 1
+    return np.cumprod(np.full(n, _MULTIPLIER, np.uint64)), np.cumprod(inverse)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with about BATCH_CHARS of text, at least one row each."""
     for batch in batches:
@@ -87,8 +102,7 @@ def rarity(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BUCKETS, np.int64)
         for _, texts in _groups(batches, 0):
-            places, n = np.unique(words_of(texts)[0] & np.uint64(BUCKETS - 1), return_counts=True)
-            seen[places.astype(np.int64)] += n
+            np.add.at(seen, (words_of(texts)[0] & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
         for i, part in enumerate(seen.reshape(SLICES, -1)):
             if part.any():
                 yield pa.RecordBatch.from_arrays(
@@ -196,13 +210,15 @@ def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, in
                 continue
             short = digest >> np.uint64(20)
             level = level_of[(digest & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
-            for low in range(0, len(text_of), 1 << 14):
-                mine = slice(*np.searchsorted(line, [low, low + (1 << 14)]))
+            for low in range(0, len(text_of), 1 << 13):
+                mine = slice(*np.searchsorted(line, [low, low + (1 << 13)]))
                 # Line, rarity and digest in one number: sorting it orders the words of every line.
-                key = np.unique((line[mine] - low).astype(np.uint64) << np.uint64(50) | level[mine] << np.uint64(44) | short[mine])
+                key = (line[mine] - low).astype(np.uint64) << np.uint64(51) | level[mine] << np.uint64(44) | short[mine]
                 if not len(key):
                     continue
-                own = (key >> np.uint64(50)).astype(np.int64)
+                key.sort()
+                key = key[np.r_[True, key[1:] != key[:-1]]]
+                own = (key >> np.uint64(51)).astype(np.int64)
                 word = key & np.uint64((1 << 44) - 1)
                 first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                 n = np.diff(np.r_[first, len(key)])
@@ -241,7 +257,7 @@ def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, in
                 at = np.arange(len(key)) - np.repeat(first, n)
                 prefix = n - -(-t[0] * n // t[1]) + 1
                 # Level 1 is a word that occurs once in the corpus.
-                rare = (key >> np.uint64(44)) & np.uint64(63)
+                rare = (key >> np.uint64(44)) & np.uint64(127)
                 use = np.flatnonzero(fresh[of] & (at < prefix[of]) & (rare > 1))
                 out = np.zeros(len(use), _ENTRY)
                 of = of[use]
