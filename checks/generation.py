@@ -76,13 +76,13 @@ _PROFILE = f"""SELECT customer_id, 'Customer tier: ' || tier || chr(10) || 'Tota
   || 'Generate a personalised retention offer.' AS prompt
   FROM {sql.customer_profiles('true')} LEFT JOIN (SELECT CAST(o_custkey AS VARCHAR) AS customer_id,
     string_agg('order ' || o_orderkey, chr(10) || chr(10) ORDER BY o_orderkey) AS docs
-    FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) USING (customer_id)"""
+    FROM orders GROUP BY 1) USING (customer_id)"""
 
 
 @query("gen4_profile_prompt", _PROFILE)
 def profile_prompt(spark, d):
     customers = st.customer_profiles(spark, d, st.table(spark, d, "orders"))
-    docs = st.table(spark, d, "orders").filter("o_orderstatus = 'O'").select(
+    docs = st.table(spark, d, "orders").select(
         F.col("o_custkey").cast("string").alias("customer_id"), "o_orderkey",
         F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("text"),
     )

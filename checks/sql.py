@@ -81,8 +81,8 @@ def customer_profiles(condition: str) -> str:
     FROM orders WHERE {condition} GROUP BY o_custkey) a ON c_custkey = a.o_custkey)"""
 
 
-CUSTOMER_SNAPSHOT = customer_profiles("o_orderdate < TIMESTAMP '1996-01-01'")
-CUSTOMER_RECENT = customer_profiles("o_orderdate >= TIMESTAMP '2001-01-01'")
+CUSTOMER_SNAPSHOT = customer_profiles("o_custkey % 3 = 0 OR (o_custkey % 3 = 1 AND o_orderkey % 3 <> 2)")
+CUSTOMER_RECENT = customer_profiles("o_custkey % 3 = 2 OR (o_custkey % 3 = 1 AND o_orderkey % 3 <> 0)")
 
 FEEDBACK = f"""(SELECT event_id AS id, CAST(k * 10 + user_id % 10 AS VARCHAR) AS offer_id,
   CAST(user_id AS VARCHAR) AS customer_id,

@@ -103,21 +103,22 @@ def _flat(vectors):
 _NAMES = ",".join(store.NUMERIC_FEATURES)
 _TOTAL = " + ".join(f"{c}::DOUBLE" for c in store.NUMERIC_FEATURES)
 _VECTOR = f"""customer_id, '{_NAMES}' AS feature_names, round({_TOTAL}, 7) AS "values", written_at AS computed_at"""
-_OLD = f"SELECT * FROM {sql.STORED} WHERE version = 'v1' AND recency_days < 3"
-_NEW = f"SELECT * FROM {sql.STORED} WHERE version = 'v3' AND frequency_30d > 40"
+# Each customer is in the old rows, the new ones or both.
+_OLD = f"SELECT * FROM {sql.STORED} WHERE version = 'v1' AND CAST(customer_id AS BIGINT) % 3 <> 2"
+_NEW = f"SELECT * FROM {sql.STORED} WHERE version = 'v3' AND CAST(customer_id AS BIGINT) % 3 <> 0"
 
 
 @query("fst9_upsert_vectors", f"""SELECT {_VECTOR} FROM ({_NEW}) UNION ALL
   SELECT {_VECTOR} FROM ({_OLD}) WHERE customer_id NOT IN (SELECT customer_id FROM ({_NEW}))""")
 def upsert_vectors(spark, d):
     rows = st.stored_features(spark, d)
-    old = store.to_vectors(rows.filter("version = 'v1' and recency_days < 3"), F.col("written_at"))
-    new = store.to_vectors(rows.filter("version = 'v3' and frequency_30d > 40"), F.col("written_at"))
+    old = store.to_vectors(rows.filter("version = 'v1' and cast(customer_id as bigint) % 3 <> 2"), F.col("written_at"))
+    new = store.to_vectors(rows.filter("version = 'v3' and cast(customer_id as bigint) % 3 <> 0"), F.col("written_at"))
     return _flat(store.upsert_vectors(old, new))
 
 
-_HOT = f"SELECT * FROM {sql.STORED} WHERE version = 'v3' AND channel_preference <> 'web'"
-_COLD = f"SELECT * FROM {sql.STORED} WHERE version = 'v2' AND recency_days < 9"
+_HOT = f"SELECT * FROM {sql.STORED} WHERE version = 'v3' AND CAST(customer_id AS BIGINT) % 3 <> 2"
+_COLD = f"SELECT * FROM {sql.STORED} WHERE version = 'v2'"
 _IDS = "(SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS customer_id FROM orders)"
 
 
@@ -126,10 +127,10 @@ _IDS = "(SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS customer_id FROM orders)"
   AND customer_id NOT IN (SELECT customer_id FROM ({_HOT}))""")
 def hot_cold_lookup(spark, d):
     rows = st.stored_features(spark, d)
-    fresh = rows.filter("version = 'v3' and channel_preference <> 'web'")
+    fresh = rows.filter("version = 'v3' and cast(customer_id as bigint) % 3 <> 2")
     stale = rows.filter("version = 'v1'")  # past its day, so never served
     hot = store.to_vectors(fresh.unionByName(stale), F.col("written_at"))
-    cold = store.to_vectors(rows.filter("version = 'v2' and recency_days < 9"), F.col("written_at"))
+    cold = store.to_vectors(rows.filter("version = 'v2'"), F.col("written_at"))
     ids = st.transactions(spark, d).select("customer_id")
     # The cache holds one row per customer, the last one written.
     hot = store.keep_last(hot, ["customer_id"], ["computed_at"])

@@ -33,10 +33,16 @@ def _matrix(vectors: pd.Series, cosine: bool) -> np.ndarray:
 
 
 def _best(query_ids, queries: np.ndarray, ids: np.ndarray, catalogue: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best catalogue rows of each query; ``ids`` ascend, so a stable sort breaks ties by id."""
+    """The k best catalogue rows of each query; ``ids`` ascend, so of equal scores the first rows are taken."""
     scores = np.round(queries @ catalogue.T, DIGITS)
     k = min(k, scores.shape[1])
-    picked = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    value = np.where(np.isnan(scores), -np.inf, scores)
+    edge = np.partition(value, -k, axis=1)[:, -k][:, None]
+    above, level = value > edge, value == edge
+    room = k - above.sum(axis=1, keepdims=True)
+    chosen = np.nonzero(above | (level & (np.cumsum(level, axis=1) <= room)))[1].reshape(len(scores), k)
+    order = np.argsort(-np.take_along_axis(value, chosen, axis=1), axis=1, kind="stable")
+    picked = np.take_along_axis(chosen, order, axis=1)
     return pd.DataFrame({
         "query_id": np.repeat(np.asarray(query_ids, dtype=object), k),
         "id": ids[picked].ravel(),
@@ -127,11 +133,12 @@ def nearest(
     """Exact top-k of a catalogue (id, embedding) for every query (query_id, embedding).
 
     Result: query_id, id, score, rank. ``metric`` is cosine or dot (both: higher is better), or
-    distance (1 - cosine, lower is better). Ties go to the smaller id.
+    distance (1 - cosine, lower is better). Ties go to the smaller id. Rows without a vector take no part.
     """
     if metric not in ("cosine", "dot", "distance"):
         raise ValueError(f"unknown metric {metric!r}")
     cosine = metric != "dot"
+    queries, catalogue = (side.filter("embedding is not null") for side in (queries, catalogue))
     if _fits(catalogue, broadcast_numbers):
         # A query meets the whole catalogue in one task, so its answer needs no shuffle.
         ranked = _broadcast_join(queries, catalogue, k, cosine)
@@ -173,6 +180,7 @@ def nearest_approximate(
     becomes many bounded tasks.
     """
     cosine = metric != "dot"
+    queries, catalogue = (side.filter("embedding is not null") for side in (queries, catalogue))
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features").fit(
         catalogue.select(array_to_vector("embedding").alias("features"))
     )

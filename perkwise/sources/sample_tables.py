@@ -115,14 +115,18 @@ def customer_profiles(spark: SparkSession, sf_dir: str, orders: DataFrame) -> Da
     )
 
 
+# Every order is in the snapshot, in the batch or in both; of the customers a third is in both.
+SNAPSHOT_ORDERS = "o_custkey % 3 = 0 OR (o_custkey % 3 = 1 AND o_orderkey % 3 <> 2)"
+BATCH_ORDERS = "o_custkey % 3 = 2 OR (o_custkey % 3 = 1 AND o_orderkey % 3 <> 0)"
+
+
 def customer_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    early = table(spark, sf_dir, "orders").filter("o_orderdate < timestamp_ntz'1996-01-01'")
-    return customer_profiles(spark, sf_dir, early)
+    return customer_profiles(spark, sf_dir, table(spark, sf_dir, "orders").filter(SNAPSHOT_ORDERS))
 
 
 def customer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recent profiles, each arriving twice; the second time with one more visit."""
-    recent = table(spark, sf_dir, "orders").filter("o_orderdate >= timestamp_ntz'2001-01-01'")
+    """New profiles, each arriving twice; the second time with one more visit."""
+    recent = table(spark, sf_dir, "orders").filter(BATCH_ORDERS)
     twice = customer_profiles(spark, sf_dir, recent).select(
         "*", F.explode(F.array(F.lit(1), F.lit(2))).alias("arrival")
     )

@@ -126,3 +126,26 @@ def test_winner_ties(spark, p50, precision, want):
     frame = spark.createDataFrame([("a", 0, p50[0], precision[0]), ("b", 1, p50[1], precision[1])],
         "retriever string, place int, latency_p50_ms double, precision_at_k double")
     assert tuple(rt.winners(frame).first()) == want
+
+
+def test_best_rows_match_a_full_sort_with_ties_and_nan():
+    rng = np.random.default_rng(5)
+    queries, rows = rng.integers(-2, 3, (40, 3)).astype(float), rng.integers(-2, 3, (60, 3)).astype(float)
+    rows[7] = np.nan
+    ids = np.array([f"{i:03}" for i in range(60)], dtype=object)
+    for k in (1, 5, 60, 80):
+        found = nn._best(np.arange(40), queries, ids, rows, k)
+        expected = []
+        for q in queries:
+            scores = q @ rows.T
+            order = sorted(range(60), key=lambda i: (np.isnan(scores[i]), -scores[i] if scores[i] == scores[i] else 0, i))
+            expected += [ids[i] for i in order[: min(k, 60)]]
+        assert found["id"].tolist() == expected
+
+
+def test_rows_without_a_vector_take_no_part(spark):
+    schema = "embedding array<float>"
+    queries = spark.createDataFrame([("q", [1.0, 0.0]), ("none", None)], f"query_id string, {schema}")
+    catalogue = spark.createDataFrame([("a", None), ("b", [0.0, 1.0]), ("c", [2.0, 0.0])], f"id string, {schema}")
+    found = nn.nearest(queries, catalogue, 3).orderBy("rank").collect()
+    assert [(r["query_id"], r["id"]) for r in found] == [("q", "c"), ("q", "b")]
