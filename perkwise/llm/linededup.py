@@ -6,12 +6,14 @@ What passes these filters and a bound from 128-bit parity maps is verified on th
 
 Words are 64-bit digests computed for a whole batch at once. A task sends to the shuffle only the first of
 its lines with the same words, so a line copied everywhere arrives once per task; the rows travel packed,
-one binary per task and target. Rarity comes from a table of hashed counts of all words, of fixed size; it
+one binary per task and target. Runs of letters of scripts without blanks are cut into trigrams, which count
+as words. Lines so short that only an equal set is similar enough meet by one digest of the whole set. Rarity comes from a table of hashed counts of all words, of fixed size; it
 only orders words, so a collision costs speed and not results.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,6 +42,9 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 # The value of a byte in a word's digest; white space has none.
 _LETTER = np.where(np.isin(np.arange(256), [32, *range(9, 14)]), 0, np.arange(256) + 1).astype(np.uint64)
 _POWERS: list[np.ndarray] = []
+# Runs of Thai, Lao, Myanmar, Khmer, kana and Han, which have no blanks between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]+")
+GRAM = 3
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -48,10 +53,21 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _grams(run: re.Match) -> str:
+    letters = run.group()
+    return f" {' '.join(letters[i:i + GRAM] for i in range(max(1, len(letters) - GRAM + 1)))} "
+
+
+def _spaced(text: str) -> str:
+    """The text in lower case, with blanks between the trigrams of runs that have none."""
+    text = text.lower()
+    return text if text.isascii() else _UNSPACED.sub(_grams, text)
+
+
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(digest of each word, its line, text of each line, number of the line in its text)."""
     counts = np.array([t.count("\n") + 1 for t in texts], np.int64)
-    raw = np.frombuffer("\n".join([t.lower() for t in texts]).encode("utf-8", "replace") + b"\n", np.uint8)
+    raw = np.frombuffer("\n".join([_spaced(t) for t in texts]).encode("utf-8", "replace") + b"\n", np.uint8)
     text_of = np.repeat(np.arange(len(texts)), counts)
     number = np.arange(len(text_of)) - np.repeat(np.cumsum(counts) - counts, counts)
     solid = _LETTER.astype(bool)[raw]
@@ -170,7 +186,7 @@ def _pairs(rows: np.ndarray, t: tuple[int, int], stop: bool) -> tuple[np.ndarray
 
 
 def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, int], stop: bool,
-               id_col: str, text_col: str, probes: str | None = None, crowded: int = CROWDED) -> DataFrame:
+               id_col: str, text_col: str, probes: str | None = None, crowded: int = CROWDED, *, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, line, crc, other_doc, other_line, apart, stopped): lines with an earlier line that may match.
 
     Without another line the match is certain: an equal line came earlier in the same task. ``probes`` names
@@ -229,7 +245,7 @@ def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, in
                 lines = own[first] + low
                 docs_, numbers = ids[text_of[lines]], number[lines]
                 fresh, double = np.zeros(len(lines), bool), np.zeros(len(lines), bool)
-                for i in np.flatnonzero(n >= MIN_WORDS).tolist():
+                for i in np.flatnonzero(n >= min_words).tolist():
                     mark, place = int(whole[i]), (int(docs_[i]), int(numbers[i]))
                     before = seen.get(mark)
                     if before is None or place <= before:
@@ -240,7 +256,7 @@ def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, in
                 role = np.full(len(lines), 3, np.uint8)
                 if probes:
                     role = np.array([3 if int(x) in wanted[t] else 2 for x, t in zip(numbers, text_of[lines])], np.uint8)
-                    fresh |= (role == 3) & (n >= MIN_WORDS)
+                    fresh |= (role == 3) & (n >= min_words)
                 if (double | fresh).any():
                     crc = np.zeros(len(lines), np.uint32)
                     split: dict[int, list[str]] = {}
@@ -261,7 +277,9 @@ def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, in
                 use = np.flatnonzero(fresh[of] & (at < prefix[of]) & (rare > 1))
                 out = np.zeros(len(use), _ENTRY)
                 of = of[use]
-                out["cell"], out["doc"], out["line"], out["crc"] = word[use], docs_[of], numbers[of], crc[of] if len(use) else 0
+                # Where a word more or less is too much, equal sets are all that can match.
+                equal = n[of] * t[1] < t[0] * (n[of] + 1)
+                out["cell"], out["doc"], out["line"], out["crc"] = np.where(equal, whole[of], word[use]), docs_[of], numbers[of], crc[of] if len(use) else 0
                 out["n"], out["at"], out["low"], out["high"], out["role"] = n[of], at[use], maps[0][of], maps[1][of], role[of]
                 grid = np.ceil(2.0 ** (rare[use].astype(float) / 2) / crowded).astype(np.int64)
                 if (grid > 1).any():
@@ -376,15 +394,16 @@ def verified(docs: DataFrame, pairs: DataFrame, t: tuple[int, int], id_col: str,
     return joined.mapInArrow(run, "doc long, line int, crc long").distinct()
 
 
-def repeated_lines(docs: DataFrame, t: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, t: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
+                   min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, line, crc) of every line with an earlier line of Jaccard similarity ``t`` or more.
 
-    Lines are in order of (id, number of the line, from 0). Lines of fewer than five different words are
-    never removed. Documents of null id or text take no part.
+    Lines are in order of (id, number of the line, from 0). Lines of fewer than
+    ``min_words`` different words are never removed; with 1 only lines without any word stay. Documents of null id or text take no part.
     """
     docs = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     levels, words = rarity(docs, text_col)
-    found = stage(candidates(docs, levels, words // 4, t, True, id_col, text_col), "line-candidates")
+    found = stage(candidates(docs, levels, words // 4, t, True, id_col, text_col, min_words=min_words), "line-candidates")
     certain = found.filter("other_doc is null").select("doc", "line", "crc")
     open_ = found.filter("other_doc is not null")
     # Of a line's candidates the one that looks nearest first, the others only where that one fails.
@@ -403,13 +422,14 @@ def repeated_lines(docs: DataFrame, t: tuple[int, int] = SIMILARITY, id_col: str
                       .groupBy("doc").agg(F.collect_set("line").alias("__probes")), "line-unsettled")
     if not unsettled.isEmpty():
         probed = docs.join(unsettled, docs[id_col] == unsettled["doc"], "left").drop("doc")
-        more = candidates(probed, levels, words // 4, t, False, id_col, text_col, "__probes")
+        more = candidates(probed, levels, words // 4, t, False, id_col, text_col, "__probes", min_words=min_words)
         more = stage(more.select("doc", "line", "crc", "other_doc", "other_line").distinct(), "line-candidates")
         out = out.unionByName(stage(verified(docs, more, t, id_col, text_col), "line-verified"))
     return out.distinct()
 
 
-def drop_repeated_lines(docs: DataFrame, t: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, t: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
+                        min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without their repeated lines, and ``n_lines`` and ``removed`` (numbers of the lines).
 
     A null text stays null with 0 lines; a document may end up empty; a row of null id stays as it is. Rows
@@ -417,7 +437,7 @@ def drop_repeated_lines(docs: DataFrame, t: tuple[int, int] = SIMILARITY, id_col
     alike. Columns of the two new names that are there already are replaced.
     """
     docs = docs.drop("n_lines", "removed")
-    gone = (repeated_lines(docs, t, id_col, text_col).groupBy(F.col("doc").alias("__doc"))
+    gone = (repeated_lines(docs, t, id_col, text_col, min_words).groupBy(F.col("doc").alias("__doc"))
             .agg(F.collect_list(F.struct("line", "crc")).alias("__gone")))
     gone = _small(stage(gone, "lines-gone"), "__gone")
     joined = docs.join(gone, docs[id_col] == gone["__doc"], "left").drop("__doc")

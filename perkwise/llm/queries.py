@@ -70,7 +70,7 @@ def op5_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.drop_repeated_lines(docs).select(
+    return linededup.drop_repeated_lines(docs, min_words=1).select(
         "doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_sort("removed").alias("removed"), "text")
 
 

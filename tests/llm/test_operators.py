@@ -230,6 +230,20 @@ def test_lines_of_odd_rows(spark, odd):
     assert {r.doc_id: r.text for r in linededup.drop_repeated_lines(docs).collect()} == {1: EN[0] + "\nshort line", 2: "short line\nnew"}
 
 
+def test_short_lines_and_lines_without_blanks(spark):
+    rng = np.random.default_rng(4)
+    words = [f"v{i}" for i in range(12)]
+    rows = [(i, "\n".join(" ".join(rng.choice(words, rng.integers(1, 7))) for _ in range(4)) + "\n\n") for i in range(40)]
+    lines = [(i, n, set(x.split())) for i, t in rows for n, x in enumerate(t.split("\n"))]
+    want = {(i, n) for a, (i, n, x) in enumerate(lines) if x and any(5 * len(x & y) >= 4 * len(x | y) for _, _, y in lines[:a])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {(r.doc, r.line) for r in linededup.repeated_lines(docs, min_words=1).collect()} == want
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(60))
+    docs = spark.createDataFrame([(1, f"{han}\nread more"), (2, f"{han[:30]}的{han[31:]}\nRead more\n{han[::-1]}")], "doc_id long, text string")
+    got = linededup.drop_repeated_lines(docs.repartition(2), min_words=1).filter("doc_id = 2").first()
+    assert got.removed == [0, 1] and got.text == han[::-1]
+
+
 def test_toxicity(spark, odd):
     rng = np.random.default_rng(1)
     rows, labels = [], []
