@@ -2,8 +2,9 @@
 
 A line is the text between two block boundaries. Its ratio is its characters over the tags it took; ratios
 are smoothed by a Gaussian along the page and split into two clusters by the threshold between their means.
-The content region is the innermost container that holds most of the text of the upper cluster; all its
-lines are returned, short ones too, but for what markup names as menu, notice, advert and the like.
+The innermost container that holds most of the text of the upper cluster tells where the content is; the
+region is the article or main around it, or else the container, the lowest one that holds all of that text.
+All its lines are returned, short ones too, but for what markup names as menu, notice, advert and the like.
 """
 
 from __future__ import annotations
@@ -64,6 +65,7 @@ class _Lines(HTMLParser):
         self._counts: dict[str, int] = {}
         self._hidden = self._in_content = self._tags = self._made = 0
         self._containers: list[int] = [0]
+        self.content: set[int] = set()
         self._text: list[str] = []
 
     def _flush(self) -> None:
@@ -81,6 +83,8 @@ class _Lines(HTMLParser):
         if tag in _CONTAINERS:
             self._made += 1
             self._containers.append(self._made)
+            if tag in ("article", "main"):
+                self.content.add(self._made)
         self._in_content += tag in ("article", "main")
 
     def _pop(self) -> str:
@@ -166,7 +170,12 @@ def main_text(html: str) -> str:
         for level, c in enumerate(containers):
             held[c] = held.get(c, 0.0) + size
             depth[c] = level
-    region = max((c for c in held if held[c] >= REGION_SHARE * held[0]), key=lambda c: (depth[c], held[c]))
+    core = max((c for c in held if held[c] >= REGION_SHARE * held[0]), key=lambda c: (depth[c], held[c]))
+    path = next(containers for _, _, containers in lines if core in containers)
+    path = path[:path.index(core) + 1]
+    # Of the articles and mains around it the lowest with as much as any; without them the lowest container with all.
+    around = [c for c in path if c in parser.content] or path
+    region = next(c for c in reversed(around) if held[c] >= held[around[0]])
     return "\n".join(text for text, _, containers in lines if region in containers)
 
 

@@ -276,6 +276,20 @@ def test_main_text(spark):
     assert extraction.extract(pages.limit(0)).count() == 0
 
 
+def test_main_text_of_nested_and_uneven_parts():
+    line = "A sentence of the article with enough words to be taken for its text, number {}."
+    big, small = ("".join(f"<p>{line.format(i)}</p>" for i in part) for part in (range(8), range(8, 11)))
+    want = [line.format(i) for i in range(11)]
+    menu = "".join(f"<p><a href=/{i}>Go {i}</a></p>" for i in range(12))
+    for tag in ("section", "div", "td"):
+        html = f"<body><div>{menu}</div><div><{tag}>{big}</{tag}><{tag}>{small}</{tag}></div></body>"
+        assert extraction.main_text(html).split("\n") == want
+    html = f"<main><article>{big}</article><article>{small}</article></main><div>{menu}</div>"
+    assert extraction.main_text(html).split("\n") == want
+    html = f"<div>{menu}</div><article><h1>Head</h1><p>The lead.</p><div class=body>{big}{small}</div></article>"
+    assert extraction.main_text(html).split("\n") == ["Head", "The lead.", *want]
+
+
 def test_secrets_spans_and_ledger(spark):
     text = "é Password = 'abcdefgh12' AKIA1234567890ABCD " + "0a" * 17 + " token: short token=secret=abcdefgh1"
     docs = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, text, 1), (4, "clean", 1)], "doc_id long, text string, blob int")
