@@ -4,7 +4,8 @@ A line is the text between two block boundaries. Its ratio is its characters ove
 are smoothed by a Gaussian along the page and split into two clusters by the threshold between their means.
 The innermost container that holds most of the text of the upper cluster tells where the content is; the
 region is the article or main around it, or else the container, the lowest one that holds all of that text.
-All its lines are returned, short ones too, but for what markup names as menu, notice, advert and the like.
+All its lines are returned, short ones too, but for containers that markup names as menu, notice, advert and the like; inside an
+article or main their ratio must be low as well.
 """
 
 from __future__ import annotations
@@ -33,10 +34,22 @@ _BOILERPLATE = frozenset(
     "popup modal overlay nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer "
     "masthead comment comments commentlist disqus reply replies respond share sharing social related newsletter subscribe "
     "subscription login signup pagination pager skip".split())
-_NAME_PARTS = re.compile(r"[a-z]+")
+# What a name of boilerplate may have besides such a word.
+_FILLERS = frozenset(
+    "area article articles banner bar block blocks body bottom box button buttons container content fixed form global group header "
+    "icons inline inner item items left link links list main media message mobile out page panel posts primary right row "
+    "secondary section site sticky story stories text thread title top unit wrap wrapper x".split())
+_NAMED = frozenset("center dd div dl header li ol section table tbody td tr ul".split())
+_NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_content: bool) -> bool:
+def _names_boilerplate(name: str) -> bool:
+    """Whether all parts of a class or id belong to a name of boilerplate."""
+    parts = [part.lower() for part in _NAME_PARTS.findall(name)]
+    return not _BOILERPLATE.isdisjoint(parts) and all(part in _BOILERPLATE or part in _FILLERS for part in parts)
+
+
+def _is_hidden(tag: str, attrs: list[tuple[str, str | None]], in_content: bool) -> bool:
     if tag in _HIDDEN or tag == "header" and not in_content:
         return True
     if tag in ("html", "body", "article", "main") or not attrs:
@@ -48,22 +61,24 @@ def _is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_content: b
             continue
         if name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and not _BOILERPLATE.isdisjoint(_NAME_PARTS.findall(value.lower())):
-            return True
         if name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
     return False
 
 
+def _is_suspect(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    return tag in _NAMED and any(name in ("class", "id") and value and any(map(_names_boilerplate, value.split())) for name, value in attrs)
+
+
 class _Lines(HTMLParser):
-    """Lines of visible text with their tags and open containers."""
+    """Lines of visible text with their tags, open containers and the number of the open suspect element or 0."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self._open: list[tuple[str, bool]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], int]] = []
+        self._open: list[tuple[str, bool, bool]] = []
         self._counts: dict[str, int] = {}
-        self._hidden = self._in_content = self._tags = self._made = 0
+        self._hidden = self._suspect = self._suspects = self._in_content = self._tags = self._made = 0
         self._containers: list[int] = [0]
         self.content: set[int] = set()
         self._text: list[str] = []
@@ -73,13 +88,15 @@ class _Lines(HTMLParser):
             text = " ".join("".join(self._text).split())
             self._text.clear()
             if text:
-                self.lines.append((text, self._tags, tuple(self._containers)))
+                self.lines.append((text, self._tags, tuple(self._containers), self._suspects if self._suspect else 0))
                 self._tags = 0
 
-    def _push(self, tag: str, hidden: bool) -> None:
-        self._open.append((tag, hidden))
+    def _push(self, tag: str, hidden: bool, suspect: bool) -> None:
+        self._open.append((tag, hidden, suspect))
         self._counts[tag] = self._counts.get(tag, 0) + 1
         self._hidden += hidden
+        self._suspects += suspect and not self._suspect
+        self._suspect += suspect
         if tag in _CONTAINERS:
             self._made += 1
             self._containers.append(self._made)
@@ -88,9 +105,10 @@ class _Lines(HTMLParser):
         self._in_content += tag in ("article", "main")
 
     def _pop(self) -> str:
-        tag, hidden = self._open.pop()
+        tag, hidden, suspect = self._open.pop()
         self._counts[tag] -= 1
         self._hidden -= hidden
+        self._suspect -= suspect
         if tag in _CONTAINERS:
             self._containers.pop()
         self._in_content -= tag in ("article", "main")
@@ -110,7 +128,9 @@ class _Lines(HTMLParser):
             if self._open and self._open[-1][0] == "p":
                 self._pop()
         if tag not in _VOID:
-            self._push(tag, _is_boilerplate(tag, attrs, self._in_content > 0))
+            # Inside an article a name alone does not decide.
+            suspect, inside = _is_suspect(tag, attrs), self._in_content > 0
+            self._push(tag, _is_hidden(tag, attrs, inside) or suspect and not inside, suspect and inside)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # A slash does not close an element of HTML.
@@ -128,7 +148,7 @@ class _Lines(HTMLParser):
         if not self._hidden:
             self._text.append(data)
 
-    def finish(self) -> list[tuple[str, int, tuple[int, ...]]]:
+    def finish(self) -> list[tuple[str, int, tuple[int, ...], int]]:
         self.close()
         self._flush()
         return self.lines
@@ -161,22 +181,32 @@ def main_text(html: str) -> str:
     lines = parser.finish()
     if not lines:
         return ""
-    sizes = np.array([len(text) for text, _, _ in lines], float)
-    ratios = smoothed(sizes / np.maximum(1, [tags for _, tags, _ in lines]))
-    content = np.where(ratios >= threshold(ratios), sizes, 0.0)
+    sizes = np.array([len(text) for text, _, _, _ in lines], float)
+    ratios = smoothed(sizes / np.maximum(1, [tags for _, tags, _, _ in lines]))
+    border = threshold(ratios)
+    suspects = np.array([suspect for _, _, _, suspect in lines])
+    if suspects.any():
+        # A suspect element goes if the ratios of its lines lie in the lower cluster on the average.
+        mean = np.bincount(suspects, ratios) / np.maximum(1, np.bincount(suspects))
+        stays = (suspects == 0) | (mean[suspects] >= border)
+        if stays.any():
+            lines, sizes, ratios = [line for line, x in zip(lines, stays) if x], sizes[stays], ratios[stays]
+    content = np.where(ratios >= border, sizes, 0.0)
+    if not content.any():
+        content = sizes
     held: dict[int, float] = {}
     depth: dict[int, int] = {}
-    for size, (_, _, containers) in zip(content, lines):
+    for size, (_, _, containers, _) in zip(content, lines):
         for level, c in enumerate(containers):
             held[c] = held.get(c, 0.0) + size
             depth[c] = level
     core = max((c for c in held if held[c] >= REGION_SHARE * held[0]), key=lambda c: (depth[c], held[c]))
-    path = next(containers for _, _, containers in lines if core in containers)
+    path = next(containers for _, _, containers, _ in lines if core in containers)
     path = path[:path.index(core) + 1]
     # Of the articles and mains around it the lowest with as much as any; without them the lowest container with all.
     around = [c for c in path if c in parser.content] or path
     region = next(c for c in reversed(around) if held[c] >= held[around[0]])
-    return "\n".join(text for text, _, containers in lines if region in containers)
+    return "\n".join(text for text, _, containers, _ in lines if region in containers)
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

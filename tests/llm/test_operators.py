@@ -290,6 +290,16 @@ def test_main_text_of_nested_and_uneven_parts():
     assert extraction.main_text(html).split("\n") == ["Head", "The lead.", *want]
 
 
+def test_names_of_boilerplate_need_a_container_and_a_low_ratio():
+    line = "A sentence of the article with enough words to be taken for its text, number {}."
+    text = [line.format(i) for i in range(9)]
+    p = [f"<p>{x}</p>" for x in text]
+    html = (f"<article>{''.join(p[:3])}<h2 id=comments-on-the-method>Comments on it</h2>{p[3]}<section id=related-work>{p[4]}{p[5]}</section>"
+            f"<p class=notice>A <span class=share-price>price</span> of 3</p><div class=notice>{p[6]}{p[7]}</div>{p[8]}"
+            f"<ul class='share-buttons'>{'<li><a href=/><i></i>Go</a></li>' * 9}</ul></article><div class=related-posts>{p[0]}</div>")
+    assert extraction.main_text(html).split("\n") == [*text[:3], "Comments on it", *text[3:6], "A price of 3", *text[6:]]
+
+
 def test_secrets_spans_and_ledger(spark):
     text = "é Password = 'abcdefgh12' AKIA1234567890ABCD " + "0a" * 17 + " token: short token=secret=abcdefgh1"
     docs = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, text, 1), (4, "clean", 1)], "doc_id long, text string, blob int")
