@@ -149,9 +149,15 @@ def nearest(
     return ranked
 
 
-def _cells(rows: DataFrame, model, id_column: str, keep: int) -> DataFrame:
-    """The ``keep`` nearest cell centres of every vector."""
+def _cells(
+    rows: DataFrame, model, id_column: str, keep: int, held: np.ndarray | None = None, least: int = 0
+) -> DataFrame:
+    """The ``keep`` nearest cell centres of every vector, and further ones until those hold ``least`` rows.
+
+    ``held`` has the rows of every cell.
+    """
     centres = np.stack(model.clusterCenters())
+    held = np.zeros(len(centres), np.int64) if held is None else held
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         half = (centres**2).sum(axis=1) / 2.0
@@ -159,9 +165,11 @@ def _cells(rows: DataFrame, model, id_column: str, keep: int) -> DataFrame:
             values = _matrix(batch["embedding"], True)
             if not len(values):
                 continue
-            closest = np.argsort(half - values @ centres.T, axis=1, kind="stable")[:, :keep]
-            out = batch.loc[batch.index.repeat(closest.shape[1])].copy()
-            out["cell"] = closest.ravel()
+            closest = np.argsort(half - values @ centres.T, axis=1, kind="stable")
+            before = np.cumsum(held[closest], axis=1) - held[closest]
+            wanted = (np.arange(closest.shape[1]) < keep) | (before < least)
+            out = batch.iloc[np.repeat(np.arange(len(batch)), wanted.sum(axis=1))].copy()
+            out["cell"] = closest[wanted]
             yield out
 
     return rows.select(id_column, "embedding").mapInPandas(
@@ -174,7 +182,8 @@ def nearest_approximate(
     metric: str = "cosine", seed: int = 42, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Approximate top-k: the catalogue is cut into cells around trained centres and a query looks
-    only into its ``probes`` nearest cells.
+    only into its ``probes`` nearest cells, and into further ones until those hold k rows. So every
+    query gets k rows, or all where the catalogue has fewer.
 
     Cells and the queries routed to them are split into blocks of ``block_rows``, so a crowded cell
     becomes many bounded tasks.
@@ -184,8 +193,11 @@ def nearest_approximate(
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features").fit(
         catalogue.select(array_to_vector("embedding").alias("features"))
     )
-    routed = _cells(queries, model, "query_id", probes)
     stored = _cells(catalogue, model, "id", 1)
+    held = np.zeros(len(model.clusterCenters()), np.int64)
+    for row in stored.groupBy("cell").count().collect():
+        held[row["cell"]] = row["count"]
+    routed = _cells(queries, model, "query_id", probes, held, k)
 
     def pieces(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias(name))

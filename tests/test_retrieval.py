@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +59,15 @@ def test_approximate_is_exact_when_all_cells_are_probed(vectors):
     assert found["n_exact"] == 200 and 0.5 < found["recall"] <= 1.0
 
 
+def test_approximate_widens_the_search_until_k_are_found(vectors):
+    q, o, queries, offers = vectors
+    for k, cells in ((20, 12), (len(offers) + 5, 6)):
+        got = rows(nn.nearest_approximate(q, o, k, cells=cells, probes=1, block_rows=11))
+        per_query = Counter(r[0] for r in got)
+        assert len(per_query) == len({r["query_id"] for r in q.collect()}) and set(per_query.values()) == {min(k, len(offers))}
+    assert got == slow(queries, offers, k)
+
+
 def offers_frame(spark, thresholds):
     entries = [(f"o{i}", f"T{i}", f"D{i}", "food", t, [1.0, 0.01 * i]) for i, t in enumerate(thresholds)]
     return spark.createDataFrame(entries, "id string, title string, description string, category string, min_propensity_threshold double, embedding array<float>")
