@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by inner product: NN-descent builds a graph, queries walk it greedily.
 
 Vectors get one more component that makes their norms equal, so that the largest inner product is the nearest
-vector; the graph works on eight-bit copies, the answers on the originals. Each round of NN-descent is a
+vector. Graph and walk work on copies of single precision scaled to a largest norm of 1, the answers on the
+originals. With r the added component and s = 1 - r, the product of two copies less 1 is x.y + ss' - s - s', in which
+short vectors lose no digits beside long ones. Each round of NN-descent is a
 Spark join: the sampled neighbours of a node meet, and whoever is nearer than a neighbour's farthest is
 proposed to it. The first graph comes from exact neighbours within blocks of random hyperplanes.
 """
@@ -28,6 +30,8 @@ BEAM = 192
 EXPANDED = 64
 STEPS = 4
 ENTRIES = 64
+LONGEST = 1024
+STARTS = 32
 
 
 def _floats(column: pa.Array, width: int) -> np.ndarray:
@@ -35,9 +39,22 @@ def _floats(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _codes(column: pa.Array) -> np.ndarray:
-    """Binary codes of equal length as rows of float32."""
-    raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), np.int8).reshape(len(raw), -1).astype(np.float32)
+    """Binary codes of equal length as rows (x, s, 1) of float32; those of queries are (x, 0, 0)."""
+    return _rows(column.to_pylist())
+
+
+def _rows(raw) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), "<f4").reshape(max(1, len(raw)), -1)[:len(raw)]
+
+
+def _facing(codes: np.ndarray) -> np.ndarray:
+    """The rows (x, s - 1, -s) by which codes are multiplied."""
+    s = codes[:, -2:-1]
+    return np.hstack([codes[:, :-2], s - 1, -s])
+
+
+def _packed(ids: pa.Array, x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.array([c.tobytes() for c in x.astype("<f4")], pa.binary())], names=["id", "code"])
 
 
 def prepared(rows: DataFrame, id_col: str, vector_col: str, copies: int) -> tuple[DataFrame, DataFrame, int]:
@@ -59,34 +76,29 @@ def prepared(rows: DataFrame, id_col: str, vector_col: str, copies: int) -> tupl
     return ranked.filter("place = 1").select("id", "vector"), ranked.select("rep", "id"), width
 
 
-def coded(points: DataFrame, width: int) -> tuple[DataFrame, int]:
-    """(id, code): eight-bit copies of the vectors with the component that makes norms equal, and its parts."""
-    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    largest, norm = points.agg(F.max(F.array_max(F.transform("vector", F.abs))), F.max(squares)).first()
-    scale = 127.0 / max(largest or 1.0, 1e-300)
-    # The added component may be larger than all others; it is spread over as many as it needs.
-    parts = max(1, int(np.ceil((np.sqrt(norm or 0.0) / (largest or 1.0)) ** 2)))
+def coded(points: DataFrame, width: int) -> DataFrame:
+    """(id, code): the vectors with the component that makes norms equal, as ``_codes`` has them."""
+    squares = F.aggregate(F.transform("vector", lambda x: x / F.col("largest")), F.lit(0.0), lambda s, x: s + x * x)
+    largest = points.agg(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0] or 1.0
+    norm = largest * np.sqrt(points.withColumn("largest", F.lit(largest)).agg(F.max(squares)).first()[0] or 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _floats(batch.column(1), width)
-            rest = np.sqrt(np.maximum(0.0, norm - (x * x).sum(axis=1, keepdims=True)))
-            whole = np.hstack([x, np.repeat(rest / np.sqrt(parts), parts, axis=1)])
-            code = np.clip(np.rint(whole * scale), -127, 127).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in code], pa.binary())], names=["id", "code"])
+            x = _floats(batch.column(1), width) / norm
+            square = np.minimum(1.0, (x * x).sum(axis=1, keepdims=True))
+            yield _packed(batch.column(0), np.hstack([x, square / (1 + np.sqrt(1 - square)), np.ones((len(x), 1))]))
 
-    return stage(points.mapInArrow(run, "id long, code binary"), "ann-codes"), parts
+    return stage(points.mapInArrow(run, "id long, code binary"), "ann-codes")
 
 
-def query_codes(points: DataFrame, width: int, parts: int) -> DataFrame:
-    """(id, code) of vectors as queries: nothing in the added component, and as fine as eight bits allow."""
+def query_codes(points: DataFrame, width: int) -> DataFrame:
+    """(id, code) of vectors as queries: of norm 1, with nothing in the added component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _floats(batch.column(1), width)
-            whole = np.hstack([x / np.abs(x).max(axis=1, keepdims=True) * 127.0, np.zeros((len(x), parts))])
-            code = np.rint(whole).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in code], pa.binary())], names=["id", "code"])
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            yield _packed(batch.column(0), np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 2))]))
 
     return points.select("id", "vector").mapInArrow(run, "id long, code binary")
 
@@ -102,7 +114,7 @@ def first_graph(codes: DataFrame, total: int, seed: int = 1) -> DataFrame:
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _codes(batch.column(1))
+            x = _codes(batch.column(1))[:, :-2]
             for tree in range(FOREST):
                 normal = np.random.default_rng(seed + tree).standard_normal((x.shape[1], planes)).astype(np.float32)
                 side = (x @ normal > 0) @ (1 << np.arange(planes, dtype=np.int64)) if planes else np.zeros(len(x), np.int64)
@@ -116,8 +128,8 @@ def first_graph(codes: DataFrame, total: int, seed: int = 1) -> DataFrame:
 
     def block(group: pd.DataFrame) -> pd.DataFrame:
         ids = group["id"].to_numpy()
-        x = np.frombuffer(b"".join(group["code"]), np.int8).reshape(len(ids), -1).astype(np.float32)
-        sims = x @ x.T
+        x = _rows(group["code"])
+        sims = x @ _facing(x).T
         np.fill_diagonal(sims, -np.inf)
         k = min(NEIGHBOURS, len(ids) - 1)
         if k < 1:
@@ -151,9 +163,10 @@ def improved(graph: DataFrame, codes: DataFrame) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
             ids, fresh, worst_ = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
             x = _codes(flat.field(3))
+            facing = _facing(x)
             out = []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                sims = x[a:b] @ x[a:b].T
+                sims = x[a:b] @ facing[a:b].T
                 own, new = ids[a:b], fresh[a:b]
                 better = (sims > worst_[a:b, None]) & (new[:, None] | new[None, :]) & (own[:, None] != own[None, :])
                 i, j = np.nonzero(better)
@@ -182,16 +195,22 @@ def build(codes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def walk(queries: DataFrame, codes: DataFrame, graph: DataFrame, steps: int = STEPS) -> DataFrame:
     """(id, other, sim): for queries (id, code) the beam of nodes that a greedy walk has come to.
 
-    It starts at the best of a few fixed entries, and for a query that is a node at its neighbours. Each
-    step looks at all neighbours of the nearest nodes that were not looked at before, of all queries at once.
+    It starts at the best of a few fixed entries and of the longest vectors, which are often the answer and seldom
+    a neighbour, and for a query that is a node at its neighbours. Links are followed both ways. Each step looks
+    at all neighbours of the nearest nodes that were not looked at before, of all queries at once.
     """
-    entries = codes.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).toPandas()
+    def long_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(_codes(batch.column(1))[:, -2])], names=["id", "code", "s"])
+
+    longest = codes.mapInArrow(long_ones, "id long, code binary, s float").orderBy(F.col("s").desc(), "id").limit(LONGEST).select("id", "code")
+    entries = codes.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).unionByName(longest).toPandas().drop_duplicates("id")
     entry_ids = entries["id"].to_numpy()
-    entry_codes = np.frombuffer(b"".join(entries["code"]), np.int8).reshape(max(1, len(entries)), -1).astype(np.float32)
+    entry_codes = _facing(_rows(entries["code"])) if len(entries) else None
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = np.argsort(-(_codes(batch.column(1)) @ entry_codes.T), axis=1, kind="stable")[:, :4]
+            near = np.argsort(-(_codes(batch.column(1)) @ entry_codes.T), axis=1, kind="stable")[:, :STARTS]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(np.repeat(np.arange(len(near)), near.shape[1]))), pa.array(entry_ids[near].ravel())],
                 names=["id", "other"])
@@ -199,7 +218,7 @@ def walk(queries: DataFrame, codes: DataFrame, graph: DataFrame, steps: int = ST
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sims = np.einsum("ij,ij->i", _codes(batch.column(2)), _codes(batch.column(3)))
+                sims = np.einsum("ij,ij->i", _codes(batch.column(2)), _facing(_codes(batch.column(3))))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims)], names=["id", "other", "sim"])
 
     def measured(pairs: DataFrame) -> DataFrame:
@@ -213,7 +232,9 @@ def walk(queries: DataFrame, codes: DataFrame, graph: DataFrame, steps: int = ST
     own = graph.join(queries.select("id"), "id", "left_semi").select("id", "other")
     start = start.unionByName(own).unionByName(queries.select("id", F.col("id").alias("other")))
     beam = stage(measured(start.distinct()).withColumn("seen", F.lit(False)), "ann-beam")
-    links = graph.select(F.col("id").alias("node"), F.col("other").alias("next"))
+    links = graph.select(F.col("id").alias("node"), F.col("other").alias("next"), "sim")
+    back = _best(links.select(F.col("next").alias("id"), F.col("node").alias("other"), "sim"), "id", NEIGHBOURS)
+    links = stage(links.select("node", "next").unionByName(back.select(F.col("id").alias("node"), F.col("other").alias("next"))).distinct(), "ann-links")
     for _ in range(steps):
         order = Window.partitionBy("id").orderBy("seen", F.col("sim").desc(), "other")
         marked = beam.withColumn("look", (F.row_number().over(order) <= EXPANDED) & ~F.col("seen"))
@@ -233,7 +254,7 @@ def search(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col
     ``score`` is the inner product of the original vectors in double precision; ties go to the smaller id.
     """
     points, members, width = prepared(rows, id_col, vector_col, k + 1)
-    codes, parts = coded(points, width)
+    codes = coded(points, width)
     graph = build(codes)
     # A query walks under the id of its vector; equal queries share one walk.
     everyone = stage(rows.filter(F.col(id_col).isNotNull() & usable(vector_col) & F.exists(vector_col, lambda x: x != 0)
@@ -242,7 +263,7 @@ def search(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col
                      .filter(is_query).groupBy("id").agg(F.min("vector").alias("vector")), "ann-queries")
     asked = everyone.join(points.select(F.col("id").alias("rep"), F.col("vector").alias("v")), F.col("vector") == F.col("v")).select("id", "rep", "vector")
     asked = stage(asked, "ann-asked")
-    walkers = stage(query_codes(points.join(asked.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), width, parts), "ann-walkers")
+    walkers = stage(query_codes(points.join(asked.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), width), "ann-walkers")
     found = walk(walkers, codes, graph).select(F.col("id").alias("rep"), F.col("other").alias("near"))
     near = points.select(F.col("id").alias("near"), F.col("vector").alias("w"))
     pairs = asked.join(found, "rep").join(near, "near")

@@ -348,6 +348,25 @@ def test_graph_search_recall_copies_and_odd_vectors(spark):
     assert few.count() == 2
 
 
+@pytest.mark.parametrize("norms", ["one long", "spread"])
+def test_graph_search_recall_with_unequal_norms(spark, norms):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "spread":
+        x *= np.exp(1.5 * rng.standard_normal((4000, 1)))
+    else:
+        x[7] *= 10_000
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(docs, F.col("id") % 40 == 0, 20).toPandas()
+    hits = 0
+    for q in range(0, 4000, 40):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(set(got[got.query_id == q].vec_id) & set(np.argsort(-scores)[:20]))
+    assert hits >= 0.9 * 20 * 100, hits / 2000
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_against_sql(spark, sf_dir, name):
     assert differences(queries.QUERIES[name](spark, sf_dir).toPandas(), connect(sf_dir).execute(queries.SQL[name]).df()) is None
