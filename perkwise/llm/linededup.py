@@ -149,7 +149,7 @@ def _overlap(total: np.ndarray, t: tuple[int, int]) -> np.ndarray:
     return -(-t[0] * total // (t[0] + t[1]))
 
 
-def _pairs(rows: np.ndarray, t: tuple[int, int], stop: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(rows: np.ndarray, t: tuple[int, int], stop: bool, alike: int = ALIKE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(later, earlier, stopped) of sorted entries; with ``stop`` a few convincing candidates end the search of each."""
     edge = np.r_[True, rows["cell"][1:] != rows["cell"][:-1]]
     first = np.maximum.accumulate(np.where(edge, np.arange(len(rows)), 0))
@@ -173,7 +173,7 @@ def _pairs(rows: np.ndarray, t: tuple[int, int], stop: bool) -> tuple[np.ndarray
         more = active - back >= first[active]
         if stop:
             # Maps so much alike are no accident, whatever the length of the lines.
-            sure = hit & (apart * 3 <= 2 * (total - 2 * need)) & (apart <= ALIKE)
+            sure = hit & (apart * 3 <= 2 * (total - 2 * need)) & (apart <= alike)
             convincing[active[sure]] += 1
             settled = convincing[active] >= ENOUGH
             stopped.append((more & settled)[hit])
@@ -186,7 +186,8 @@ def _pairs(rows: np.ndarray, t: tuple[int, int], stop: bool) -> tuple[np.ndarray
 
 
 def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, int], stop: bool,
-               id_col: str, text_col: str, probes: str | None = None, crowded: int = CROWDED, *, min_words: int = MIN_WORDS) -> DataFrame:
+               id_col: str, text_col: str, probes: str | None = None, crowded: int = CROWDED, *, min_words: int = MIN_WORDS,
+               alike: int = ALIKE) -> DataFrame:
     """(doc, line, crc, other_doc, other_line, apart, stopped): lines with an earlier line that may match.
 
     Without another line the match is certain: an equal line came earlier in the same task. ``probes`` names
@@ -306,7 +307,7 @@ def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, in
         while by_target:
             rows = np.concatenate(by_target.popitem()[1])
             rows = rows[np.lexsort((rows["line"], rows["doc"], rows["cell"]))]
-            later, earlier, stopped = _pairs(rows, t, stop)
+            later, earlier, stopped = _pairs(rows, t, stop, alike)
             a, b = rows[later], rows[earlier]
             apart = np.bitwise_count(a["low"] ^ b["low"]).astype(np.int32) + np.bitwise_count(a["high"] ^ b["high"])
             yield _found(a["doc"], a["line"], a["crc"], b["doc"], b["line"], apart, stopped)
@@ -395,7 +396,7 @@ def verified(docs: DataFrame, pairs: DataFrame, t: tuple[int, int], id_col: str,
 
 
 def repeated_lines(docs: DataFrame, t: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
-                   min_words: int = MIN_WORDS) -> DataFrame:
+                   min_words: int = MIN_WORDS, alike: int = ALIKE) -> DataFrame:
     """(doc, line, crc) of every line with an earlier line of Jaccard similarity ``t`` or more.
 
     Lines are in order of (id, number of the line, from 0). Lines of fewer than
@@ -403,7 +404,7 @@ def repeated_lines(docs: DataFrame, t: tuple[int, int] = SIMILARITY, id_col: str
     """
     docs = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     levels, words = rarity(docs, text_col)
-    found = stage(candidates(docs, levels, words // 4, t, True, id_col, text_col, min_words=min_words), "line-candidates")
+    found = stage(candidates(docs, levels, words // 4, t, True, id_col, text_col, min_words=min_words, alike=alike), "line-candidates")
     certain = found.filter("other_doc is null").select("doc", "line", "crc")
     open_ = found.filter("other_doc is not null")
     # Of a line's candidates the one that looks nearest first, the others only where that one fails.

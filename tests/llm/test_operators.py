@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from checks.compare import connect, differences
-from perkwise.llm import ann, extraction, langid, linededup, mixing, packing, queries, secrets, simhash, topk, toxicity
+from perkwise.llm import ann, extraction, langid, linededup, mixing, packing, queries, secrets, shinglejoin, simhash, topk, toxicity
 from perkwise.llm.components import stars
 
 SCHEMA = "doc_id long, text string, lang string, source string, extra string"
@@ -90,6 +90,34 @@ def test_one_of_each_group_stays(spark, odd):
     assert simhash.keep_one(odd).columns == odd.columns
 
 
+def test_near_duplicates_are_those_of_brute_force(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(30):
+        base = list(rng.choice(vocabulary, rng.integers(30, 200)))
+        for j in range(5):
+            own = list(base)
+            for _ in range(rng.integers(0, 2 + len(base) // 40)):
+                own[rng.integers(len(own))] = str(rng.choice(vocabulary))
+            rows.append((i + 30 * j, " ".join(own), "en", "s"))
+    rows += [(1000, "two words", "en", "s"), (1001, "Two\nwords", "en", "s"), (1002, None, None, "s"), (1003, " ", None, "s"), (1002, None, None, "s")]
+
+    def marks(text):
+        words = (text or "").lower().split()
+        return {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))}
+
+    sets = [(i, marks(t)) for i, t, _, _ in sorted({r[:2] + ("", "") for r in rows}, key=lambda r: r[0])]
+    want = [i for a, (i, x) in enumerate(sets) if not any(5 * len(x & y) >= 4 * len(x | y) for _, y in sets[:a])]
+    docs = frame(spark, [*rows, (None, rows[0][1], "en", "s"), *[(None, "null id and words of its own", "en", "s")] * 3]).repartition(5)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id if r.doc_id is not None else -1) for r in got.collect()) == [-1, *want]
+    assert 30 < len(want) < 150 and shinglejoin.keep_first(docs.limit(0)).count() == 0
+
+
 def test_mix_meets_targets_and_limits(spark, odd):
     rows = [(i, " ".join(["w"] * (1 + i * 37 % 300)), "en", f"s{i % 4}") for i in range(800)]
     got = mixing.mix(frame(spark, rows)).toPandas()
