@@ -25,10 +25,8 @@ NEIGHBOURS = 36
 FOREST = 6
 BLOCK = 256
 SAMPLED = 18
-ROUNDS = 6
 BEAM = 192
 EXPANDED = 64
-STEPS = 4
 ENTRIES = 64
 LONGEST = 1024
 STARTS = 32
@@ -61,11 +59,12 @@ def prepared(rows: DataFrame, id_col: str, vector_col: str, copies: int) -> tupl
     """(distinct vectors as (id, vector), members as (rep, id), width).
 
     Rows of null id, null or zero vectors and vectors with null or non-finite components take no part, nor
-    do vectors of another width than the widest. An id stands for all rows of its vector; of those the
+    do vectors of another width than most have (of equally frequent widths the larger). An id stands for all rows of its vector; of those the
     ``copies`` smallest ids are members, which is all that a search for one less can return.
     """
     fine = rows.filter(F.col(id_col).isNotNull() & usable(vector_col) & F.exists(vector_col, lambda x: x != 0))
-    width = fine.agg(F.max(F.size(vector_col))).first()[0] or 0
+    widths = fine.groupBy(F.size(vector_col).alias("width")).count().agg(F.max(F.struct("count", "width"))).first()[0]
+    width = widths["width"] if widths else 0
     fine = fine.filter(F.size(vector_col) == width).select(
         F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("vector"))
     # An id that is there twice keeps the smaller vector.
@@ -181,23 +180,26 @@ def improved(graph: DataFrame, codes: DataFrame) -> DataFrame:
     return _best(merged, "id", NEIGHBOURS, "fresh")
 
 
-def build(codes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(id, other, sim, fresh): the neighbour graph; stops when a round changes less than one edge in a hundred."""
+def build(codes: DataFrame) -> DataFrame:
+    """(id, other, sim, fresh): the neighbour graph; stops when a round changes less than one edge in a hundred.
+
+    Edges are replaced by nearer ones only, so that it does stop.
+    """
     total = codes.count()
     graph = stage(first_graph(codes, total).withColumn("fresh", F.lit(True)), "ann-graph")
-    for _ in range(rounds):
+    while True:
         graph = stage(improved(graph, codes), "ann-graph")
-        if graph.filter("fresh").count() < 0.01 * total * NEIGHBOURS:
-            break
-    return graph
+        if graph.filter("fresh").count() <= 0.01 * total * NEIGHBOURS:
+            return graph
 
 
-def walk(queries: DataFrame, codes: DataFrame, graph: DataFrame, steps: int = STEPS) -> DataFrame:
+def walk(queries: DataFrame, codes: DataFrame, graph: DataFrame, k: int) -> DataFrame:
     """(id, other, sim): for queries (id, code) the beam of nodes that a greedy walk has come to.
 
     It starts at the best of a few fixed entries and of the longest vectors, which are often the answer and seldom
     a neighbour, and for a query that is a node at its neighbours. Links are followed both ways. Each step looks
-    at all neighbours of the nearest nodes that were not looked at before, of all queries at once.
+    at all neighbours of the nearest nodes that were not looked at before, of all queries at once. A query goes on
+    until its nearest ``k`` have all been looked at.
     """
     def long_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,17 +237,23 @@ def walk(queries: DataFrame, codes: DataFrame, graph: DataFrame, steps: int = ST
     links = graph.select(F.col("id").alias("node"), F.col("other").alias("next"), "sim")
     back = _best(links.select(F.col("next").alias("id"), F.col("node").alias("other"), "sim"), "id", NEIGHBOURS)
     links = stage(links.select("node", "next").unionByName(back.select(F.col("id").alias("node"), F.col("other").alias("next"))).distinct(), "ann-links")
-    for _ in range(steps):
+    while True:
+        near = Window.partitionBy("id").orderBy(F.col("sim").desc(), "other")
+        ranked = beam.withColumn("open", (F.row_number().over(near) <= k) & ~F.col("seen"))
+        active = stage(ranked.filter("open").select("id").distinct(), "ann-active")
+        if active.isEmpty():
+            return beam.select("id", "other", "sim")
         order = Window.partitionBy("id").orderBy("seen", F.col("sim").desc(), "other")
-        marked = beam.withColumn("look", (F.row_number().over(order) <= EXPANDED) & ~F.col("seen"))
+        marked = (beam.withColumn("look", (F.row_number().over(order) <= EXPANDED) & ~F.col("seen"))
+                  .join(active.withColumn("active", F.lit(True)), "id", "left")
+                  .withColumn("look", F.col("look") & F.coalesce("active", F.lit(False))).drop("active"))
         looked = stage(marked, "ann-beam")
         nodes = looked.filter("look").select("id", F.col("other").alias("node"))
         fresh = nodes.join(links, "node").select("id", F.col("next").alias("other")).distinct()
         fresh = fresh.join(looked.select("id", "other"), ["id", "other"], "left_anti")
         merged = looked.select("id", "other", "sim", (F.col("seen") | F.col("look")).alias("seen")).unionByName(
             measured(fresh).withColumn("seen", F.lit(False)))
-        beam = stage(_best(merged, "id", BEAM, "seen"), "ann-beam")
-    return beam.select("id", "other", "sim")
+        beam = stage(_best(merged, "id", max(BEAM, k), "seen"), "ann-beam")
 
 
 def search(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -264,7 +272,7 @@ def search(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col
     asked = everyone.join(points.select(F.col("id").alias("rep"), F.col("vector").alias("v")), F.col("vector") == F.col("v")).select("id", "rep", "vector")
     asked = stage(asked, "ann-asked")
     walkers = stage(query_codes(points.join(asked.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), width), "ann-walkers")
-    found = walk(walkers, codes, graph).select(F.col("id").alias("rep"), F.col("other").alias("near"))
+    found = walk(walkers, codes, graph, k).select(F.col("id").alias("rep"), F.col("other").alias("near"))
     near = points.select(F.col("id").alias("near"), F.col("vector").alias("w"))
     pairs = asked.join(found, "rep").join(near, "near")
     score = F.aggregate(F.zip_with("vector", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)

@@ -376,6 +376,21 @@ def test_graph_search_recall_copies_and_odd_vectors(spark):
     assert few.count() == 2
 
 
+def test_graph_search_takes_the_common_width_and_walks_to_the_end(spark, monkeypatch):
+    # A ring, and a graph of steps along it: the walk has to go half way round, node by node.
+    angle = 2 * np.pi * np.arange(64) / 64
+    ring = [(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angle)]
+    points, _, width = ann.prepared(spark.createDataFrame([*ring, (900, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>"), "vec_id", "embedding", 3)
+    assert width == 2 and points.count() == 64
+    for name in ("ENTRIES", "LONGEST", "STARTS", "EXPANDED"):
+        monkeypatch.setattr(ann, name, 1)
+    graph = spark.createDataFrame([(i, (i + d) % 64, 0.0) for i in range(64) for d in (1, -1)], "id long, other long, sim float")
+    asked = ann.query_codes(spark.createDataFrame([(1000, [-1.0, 0.0]), (1001, [1.0, 0.0])], "id long, vector array<double>"), 2)
+    found = ann.walk(asked, ann.coded(points, 2), graph, 3).toPandas()
+    for q, want in ((1000, {31, 32, 33}), (1001, {63, 0, 1})):
+        assert set(found[found.id == q].nlargest(3, "sim").other) == want
+
+
 @pytest.mark.parametrize("norms", ["one long", "spread"])
 def test_graph_search_recall_with_unequal_norms(spark, norms):
     rng = np.random.default_rng(8)
