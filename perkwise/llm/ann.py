@@ -30,6 +30,7 @@ EXPANDED = 64
 ENTRIES = 64
 LONGEST = 1024
 STARTS = 32
+PARTS = 64
 
 
 def _floats(column: pa.Array, width: int) -> np.ndarray:
@@ -69,6 +70,10 @@ def prepared(rows: DataFrame, id_col: str, vector_col: str, copies: int) -> tupl
         F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("vector"))
     # An id that is there twice keeps the smaller vector.
     fine = fine.groupBy("id").agg(F.min("vector").alias("vector"))
+    # A vector of many rows is cut in parts first; its smallest ids are among the smallest of the parts.
+    part = Window.partitionBy("vector", "part").orderBy("id")
+    fine = (fine.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS))).withColumn("place", F.row_number().over(part))
+            .filter(F.col("place") <= copies).drop("part", "place"))
     of_vector = Window.partitionBy("vector").orderBy("id")
     ranked = fine.withColumn("place", F.row_number().over(of_vector)).withColumn("rep", F.min("id").over(of_vector))
     ranked = stage(ranked.filter(F.col("place") <= copies), "ann-members")

@@ -196,10 +196,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
 
 def keep_one(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates, the one of the smallest id; rows of null id all stay."""
-    found = near_duplicates(docs, words, distance, id_col, text_col).filter(F.col(id_col).isNotNull())
-    best = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("id"), "text_key")).alias("x")).select("x.*").distinct()
+    """One row of each group of near-duplicates, the one of the smallest id.
+
+    Of a group's rows of null id one stays as well, the one of the smallest text key.
+    """
+    found = near_duplicates(docs, words, distance, id_col, text_col)
+    best = (found.groupBy("root", F.col(id_col).isNull().alias("nameless"))
+            .agg(F.min(F.struct(F.col(id_col).alias("id"), "text_key")).alias("x")).select("x.*").distinct())
     named = docs.withColumn("__text_key", F.xxhash64(text_col))
-    hit = (named[id_col] == best["id"]) & (named["__text_key"] == best["text_key"])
-    kept = named.join(best, hit, "left_semi").dropDuplicates([id_col, "__text_key"])
-    return kept.unionByName(named.filter(F.col(id_col).isNull())).drop("__text_key")
+    hit = named[id_col].eqNullSafe(best["id"]) & (named["__text_key"] == best["text_key"])
+    return named.join(best, hit, "left_semi").dropDuplicates([id_col, "__text_key"]).drop("__text_key")

@@ -90,6 +90,17 @@ def test_one_of_each_group_stays(spark, odd):
     assert simhash.keep_one(odd).columns == odd.columns
 
 
+def test_copies_without_an_id_stay_once(spark):
+    near = " ".join(f"w{i}" for i in range(3000))
+    rows = [(None, EN[0], "en", "s")] * 3 + [(None, near, "en", "s"), (None, near + " end", "en", "s"), (4, DE[0], "de", "s"), (None, DE[1], "de", "s")]
+    assert bin(simhash.fingerprint(near) ^ simhash.fingerprint(near + " end")).count("1") <= 3
+    got = [(r.doc_id, r.text[:20]) for r in simhash.keep_one(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(None, EN[0][:20]), (None, near[:20]), (4, DE[0][:20]), (None, DE[1][:20])], key=str)
+    vectors = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(900)], "vec_id long, embedding array<double>")
+    _, members, _ = ann.prepared(vectors, "vec_id", "embedding", 5)
+    assert sorted(tuple(r) for r in members.collect()) == [(0, i) for i in range(5)]
+
+
 def test_near_duplicates_are_those_of_brute_force(spark):
     import corpus_pipeline
 
