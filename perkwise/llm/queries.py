@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perkwise.llm import ann, extraction, langid, linededup, mixing, packing, secrets, simhash, topk, toxicity
+from perkwise.llm import (
+    ann, collocations, extraction, langid, lexical, linededup, mixing, packing, secrets, simhash, tokencounts, topk, toxicity,
+)
 from perkwise.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,10 +44,10 @@ def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def piece_digests(packed: DataFrame) -> DataFrame:
@@ -137,3 +139,59 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 @query
 def op6_neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
+@query
+def op11_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text"), 20)
+
+
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+_FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op11_best_position"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all({_FOLDED.format("text")}, '{_TERM}') AS ws FROM documents),
+held AS (SELECT d, doc_id, ws, len(ws)::BIGINT AS n FROM docs WHERE len(ws) > 0),
+facts AS (SELECT count(*) AS documents, sum(n)::BIGINT AS length FROM held),
+tf AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(ws) AS t FROM held) GROUP BY d, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+weights AS (SELECT t, floor(1000 * ln((2 * documents + 2) / (2 * df + 1)))::BIGINT AS w FROM df, facts),
+asked AS (SELECT i, item_id, t, count(*) AS q FROM
+          (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all({_FOLDED.format("text")}, '{_TERM}')) AS t FROM benchmark) GROUP BY i, item_id, t),
+scores AS (SELECT i, item_id, d, doc_id,
+                  sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * documents) // length))))::BIGINT AS score
+           FROM asked JOIN weights USING (t) JOIN tf USING (t) JOIN held USING (d), facts GROUP BY i, item_id, d, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+SQL["op12_collocations"] = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_FOLDED.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+lists AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS ws FROM pieces),
+spots AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM lists),
+grams AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, m FROM spots, (SELECT unnest([1, 2, 3]) AS m) WHERE i + m - 1 <= len(ws)),
+f AS (SELECT lang, phrase, any_value(m) AS m, count(*) AS a FROM grams GROUP BY lang, phrase),
+total AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND a >= 10),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k + 1:], ' ') AS rp
+         FROM cand, (SELECT unnest([1, 2]) AS k) WHERE k < m),
+scored AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, ((1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+           FROM cuts c JOIN f x ON c.lang = x.lang AND lp = x.phrase JOIN f y ON c.lang = y.lang AND rp = y.phrase),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+halves AS (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM cand WHERE m = 3),
+widest AS (SELECT lang, phrase, max(a) AS whole FROM halves GROUP BY lang, phrase),
+kept AS (SELECT w.* FROM worst w LEFT JOIN widest h ON w.lang = h.lang AND w.phrase = h.phrase WHERE coalesce(100 * whole < 50 * w.a, true)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
