@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,11 +62,46 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# The tables written inside each open ``tidy`` block.
+_OPEN: list[list[str]] = []
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is in."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block whose staged tables go when it ends.
+
+    Gives a function that stages what the block returns: those tables stay, for the enclosing block if there is one.
+    """
+    _OPEN.append([])
+
+    def result(df: DataFrame, name: str) -> DataFrame:
+        inner = _OPEN.pop()
+        try:
+            return stage(df, name)
+        finally:
+            _OPEN.append(inner)
+
+    try:
+        yield result
+    finally:
+        for path in _OPEN.pop():
+            drop_path(spark, path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to a fresh table in the shared folder and read it back.
 
-    Cuts the lineage of data that is used many times, and survives the loss of executors.
+    Cuts the lineage of data that is used many times, and survives the loss of executors. Inside a ``tidy`` block
+    the table goes when the block ends.
     """
     path = scratch_path(df.sparkSession, name)
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
