@@ -6,7 +6,8 @@ What passes these filters and a bound from 128-bit parity maps is verified on th
 
 Words are 64-bit digests computed for a whole batch at once. A task sends to the shuffle only the first of
 its lines with the same words, so a line copied everywhere arrives once per task; the rows travel packed,
-one binary per task and target. Runs of letters of scripts without blanks are cut into trigrams, which count
+one binary per task and target, and are searched target by target. Lines with the same set of words, by its 64-bit
+digest, its parity maps and its size, are settled at once where their rarest shared word meets. Runs of letters of scripts without blanks are cut into trigrams, which count
 as words. Lines so short that only an equal set is similar enough meet by one digest of the whole set. Rarity comes from a table of hashed counts of all words, of fixed size; it
 only orders words, so a collision costs speed and not results.
 """
@@ -15,7 +16,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkwise.session import stage
+from perkwise.session import stage, tidy
 
 SIMILARITY = (4, 5)
 MIN_WORDS = 5
@@ -32,12 +34,17 @@ SLICES = 64
 BATCH_CHARS = 1 << 20
 ROWS_PER_TARGET = 400_000
 CROWDED = 200_000
+# A task forgets the lines it has sent when there are so many; that costs shuffle and changes no result.
+REMEMBERED = 200_000
+HELD = 300_000
 ALIKE = 24
 ENOUGH = 3
 # Tables of line numbers up to this many rows (about 20 MB) are copied to all tasks; larger ones are shuffled.
 SMALL_ROWS = 1_000_000
-_ENTRY = np.dtype([("cell", "<u8"), ("doc", "<i8"), ("low", "<u8"), ("high", "<u8"), ("line", "<i4"), ("crc", "<u4"),
+# role: 1 looks for earlier lines, 2 may be one, 4 is the line's first entry.
+_ENTRY = np.dtype([("cell", "<u8"), ("doc", "<i8"), ("whole", "<u8"), ("low", "<u8"), ("high", "<u8"), ("line", "<i4"), ("crc", "<u4"),
                    ("n", "<i4"), ("at", "<i4"), ("role", "u1")])
+_COPY = np.dtype([("doc", "<i8"), ("line", "<i4"), ("crc", "<u4")])
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 # The value of a byte in a word's digest; white space has none.
 _LETTER = np.where(np.isin(np.arange(256), [32, *range(9, 14)]), 0, np.arange(256) + 1).astype(np.uint64)
@@ -82,6 +89,21 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return digest, line, text_of, number
 
 
+def lines_of(text: str) -> list[str]:
+    return text.split("\n")
+
+
+@dataclass(frozen=True)
+class Reader:
+    """What is compared: the units of a text, and the digests of their words as ``words_of`` gives them."""
+
+    units: Callable[[str], list[str]] = lines_of
+    words: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = words_of
+
+
+LINES = Reader()
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The multiplier to the powers 1 to n, and its inverse (modulo 2^64) to the powers 0 to n - 1."""
     if n > 4 * BATCH_CHARS:
@@ -112,13 +134,13 @@ def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
             first = last
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
+def rarity(docs: DataFrame, text_col: str = "text", reader: Reader = LINES) -> tuple[np.ndarray, int]:
     """Twice the binary logarithm of the hashed count of all words, by bucket, and the number of words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BUCKETS, np.int64)
         for _, texts in _groups(batches, 0):
-            np.add.at(seen, (words_of(texts)[0] & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+            np.add.at(seen, (reader.words(texts)[0] & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
         for i, part in enumerate(seen.reshape(SLICES, -1)):
             if part.any():
                 yield pa.RecordBatch.from_arrays(
@@ -149,49 +171,60 @@ def _overlap(total: np.ndarray, t: tuple[int, int]) -> np.ndarray:
     return -(-t[0] * total // (t[0] + t[1]))
 
 
-def _pairs(rows: np.ndarray, t: tuple[int, int], stop: bool, alike: int = ALIKE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later, earlier, stopped) of sorted entries; with ``stop`` a few convincing candidates end the search of each."""
-    edge = np.r_[True, rows["cell"][1:] != rows["cell"][:-1]]
-    first = np.maximum.accumulate(np.where(edge, np.arange(len(rows)), 0))
+def _pairs(rows: dict[str, np.ndarray], t: tuple[int, int], stop: bool, alike: int = ALIKE,
+           settle: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier, stopped, settled) of sorted entries; with ``stop`` a few convincing candidates end the search of each.
+
+    ``settled`` are entries with an earlier line of the same words: the search of such a line ends, its candidates
+    count no more. Without ``settle`` that line is a candidate like others.
+    """
+    total = len(rows["cell"])
+    edge = np.r_[True, rows["cell"][1:] != rows["cell"][:-1]][:total]
+    first = np.maximum.accumulate(np.where(edge, np.arange(total), 0)) if total else np.zeros(0, np.int64)
     later, earlier, stopped = [], [], []
-    active = np.flatnonzero((rows["role"] & 1 > 0) & (first < np.arange(len(rows))))
-    n, at, role, low, high = (np.ascontiguousarray(rows[x]) for x in ("n", "at", "role", "low", "high"))
-    back, convincing = 1, np.zeros(len(rows), np.int32)
+    active = np.flatnonzero((rows["role"] & 1 > 0) & (first < np.arange(total)))
+    n, at, role, low, high, whole, doc, line = (rows[x] for x in ("n", "at", "role", "low", "high", "whole", "doc", "line"))
+    back, convincing, settled = 1, np.zeros(total, np.int32), np.zeros(total, bool)
     while len(active):
         other = active - back
         small, large = np.minimum(n[active], n[other]), np.maximum(n[active], n[other])
-        total = small + large
-        need = _overlap(total, t)
+        both = small + large
+        need = _overlap(both, t)
         hit = (small * t[1] >= large * t[0]) & (role[other] & 2 > 0)
         hit &= 1 + np.minimum(n[active] - at[active], n[other] - at[other]) - 1 >= need
         apart = np.bitwise_count(low[active] ^ low[other]).astype(np.int64) + np.bitwise_count(high[active] ^ high[other])
-        hit &= apart <= total - 2 * need
-        hit &= (rows["doc"][active] != rows["doc"][other]) | (rows["line"][active] != rows["line"][other])
+        hit &= apart <= both - 2 * need
+        hit &= (doc[active] != doc[other]) | (line[active] != line[other])
+        equal = hit & settle & (apart == 0) & (small == large) & (whole[active] == whole[other])
+        settled[active[equal]] = True
+        hit &= ~equal
         later.append(active[hit])
         earlier.append(other[hit])
         back += 1
-        more = active - back >= first[active]
+        more = (active - back >= first[active]) & ~equal
         if stop:
             # Maps so much alike are no accident, whatever the length of the lines.
-            sure = hit & (apart * 3 <= 2 * (total - 2 * need)) & (apart <= alike)
+            sure = hit & (apart * 3 <= 2 * (both - 2 * need)) & (apart <= alike)
             convincing[active[sure]] += 1
-            settled = convincing[active] >= ENOUGH
-            stopped.append((more & settled)[hit])
-            active = active[more & ~settled]
+            enough = convincing[active] >= ENOUGH
+            stopped.append((more & enough)[hit])
+            active = active[more & ~enough]
         else:
             stopped.append(np.zeros(int(hit.sum()), bool))
             active = active[more]
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *later]), np.concatenate([none, *earlier]), np.concatenate([none > 0, *stopped])
+    later, earlier, stopped = np.concatenate([none, *later]), np.concatenate([none, *earlier]), np.concatenate([none > 0, *stopped])
+    open_ = ~settled[later]
+    return later[open_], earlier[open_], stopped[open_], np.flatnonzero(settled & (role & 4 > 0))
 
 
 def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, int], stop: bool,
                id_col: str, text_col: str, probes: str | None = None, crowded: int = CROWDED, *, min_words: int = MIN_WORDS,
-               alike: int = ALIKE) -> DataFrame:
+               alike: int = ALIKE, reader: Reader = LINES) -> DataFrame:
     """(doc, line, crc, other_doc, other_line, apart, stopped): lines with an earlier line that may match.
 
-    Without another line the match is certain: an equal line came earlier in the same task. ``probes`` names
-    a column with the only line numbers to look for.
+    Without another line the match is certain: a line of the same words came earlier. ``probes`` names
+    a column with the only line numbers to look for; their matches all name the other line.
     """
     targets = max(1, -(-words // (4 * ROWS_PER_TARGET))) * 4
     table = docs.sparkSession.sparkContext.broadcast(levels)
@@ -222,7 +255,7 @@ def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, in
             texts = [texts[i] for i in order]
             ids = part.column(0).to_numpy(zero_copy_only=False)[order].astype(np.int64)
             wanted = [set(part.column(2)[int(i)].as_py() or ()) for i in order] if probes else None
-            digest, line, text_of, number = words_of(texts)
+            digest, line, text_of, number = reader.words(texts)
             if not len(digest):
                 continue
             short = digest >> np.uint64(20)
@@ -233,13 +266,15 @@ def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, in
                 key = (line[mine] - low).astype(np.uint64) << np.uint64(51) | level[mine] << np.uint64(44) | short[mine]
                 if not len(key):
                     continue
-                key.sort()
-                key = key[np.r_[True, key[1:] != key[:-1]]]
+                by = np.argsort(key)
+                key = key[by]
+                once = np.r_[True, key[1:] != key[:-1]]
+                key, full = key[once], digest[mine][by[once]]
                 own = (key >> np.uint64(51)).astype(np.int64)
                 word = key & np.uint64((1 << 44) - 1)
                 first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                 n = np.diff(np.r_[first, len(key)])
-                whole = np.add.reduceat(_mixed(word), first)
+                whole = np.add.reduceat(_mixed(full), first)
                 bit = np.uint64(1) << (word & np.uint64(63))
                 is_low = word & np.uint64(64) == 0
                 maps = [np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), first) for x in (is_low, ~is_low)]
@@ -248,6 +283,8 @@ def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, in
                 fresh, double = np.zeros(len(lines), bool), np.zeros(len(lines), bool)
                 for i in np.flatnonzero(n >= min_words).tolist():
                     mark, place = int(whole[i]), (int(docs_[i]), int(numbers[i]))
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
                     before = seen.get(mark)
                     if before is None or place <= before:
                         seen[mark] = place
@@ -264,10 +301,10 @@ def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, in
                     for i in np.flatnonzero(double | fresh).tolist():
                         t_ = int(text_of[lines[i]])
                         if t_ not in split:
-                            split = {t_: texts[t_].split("\n")}
+                            split = {t_: reader.units(texts[t_])}
                         crc[i] = zlib.crc32(split[t_][int(numbers[i])].encode("utf-8", "replace"))
                 if double.any() and not probes:
-                    out = np.zeros(int(double.sum()), _ENTRY)
+                    out = np.zeros(int(double.sum()), _COPY)
                     out["doc"], out["line"], out["crc"] = docs_[double], numbers[double], crc[double]
                     copies.append(out)
                 of = np.repeat(np.arange(len(lines)), n)
@@ -281,40 +318,57 @@ def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, in
                 # Where a word more or less is too much, equal sets are all that can match.
                 equal = n[of] * t[1] < t[0] * (n[of] + 1)
                 out["cell"], out["doc"], out["line"], out["crc"] = np.where(equal, whole[of], word[use]), docs_[of], numbers[of], crc[of] if len(use) else 0
-                out["n"], out["at"], out["low"], out["high"], out["role"] = n[of], at[use], maps[0][of], maps[1][of], role[of]
+                out["n"], out["at"], out["low"], out["high"], out["whole"] = n[of], at[use], maps[0][of], maps[1][of], whole[of]
+                out["role"] = role[of] | np.where(np.r_[True, of[1:] != of[:-1]][:len(of)], 4, 0).astype(np.uint8)
                 grid = np.ceil(2.0 ** (rare[use].astype(float) / 2) / crowded).astype(np.int64)
                 if (grid > 1).any():
                     held.append(_grid(out[grid > 1], grid[grid > 1]))
                     out = out[grid <= 1]
                 held.append(out)
-            if sum(map(len, held)) > 500_000:
+            if sum(map(len, held)) > HELD:
                 yield from flush()
         yield from flush()
 
+    def searched(blobs: list[bytes]) -> pa.RecordBatch:
+        parts: dict[str, list[np.ndarray]] = {c: [] for c in _ENTRY.names}
+        for blob in blobs:
+            size, at = len(blob) // _ENTRY.itemsize, 0
+            for c in _ENTRY.names:
+                parts[c].append(np.frombuffer(blob, _ENTRY[c], size, at))
+                at += size * _ENTRY[c].itemsize
+        rows = {c: np.concatenate(parts.pop(c)) for c in _ENTRY.names}
+        # Most words of a target are in one line only.
+        order = np.argsort(rows["cell"])
+        same = rows["cell"][order[1:]] == rows["cell"][order[:-1]]
+        order = order[np.r_[False, same] | np.r_[same, False]]
+        order = order[np.lexsort((rows["line"][order], rows["doc"][order], rows["cell"][order]))]
+        rows = {c: x[order] for c, x in rows.items()}
+        later, earlier, stopped, settled = _pairs(rows, t, stop, alike, probes is None)
+        a, b = ({c: rows[c][i] for c in ("doc", "line", "crc", "low", "high")} for i in (later, earlier))
+        apart = np.bitwise_count(a["low"] ^ b["low"]).astype(np.int32) + np.bitwise_count(a["high"] ^ b["high"])
+        sure = (rows["doc"][settled], rows["line"][settled], rows["crc"][settled], None, None, None, np.zeros(len(settled), bool))
+        open_ = (a["doc"], a["line"], a["crc"], b["doc"], b["line"], apart, stopped)
+        return pa.concat_batches([_found(*sure), _found(*open_)])
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_target: dict[int, list[np.ndarray]] = {}
+        now, blobs = None, []
         for batch in batches:
             for target, blob, certain in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if certain:
-                    rows = np.frombuffer(blob, _ENTRY)
+                    rows = np.frombuffer(blob, _COPY)
                     yield _found(rows["doc"], rows["line"], rows["crc"], None, None, None, np.zeros(len(rows), bool))
-                else:
-                    rows, at = np.zeros(len(blob) // _ENTRY.itemsize, _ENTRY), 0
-                    for c in _ENTRY.names:
-                        rows[c] = np.frombuffer(blob, _ENTRY[c], len(rows), at)
-                        at += len(rows) * _ENTRY[c].itemsize
-                    by_target.setdefault(target, []).append(rows)
-        while by_target:
-            rows = np.concatenate(by_target.popitem()[1])
-            rows = rows[np.lexsort((rows["line"], rows["doc"], rows["cell"]))]
-            later, earlier, stopped = _pairs(rows, t, stop, alike)
-            a, b = rows[later], rows[earlier]
-            apart = np.bitwise_count(a["low"] ^ b["low"]).astype(np.int32) + np.bitwise_count(a["high"] ^ b["high"])
-            yield _found(a["doc"], a["line"], a["crc"], b["doc"], b["line"], apart, stopped)
+                    continue
+                if target != now and blobs:
+                    yield searched(blobs)
+                    blobs = []
+                now = target
+                blobs.append(blob)
+        if blobs:
+            yield searched(blobs)
 
     columns = [id_col, text_col] + ([probes] if probes else [])
     sent = docs.select(*columns).mapInArrow(send, "target int, rows binary, certain boolean")
-    return sent.repartition(targets, "target").mapInArrow(
+    return sent.repartition(targets, "target").sortWithinPartitions("target").mapInArrow(
         search, "doc long, line int, crc long, other_doc long, other_line int, apart int, stopped boolean")
 
 
@@ -326,7 +380,7 @@ def _grid(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
         for role, i, j in ((2, chunk, other), (1, other, chunk)):
             keep = (size > other) & (rows["role"] & role > 0)
             part = rows[keep].copy()
-            part["role"] = role
+            part["role"] = part["role"] & 4 | role
             place = np.broadcast_to(i, len(rows))[keep] * 65536 + np.broadcast_to(j, len(rows))[keep] + 1
             part["cell"] ^= _mixed(place.astype(np.uint64))
             out.append(part)
@@ -350,7 +404,7 @@ def _small(rows: DataFrame, weights: str) -> DataFrame:
     return F.broadcast(rows) if n <= SMALL_ROWS else rows
 
 
-def line_words(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def line_words(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, reader: Reader = LINES) -> DataFrame:
     """(doc, line, words): sorted digests of the words of the wanted (doc, line)."""
     per_doc = wanted.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__lines"))
     per_doc = _small(stage(per_doc, "line-wanted"), "__lines")
@@ -361,9 +415,9 @@ def line_words(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
             ids, wanted_ = part.column(0).to_pylist(), part.column(2).to_pylist()
             rows, lines, sets = [], [], []
             for key, text, numbers in zip(ids, texts, wanted_):
-                split = text.split("\n")
+                split = reader.units(text)
                 numbers = [i for i in sorted(numbers) if i < len(split)]
-                digest, line, _, _ = words_of([split[i] for i in numbers]) if numbers else (np.zeros(0, np.uint64), np.zeros(0, int), 0, 0)
+                digest, line, _, _ = reader.words([split[i] for i in numbers]) if numbers else (np.zeros(0, np.uint64), np.zeros(0, int), 0, 0)
                 cuts = np.searchsorted(line, np.arange(len(numbers) + 1))
                 for i, number in enumerate(numbers):
                     rows.append(key)
@@ -375,10 +429,10 @@ def line_words(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
     return joined.mapInArrow(run, "doc long, line int, words binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, t: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, t: tuple[int, int], id_col: str, text_col: str, reader: Reader = LINES) -> DataFrame:
     """The (doc, line, crc) of the pairs whose words have the similarity."""
     wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("other_doc").alias("doc"), F.col("other_line").alias("line")))
-    sets = stage(line_words(docs, wanted, id_col, text_col), "line-words")
+    sets = stage(line_words(docs, wanted, id_col, text_col, reader), "line-words")
     # Ids may repeat; any row of the id will do for the earlier line, and for the later one its checksum tells.
     other = sets.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("other_words"))
     joined = pairs.join(sets, ["doc", "line"]).join(other, ["other_doc", "other_line"]).select("doc", "line", "crc", "words", "other_words")
@@ -396,36 +450,37 @@ def verified(docs: DataFrame, pairs: DataFrame, t: tuple[int, int], id_col: str,
 
 
 def repeated_lines(docs: DataFrame, t: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
-                   min_words: int = MIN_WORDS, alike: int = ALIKE) -> DataFrame:
+                   min_words: int = MIN_WORDS, alike: int = ALIKE, reader: Reader = LINES) -> DataFrame:
     """(doc, line, crc) of every line with an earlier line of Jaccard similarity ``t`` or more.
 
     Lines are in order of (id, number of the line, from 0). Lines of fewer than
     ``min_words`` different words are never removed; with 1 only lines without any word stay. Documents of null id or text take no part.
     """
     docs = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    levels, words = rarity(docs, text_col)
-    found = stage(candidates(docs, levels, words // 4, t, True, id_col, text_col, min_words=min_words, alike=alike), "line-candidates")
-    certain = found.filter("other_doc is null").select("doc", "line", "crc")
-    open_ = found.filter("other_doc is not null")
+    levels, words = rarity(docs, text_col, reader)
+    found = stage(candidates(docs, levels, words // 4, t, True, id_col, text_col, min_words=min_words, alike=alike, reader=reader), "line-candidates")
+    certain = found.filter("other_doc is null").select("doc", "line", "crc").distinct()
+    # In the cells of its other words a line that is settled may have been a candidate.
+    open_ = found.filter("other_doc is not null").join(certain, ["doc", "line", "crc"], "left_anti")
     # Of a line's candidates the one that looks nearest first, the others only where that one fails.
     best = stage(open_.groupBy("doc", "line", "crc").agg(
         F.min(F.struct("apart", "other_doc", "other_line")).alias("x"), F.bool_or("stopped").alias("stopped"))
         .select("doc", "line", "crc", "x.other_doc", "x.other_line", "stopped"), "line-best")
-    ok = stage(verified(docs, best, t, id_col, text_col), "line-verified")
+    ok = stage(verified(docs, best, t, id_col, text_col, reader), "line-verified")
     failed = best.join(ok, ["doc", "line", "crc"], "left_anti")
     rest = (open_.join(failed.select("doc", "line", "crc"), ["doc", "line", "crc"], "left_semi")
             .select("doc", "line", "crc", "other_doc", "other_line").distinct()
             .join(failed.select("doc", "line", "other_doc", "other_line"), ["doc", "line", "other_doc", "other_line"], "left_anti"))
-    also = stage(verified(docs, stage(rest, "line-rest"), t, id_col, text_col), "line-verified")
+    also = stage(verified(docs, stage(rest, "line-rest"), t, id_col, text_col, reader), "line-verified")
     out = certain.unionByName(ok).unionByName(also)
     # A search that stopped at a candidate which failed goes on to the end for these lines.
     unsettled = stage(failed.filter("stopped").join(also, ["doc", "line", "crc"], "left_anti")
                       .groupBy("doc").agg(F.collect_set("line").alias("__probes")), "line-unsettled")
     if not unsettled.isEmpty():
         probed = docs.join(unsettled, docs[id_col] == unsettled["doc"], "left").drop("doc")
-        more = candidates(probed, levels, words // 4, t, False, id_col, text_col, "__probes", min_words=min_words)
+        more = candidates(probed, levels, words // 4, t, False, id_col, text_col, "__probes", min_words=min_words, reader=reader)
         more = stage(more.select("doc", "line", "crc", "other_doc", "other_line").distinct(), "line-candidates")
-        out = out.unionByName(stage(verified(docs, more, t, id_col, text_col), "line-verified"))
+        out = out.unionByName(stage(verified(docs, more, t, id_col, text_col, reader), "line-verified"))
     return out.distinct()
 
 
@@ -438,9 +493,11 @@ def drop_repeated_lines(docs: DataFrame, t: tuple[int, int] = SIMILARITY, id_col
     alike. Columns of the two new names that are there already are replaced.
     """
     docs = docs.drop("n_lines", "removed")
-    gone = (repeated_lines(docs, t, id_col, text_col, min_words).groupBy(F.col("doc").alias("__doc"))
-            .agg(F.collect_list(F.struct("line", "crc")).alias("__gone")))
-    gone = _small(stage(gone, "lines-gone"), "__gone")
+    with tidy(docs.sparkSession) as result:
+        gone = (repeated_lines(docs, t, id_col, text_col, min_words).groupBy(F.col("doc").alias("__doc"))
+                .agg(F.collect_list(F.struct("line", "crc")).alias("__gone")))
+        gone = result(gone, "lines-gone")
+    gone = _small(gone, "__gone")
     joined = docs.join(gone, docs[id_col] == gone["__doc"], "left").drop("__doc")
     names = docs.columns
     at = names.index(text_col)
