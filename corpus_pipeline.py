@@ -24,7 +24,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those that share 0.8 or more of their five-word shingles with an earlier one."""
+    """One document of each group: SimHash groups of five-word shingles, then all pairs that share 0.8 or more of them."""
     return shinglejoin.keep_first(docs)
 
 
