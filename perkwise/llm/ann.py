@@ -19,14 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perkwise.llm.topk import usable
-from perkwise.session import stage
+from perkwise.session import stage, tidy
 
 NEIGHBOURS = 36
 FOREST = 6
 BLOCK = 256
 SAMPLED = 18
 BEAM = 192
-EXPANDED = 64
+EXPANDED = 16
+SETTLED = 96
 ENTRIES = 64
 LONGEST = 1024
 STARTS = 32
@@ -199,12 +200,14 @@ def build(codes: DataFrame) -> DataFrame:
 
 
 def walk(queries: DataFrame, codes: DataFrame, graph: DataFrame, k: int) -> DataFrame:
-    """(id, other, sim): for queries (id, code) the beam of nodes that a greedy walk has come to.
+    """(id, other): for queries (id, code) the beam of nodes that a greedy walk has come to.
 
     It starts at the best of a few fixed entries and of the longest vectors, which are often the answer and seldom
     a neighbour, and for a query that is a node at its neighbours. Links are followed both ways. Each step looks
-    at all neighbours of the nearest nodes that were not looked at before, of all queries at once. A query goes on
-    until its nearest ``k`` have all been looked at.
+    at the neighbours of the nearest nodes that were not looked at before, of all queries at once. A query is one row
+    with its beam; its new nodes come together there and are tested against the beam inside the row. A node that has
+    left the beam cannot come back, since the beam only gets nearer. A query goes on until its nearest ``SETTLED``
+    have all been looked at.
     """
     def long_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,36 +232,50 @@ def walk(queries: DataFrame, codes: DataFrame, graph: DataFrame, k: int) -> Data
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims)], names=["id", "other", "sim"])
 
     def measured(pairs: DataFrame) -> DataFrame:
+        """(id, found): one row per query with what its new nodes are worth."""
         node = codes.select(F.col("id").alias("other"), F.col("code").alias("node_code"))
         rows = pairs.join(node, "other").join(queries, "id").select("id", "other", "code", "node_code")
-        return rows.mapInArrow(measure, "id long, other long, sim float")
+        sims = rows.mapInArrow(measure, "id long, other long, sim float")
+        return sims.groupBy("id").agg(F.collect_list(F.struct("other", "sim")).alias("found"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ids, sims, seen, found in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                ids = np.array([*(ids or ()), *(x["other"] for x in found or ())], np.int64)
+                sims = np.array([*(sims or ()), *(x["sim"] for x in found or ())], np.float32)
+                seen = np.r_[np.array(seen or (), bool), np.zeros(len(found or ()), bool)]
+                order = np.lexsort((ids, -sims))[:max(BEAM, k)]
+                ids, sims, seen = ids[order], sims[order], seen[order]
+                look = np.flatnonzero(~seen)[:EXPANDED] if not seen[:max(SETTLED, k)].all() else np.zeros(0, np.int64)
+                seen[look] = True
+                out.append((ids.tolist(), sims.tolist(), seen.tolist(), ids[look].tolist()))
+            kinds = (pa.int64(), pa.float32(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([x[i] for x in out], pa.list_(kind)) for i, kind in enumerate(kinds))], names=["id", "ids", "sims", "seen", "look"])
+
+    def merged(state: DataFrame) -> DataFrame:
+        return state.select("id", "ids", "sims", "seen", "found").mapInArrow(
+            merge, "id long, ids array<long>, sims array<float>, seen array<boolean>, look array<long>")
 
     if not len(entries):
-        return queries.select("id", F.col("id").alias("other"), F.lit(0.0).cast("float").alias("sim")).limit(0)
+        return queries.select("id", F.col("id").alias("other")).limit(0)
     start = queries.select("id", "code").mapInArrow(enter, "id long, other long")
     own = graph.join(queries.select("id"), "id", "left_semi").select("id", "other")
     start = start.unionByName(own).unionByName(queries.select("id", F.col("id").alias("other")))
-    beam = stage(measured(start.distinct()).withColumn("seen", F.lit(False)), "ann-beam")
+    empty = [F.lit(None).cast(kind).alias(name) for name, kind in (("ids", "array<long>"), ("sims", "array<float>"), ("seen", "array<boolean>"))]
+    state = stage(merged(measured(start.distinct()).select("id", *empty, "found")), "ann-walk")
     links = graph.select(F.col("id").alias("node"), F.col("other").alias("next"), "sim")
     back = _best(links.select(F.col("next").alias("id"), F.col("node").alias("other"), "sim"), "id", NEIGHBOURS)
-    links = stage(links.select("node", "next").unionByName(back.select(F.col("id").alias("node"), F.col("other").alias("next"))).distinct(), "ann-links")
-    while True:
-        near = Window.partitionBy("id").orderBy(F.col("sim").desc(), "other")
-        ranked = beam.withColumn("open", (F.row_number().over(near) <= k) & ~F.col("seen"))
-        active = stage(ranked.filter("open").select("id").distinct(), "ann-active")
-        if active.isEmpty():
-            return beam.select("id", "other", "sim")
-        order = Window.partitionBy("id").orderBy("seen", F.col("sim").desc(), "other")
-        marked = (beam.withColumn("look", (F.row_number().over(order) <= EXPANDED) & ~F.col("seen"))
-                  .join(active.withColumn("active", F.lit(True)), "id", "left")
-                  .withColumn("look", F.col("look") & F.coalesce("active", F.lit(False))).drop("active"))
-        looked = stage(marked, "ann-beam")
-        nodes = looked.filter("look").select("id", F.col("other").alias("node"))
-        fresh = nodes.join(links, "node").select("id", F.col("next").alias("other")).distinct()
-        fresh = fresh.join(looked.select("id", "other"), ["id", "other"], "left_anti")
-        merged = looked.select("id", "other", "sim", (F.col("seen") | F.col("look")).alias("seen")).unionByName(
-            measured(fresh).withColumn("seen", F.lit(False)))
-        beam = stage(_best(merged, "id", max(BEAM, k), "seen"), "ann-beam")
+    links = links.select("node", "next").unionByName(back.select(F.col("id").alias("node"), F.col("other").alias("next")))
+    links = stage(links.groupBy("node").agg(F.collect_set("next").alias("nexts")), "ann-links")
+    while not state.filter(F.size("look") > 0).isEmpty():
+        with tidy(state.sparkSession) as result:
+            nodes = state.select("id", F.explode("look").alias("node")).join(links, "node")
+            nexts = nodes.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nexts"))).alias("nexts"))
+            fresh = state.join(nexts, "id").select("id", F.explode(F.array_except("nexts", "ids")).alias("other"))
+            state = result(merged(state.join(measured(fresh), "id", "left")), "ann-walk")
+    return state.select("id", F.explode("ids").alias("other"))
 
 
 def search(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -266,6 +283,11 @@ def search(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col
 
     ``score`` is the inner product of the original vectors in double precision; ties go to the smaller id.
     """
+    with tidy(rows.sparkSession) as result:
+        return result(_search(rows, is_query, k, id_col, vector_col), "ann-found")
+
+
+def _search(rows: DataFrame, is_query, k: int, id_col: str, vector_col: str) -> DataFrame:
     points, members, width = prepared(rows, id_col, vector_col, k + 1)
     codes = coded(points, width)
     graph = build(codes)
