@@ -29,9 +29,10 @@ from perkwise.session import stage
 
 LEAST = 10
 INSIDE = 50
-RANGE_CHARS = 1 << 23
+RANGE_CHARS = 1 << 24
 SHARD_WORDS = 1 << 21
-SHARD_ALPHABET = 1 << 20
+SHARD_ALPHABET = 1 << 19
+ROWS_AT_ONCE = 512
 BITS = 27
 SLICES = 64
 _BREAKS = ".,;:!?\n\x0b\x0c\r"
@@ -93,7 +94,7 @@ def words_and_pairs(ids: np.ndarray, digest: np.ndarray) -> Counted:
     grams = np.full((len(one) + len(two), 3), NONE, np.int32)
     grams[:len(one), 0] = ids[one]
     grams[len(one):, 0], grams[len(one):, 1] = ids[two], ids[two + 1]
-    return in_order(grams, np.ones(len(grams), np.int64))
+    return in_order(grams)
 
 
 def triples(bits: np.ndarray) -> Callable[[np.ndarray, np.ndarray], Counted]:
@@ -104,7 +105,7 @@ def triples(bits: np.ndarray) -> Callable[[np.ndarray, np.ndarray], Counted]:
         two = two[_marked(bits, pair_digests(digest[ids[two]], digest[ids[two + 1]]))] if len(two) else two
         three = two[:-1][two[1:] == two[:-1] + 1]
         grams = np.stack([ids[three], ids[three + 1], ids[three + 2]], axis=1) if len(three) else np.zeros((0, 3), np.int32)
-        return in_order(grams, np.ones(len(grams), np.int64))
+        return in_order(grams)
 
     return of
 
@@ -119,18 +120,18 @@ def _marked(bits: np.ndarray, digest: np.ndarray) -> np.ndarray:
     return bits[at] & bit > 0
 
 
-def _messages(lang: str, alphabet: pa.Array, digest: np.ndarray, counted: Counted, ranges: int) -> pa.RecordBatch:
+def _messages(lang: str, alphabet: pa.Array, digest: np.ndarray, counted: Counted, ranges: int) -> Iterator[pa.RecordBatch]:
     """One automaton for each range that some of the sequences are in."""
     grams, weights = counted
     number = prefix_ranges(digest, grams, ranges)
     order = np.argsort(number, kind="stable")
-    found, starts = np.unique(number[order], return_index=True)
     texts = alphabet.cast(pa.string())
-    parts = [restricted(texts, grams[order[a:b]], weights[order[a:b]]) for a, b in zip(starts, [*starts[1:], len(order)])]
-    kind = pa.list_(pa.string())
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int32()), pa.array([w.to_pylist() for w, _ in parts], kind),
-         pa.array([a for _, a in parts], pa.binary())], names=["lang", "range", "words", "automaton"])
+    found, starts = np.unique(number[order], return_index=True)
+    for i, a, b in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]):
+        words, automaton = restricted(texts, grams[order[a:b]], weights[order[a:b]])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang], pa.string()), pa.array([i], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
+             pa.array([automaton], pa.binary())], names=["lang", "range", "words", "automaton"])
 
 
 _MESSAGE = "lang string, range int, words array<string>, automaton binary"
@@ -148,10 +149,10 @@ def shard_automata(docs: DataFrame, counter: Callable[[], Callable[[np.ndarray,
                 digest = word_digests(lang, alphabet.to_pylist())
                 counted = of(ids, digest)
                 if len(counted[0]):
-                    yield _messages(lang, alphabet, digest, counted, ranges)
+                    yield from _messages(lang, alphabet, digest, counted, ranges)
             shards.clear()
 
-        for batch in batches:
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             by_lang = defaultdict(list)
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by_lang[lang].append(text)
@@ -187,7 +188,7 @@ def union(shards: DataFrame, least: int) -> DataFrame:
         n = int(weights[grams[:, 1] < 0].sum())
         keep = weights >= least
         own, automaton = restricted(words, grams[keep], weights[keep])
-        return pa.table([group.column("lang")[:1], group.column("range")[:1], pa.array([own.to_pylist()], pa.list_(pa.string())),
+        return pa.table([group.column("lang")[:1], group.column("range")[:1], pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
                          pa.array([automaton], pa.binary()), pa.array([n], pa.int64())], names=["lang", "range", "words", "automaton", "n"])
 
     return shards.groupBy("lang", "range").applyInArrow(unite, f"{_MESSAGE}, n long")
@@ -256,7 +257,7 @@ def looked_up(parts: DataFrame, counts: DataFrame, ranges: int) -> DataFrame:
                 alphabet = sorted({w.encode("utf-8", "replace") for words in asked for w in words})
                 number = {w.decode("utf-8", "replace"): i for i, w in enumerate(alphabet)}
                 grams = np.array([[number[w] for w in words] + [NONE] * (3 - len(words)) for words in asked], np.int32)
-                yield _messages(lang, pa.array(alphabet, pa.binary()), word_digests(lang, alphabet), in_order(grams, np.ones(len(grams), np.int64)), ranges)
+                yield from _messages(lang, pa.array(alphabet, pa.binary()), word_digests(lang, alphabet), in_order(grams), ranges)
 
     def compose(asked: pa.Table, counted: pa.Table) -> pa.Table:
         both = pa.concat_tables([asked.select(["words", "automaton"]), counted.select(["words", "automaton"])])
