@@ -31,12 +31,14 @@ SIMILARITY = (4, 5)
 MIN_WORDS = 5
 BUCKETS = 1 << 22
 SLICES = 64
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 ROWS_PER_TARGET = 400_000
 CROWDED = 200_000
 # A task forgets the lines it has sent when there are so many; that costs shuffle and changes no result.
 REMEMBERED = 200_000
-HELD = 300_000
+HELD = 150_000
+# A table of bits, 2 MB at any size, tells which cells a second search looks into.
+CELL_BITS = 24
 ALIKE = 24
 ENOUGH = 3
 # Tables of line numbers up to this many rows (about 20 MB) are copied to all tasks; larger ones are shuffled.
@@ -184,7 +186,7 @@ def _pairs(rows: dict[str, np.ndarray], t: tuple[int, int], stop: bool, alike: i
     later, earlier, stopped = [], [], []
     active = np.flatnonzero((rows["role"] & 1 > 0) & (first < np.arange(total)))
     n, at, role, low, high, whole, doc, line = (rows[x] for x in ("n", "at", "role", "low", "high", "whole", "doc", "line"))
-    back, convincing, settled = 1, np.zeros(total, np.int32), np.zeros(total, bool)
+    back, convincing, settled, ended = 1, np.zeros(total, np.int32), np.zeros(total, bool), np.zeros(total, bool)
     while len(active):
         other = active - back
         small, large = np.minimum(n[active], n[other]), np.maximum(n[active], n[other])
@@ -208,29 +210,123 @@ def _pairs(rows: dict[str, np.ndarray], t: tuple[int, int], stop: bool, alike: i
             convincing[active[sure]] += 1
             enough = convincing[active] >= ENOUGH
             stopped.append((more & enough)[hit])
+            ended[active[more & enough]] = True
             active = active[more & ~enough]
         else:
             stopped.append(np.zeros(int(hit.sum()), bool))
             active = active[more]
     none = np.zeros(0, np.int64)
     later, earlier, stopped = np.concatenate([none, *later]), np.concatenate([none, *earlier]), np.concatenate([none > 0, *stopped])
-    open_ = ~settled[later]
-    return later[open_], earlier[open_], stopped[open_], np.flatnonzero(settled & (role & 4 > 0))
+    keep = ~settled[later] & ~ended[later]
+    if ended.any():
+        # Of a search that has ended early the nearest candidate is enough; where it fails the search is done to the end.
+        late = np.flatnonzero(ended[later] & ~settled[later])
+        apart = np.bitwise_count(low[later[late]] ^ low[earlier[late]]).astype(np.int64) + np.bitwise_count(high[later[late]] ^ high[earlier[late]])
+        late = late[np.lexsort((apart, later[late]))]
+        late = late[np.r_[True, later[late][1:] != later[late][:-1]][:len(late)]]
+        keep[late], stopped[late] = True, True
+    return later[keep], earlier[keep], stopped[keep], np.flatnonzero(settled & (role & 4 > 0))
 
 
 def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, int], stop: bool,
                id_col: str, text_col: str, probes: str | None = None, crowded: int = CROWDED, *, min_words: int = MIN_WORDS,
-               alike: int = ALIKE, reader: Reader = LINES) -> DataFrame:
+               alike: int = ALIKE, reader: Reader = LINES, cells: np.ndarray | None = None) -> DataFrame:
     """(doc, line, crc, other_doc, other_line, apart, stopped): lines with an earlier line that may match.
 
     Without another line the match is certain: a line of the same words came earlier. ``probes`` names
-    a column with the only line numbers to look for; their matches all name the other line.
+    a column with the only line numbers to look for; their matches all name the other line. ``cells`` is a table of
+    bits of the only cells that matter, as ``probed_cells`` makes it.
     """
     targets = max(1, -(-words // (4 * ROWS_PER_TARGET))) * 4
-    table = docs.sparkSession.sparkContext.broadcast(levels)
+    sent = entries(docs, levels, targets, t, id_col, text_col, probes, crowded, min_words, reader, cells)
+
+    def searched(blobs: list[bytes]) -> pa.RecordBatch:
+        rows = _unpacked(blobs)
+        # Most words of a target are in one line only.
+        order = np.argsort(rows["cell"])
+        same = rows["cell"][order[1:]] == rows["cell"][order[:-1]]
+        order = order[np.r_[False, same] | np.r_[same, False]]
+        order = order[np.lexsort((rows["line"][order], rows["doc"][order], rows["cell"][order]))]
+        rows = {c: x[order] for c, x in rows.items()}
+        later, earlier, stopped, settled = _pairs(rows, t, stop, alike, probes is None)
+        a, b = ({c: rows[c][i] for c in ("doc", "line", "crc", "low", "high")} for i in (later, earlier))
+        apart = np.bitwise_count(a["low"] ^ b["low"]).astype(np.int32) + np.bitwise_count(a["high"] ^ b["high"])
+        sure = (rows["doc"][settled], rows["line"][settled], rows["crc"][settled], None, None, None, np.zeros(len(settled), bool))
+        open_ = (a["doc"], a["line"], a["crc"], b["doc"], b["line"], apart, stopped)
+        return pa.concat_batches([_found(*sure), _found(*open_)])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs = None, []
+        for batch in batches:
+            for target, blob, certain in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if certain:
+                    rows = np.frombuffer(blob, _COPY)
+                    yield _found(rows["doc"], rows["line"], rows["crc"], None, None, None, np.zeros(len(rows), bool))
+                    continue
+                if target != now and blobs:
+                    yield searched(blobs)
+                    blobs = []
+                now = target
+                blobs.append(blob)
+        if blobs:
+            yield searched(blobs)
+
+    return sent.repartition(targets, "target").sortWithinPartitions("target").mapInArrow(
+        search, "doc long, line int, crc long, other_doc long, other_line int, apart int, stopped boolean")
+
+
+def _unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    parts: dict[str, list[np.ndarray]] = {c: [] for c in _ENTRY.names}
+    for blob in blobs:
+        size, at = len(blob) // _ENTRY.itemsize, 0
+        for c in _ENTRY.names:
+            parts[c].append(np.frombuffer(blob, _ENTRY[c], size, at))
+            at += size * _ENTRY[c].itemsize
+    return {c: np.concatenate(parts.pop(c)) for c in _ENTRY.names}
+
+
+def _cell_bit(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    place = _mixed(cell) & np.uint64((1 << CELL_BITS) - 1)
+    return (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8)
+
+
+def probed_cells(docs: DataFrame, levels: np.ndarray, t: tuple[int, int], id_col: str, text_col: str, probes: str,
+                 min_words: int = MIN_WORDS, reader: Reader = LINES) -> np.ndarray:
+    """The bits of the cells in which the lines of ``probes`` look for others."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (CELL_BITS - 3), np.uint8)
+        for batch in batches:
+            for blob in batch.column(1).to_pylist():
+                rows = _unpacked([blob])
+                np.bitwise_or.at(bits, *_cell_bit(rows["cell"][rows["role"] & 1 > 0]))
+        for i, part in enumerate(bits.reshape(SLICES, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names=["slice", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts[i] = parts.get(i, np.uint8(0)) | np.frombuffer(zlib.decompress(x), np.uint8)
+        for i, x in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()])], names=["slice", "bits"])
+
+    # Crowded cells are cut by their places later on, so they keep their own numbers here.
+    sent = entries(docs, levels, 1, t, id_col, text_col, probes, 1 << 62, min_words, reader, None)
+    table = np.zeros((SLICES, (1 << (CELL_BITS - 3)) // SLICES), np.uint8)
+    for r in sent.mapInArrow(mark, "slice int, bits binary").repartition(8, "slice").mapInArrow(join, "slice int, bits binary").collect():
+        table[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return table.reshape(-1)
+
+
+def entries(docs: DataFrame, levels: np.ndarray, targets: int, t: tuple[int, int], id_col: str, text_col: str, probes: str | None,
+            crowded: int, min_words: int, reader: Reader, cells: np.ndarray | None) -> DataFrame:
+    """(target, rows, certain): packed entries of the lines' prefixes, and lines whose words came earlier in the same task."""
+    table = docs.sparkSession.sparkContext.broadcast((levels, cells))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level_of, seen, held, copies = table.value, {}, [], []
+        (level_of, wanted_cells), seen, held, copies = table.value, {}, [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
@@ -282,7 +378,8 @@ def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, in
                 docs_, numbers = ids[text_of[lines]], number[lines]
                 fresh, double = np.zeros(len(lines), bool), np.zeros(len(lines), bool)
                 for i in np.flatnonzero(n >= min_words).tolist():
-                    mark, place = int(whole[i]), (int(docs_[i]), int(numbers[i]))
+                    # One number for (document, line): a dictionary of pairs takes twice the memory.
+                    mark, place = int(whole[i]), (int(docs_[i]) << 32) + int(numbers[i])
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     before = seen.get(mark)
@@ -320,7 +417,12 @@ def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, in
                 out["cell"], out["doc"], out["line"], out["crc"] = np.where(equal, whole[of], word[use]), docs_[of], numbers[of], crc[of] if len(use) else 0
                 out["n"], out["at"], out["low"], out["high"], out["whole"] = n[of], at[use], maps[0][of], maps[1][of], whole[of]
                 out["role"] = role[of] | np.where(np.r_[True, of[1:] != of[:-1]][:len(of)], 4, 0).astype(np.uint8)
-                grid = np.ceil(2.0 ** (rare[use].astype(float) / 2) / crowded).astype(np.int64)
+                level_here = rare[use]
+                if wanted_cells is not None:
+                    at_, bit_ = _cell_bit(out["cell"])
+                    hit = wanted_cells[at_] & bit_ > 0
+                    out, level_here = out[hit], level_here[hit]
+                grid = np.ceil(2.0 ** (level_here.astype(float) / 2) / crowded).astype(np.int64)
                 if (grid > 1).any():
                     held.append(_grid(out[grid > 1], grid[grid > 1]))
                     out = out[grid <= 1]
@@ -329,47 +431,8 @@ def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, in
                 yield from flush()
         yield from flush()
 
-    def searched(blobs: list[bytes]) -> pa.RecordBatch:
-        parts: dict[str, list[np.ndarray]] = {c: [] for c in _ENTRY.names}
-        for blob in blobs:
-            size, at = len(blob) // _ENTRY.itemsize, 0
-            for c in _ENTRY.names:
-                parts[c].append(np.frombuffer(blob, _ENTRY[c], size, at))
-                at += size * _ENTRY[c].itemsize
-        rows = {c: np.concatenate(parts.pop(c)) for c in _ENTRY.names}
-        # Most words of a target are in one line only.
-        order = np.argsort(rows["cell"])
-        same = rows["cell"][order[1:]] == rows["cell"][order[:-1]]
-        order = order[np.r_[False, same] | np.r_[same, False]]
-        order = order[np.lexsort((rows["line"][order], rows["doc"][order], rows["cell"][order]))]
-        rows = {c: x[order] for c, x in rows.items()}
-        later, earlier, stopped, settled = _pairs(rows, t, stop, alike, probes is None)
-        a, b = ({c: rows[c][i] for c in ("doc", "line", "crc", "low", "high")} for i in (later, earlier))
-        apart = np.bitwise_count(a["low"] ^ b["low"]).astype(np.int32) + np.bitwise_count(a["high"] ^ b["high"])
-        sure = (rows["doc"][settled], rows["line"][settled], rows["crc"][settled], None, None, None, np.zeros(len(settled), bool))
-        open_ = (a["doc"], a["line"], a["crc"], b["doc"], b["line"], apart, stopped)
-        return pa.concat_batches([_found(*sure), _found(*open_)])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs = None, []
-        for batch in batches:
-            for target, blob, certain in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if certain:
-                    rows = np.frombuffer(blob, _COPY)
-                    yield _found(rows["doc"], rows["line"], rows["crc"], None, None, None, np.zeros(len(rows), bool))
-                    continue
-                if target != now and blobs:
-                    yield searched(blobs)
-                    blobs = []
-                now = target
-                blobs.append(blob)
-        if blobs:
-            yield searched(blobs)
-
     columns = [id_col, text_col] + ([probes] if probes else [])
-    sent = docs.select(*columns).mapInArrow(send, "target int, rows binary, certain boolean")
-    return sent.repartition(targets, "target").sortWithinPartitions("target").mapInArrow(
-        search, "doc long, line int, crc long, other_doc long, other_line int, apart int, stopped boolean")
+    return docs.select(*columns).mapInArrow(send, "target int, rows binary, certain boolean")
 
 
 def _grid(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -478,7 +541,8 @@ def repeated_lines(docs: DataFrame, t: tuple[int, int] = SIMILARITY, id_col: str
                       .groupBy("doc").agg(F.collect_set("line").alias("__probes")), "line-unsettled")
     if not unsettled.isEmpty():
         probed = docs.join(unsettled, docs[id_col] == unsettled["doc"], "left").drop("doc")
-        more = candidates(probed, levels, words // 4, t, False, id_col, text_col, "__probes", min_words=min_words, reader=reader)
+        cells = probed_cells(probed.filter("__probes is not null"), levels, t, id_col, text_col, "__probes", min_words, reader)
+        more = candidates(probed, levels, words // 4, t, False, id_col, text_col, "__probes", min_words=min_words, reader=reader, cells=cells)
         more = stage(more.select("doc", "line", "crc", "other_doc", "other_line").distinct(), "line-candidates")
         out = out.unionByName(stage(verified(docs, more, t, id_col, text_col, reader), "line-verified"))
     return out.distinct()
