@@ -1,10 +1,11 @@
 """Phrase collocations from weighted automata of word sequences.
 
-Tasks count the words and word pairs of a shard, sort them and build one automaton per range of prefixes; a range
+Tasks count the words of a shard, sort them and build one automaton per range of prefixes; a range
 is an interval of the digest of a sequence's first two words, so that the sequences of a very frequent word are in
-all ranges. The automata of a range are united and their weights summed. Three words can only be frequent if both
-pairs in them are: the second pass counts those that pass a table of bits, fixed in size, of the frequent pairs. A
-pair that shares its bit with another one costs work and changes no result. The counts of a candidate's parts come
+all ranges. The automata of a range are united and their weights summed. Two words can only be frequent together if
+each of them is, three words if both pairs in them are: a second and a third pass count those that pass a table of
+bits, fixed in size, of what the pass before found frequent. What shares its bit with something else costs work and
+changes no result. The counts of a candidate's parts come
 from composing an automaton of all parts asked for with the united automata of their ranges.
 """
 
@@ -56,9 +57,14 @@ def pair_digests(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return _mixed(first * np.uint64(3) + _mixed(second))
 
 
+def prefix_digests(digest: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The digest of the first two words of each sequence, or of its only one."""
+    return np.where(grams[:, 1] >= 0, pair_digests(digest[grams[:, 0]], digest[np.maximum(grams[:, 1], 0)]), _mixed(digest[grams[:, 0]]))
+
+
 def prefix_ranges(digest: np.ndarray, grams: np.ndarray, ranges: int) -> np.ndarray:
-    """The range of each sequence: the interval that the digest of its first two words, or its only one, lies in."""
-    prefix = np.where(grams[:, 1] >= 0, pair_digests(digest[grams[:, 0]], digest[np.maximum(grams[:, 1], 0)]), _mixed(digest[grams[:, 0]]))
+    """The range of each sequence: the interval that the digest of its prefix lies in."""
+    prefix = prefix_digests(digest, grams)
     return ((prefix >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
 
 
@@ -88,13 +94,25 @@ class Shard:
 Counted = tuple[np.ndarray, np.ndarray]
 
 
-def words_and_pairs(ids: np.ndarray, digest: np.ndarray) -> Counted:
-    one = np.flatnonzero(ids >= 0)
-    two = one[ids[one + 1] >= 0] if len(ids) and ids[-1] < 0 else one[:0]
-    grams = np.full((len(one) + len(two), 3), NONE, np.int32)
-    grams[:len(one), 0] = ids[one]
-    grams[len(one):, 0], grams[len(one):, 1] = ids[two], ids[two + 1]
-    return in_order(grams)
+def single_words(ids: np.ndarray, digest: np.ndarray) -> Counted:
+    weights = np.bincount(ids[ids >= 0], minlength=len(digest))
+    grams = np.full((len(digest), 3), NONE, np.int32)
+    grams[:, 0] = np.arange(len(digest))
+    return grams[weights > 0], weights[weights > 0]
+
+
+def pairs(bits: np.ndarray) -> Callable[[np.ndarray, np.ndarray], Counted]:
+    """Counts the pairs of words both of which have their bit."""
+
+    def of(ids: np.ndarray, digest: np.ndarray) -> Counted:
+        # The last place stands for the number between pieces.
+        fine = np.r_[_marked(bits, _mixed(digest)), False][ids]
+        two = np.flatnonzero(fine[:-1] & fine[1:])
+        grams = np.full((len(two), 3), NONE, np.int32)
+        grams[:, 0], grams[:, 1] = ids[two], ids[two + 1]
+        return in_order(grams)
+
+    return of
 
 
 def triples(bits: np.ndarray) -> Callable[[np.ndarray, np.ndarray], Counted]:
@@ -214,18 +232,16 @@ def _joined(words: list[str], grams: np.ndarray) -> list[str]:
 
 
 def frequent_bits(counts: DataFrame) -> np.ndarray:
-    """A table of 2^27 bits, 16 MB at any size, with those of the pairs in the automata set."""
+    """A table of 2^27 bits, 16 MB at any size, with those of the words or pairs in the automata set."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (BITS - 3), np.uint8)
         for batch in batches:
             for lang, words, automaton in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 grams, _ = rows(automaton)
-                grams = grams[grams[:, 1] >= 0]
                 digest = word_digests(lang, [w.encode("utf-8", "replace") for w in words])
                 if len(grams):
-                    at, bit = _bit(pair_digests(digest[grams[:, 0]], digest[grams[:, 1]]))
-                    np.bitwise_or.at(bits, at, bit)
+                    np.bitwise_or.at(bits, *_bit(prefix_digests(digest, grams)))
         for i, part in enumerate(bits.reshape(SLICES, -1)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names=["slice", "bits"])
@@ -296,10 +312,14 @@ def collocations(docs: DataFrame, most: int = 2000, least: int = LEAST, inside:
     texts = docs.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
     chars = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     ranges = max(1, -(-chars // RANGE_CHARS))
-    counts = stage(union(shard_automata(texts, lambda: words_and_pairs, ranges), least), "pair-automata")
-    bits = docs.sparkSession.sparkContext.broadcast(frequent_bits(counts))
-    longer = stage(union(shard_automata(texts, lambda: triples(bits.value), ranges), least), "triple-automata")
-    found = phrases(counts, 2).unionByName(phrases(longer, 3))
+    copied = docs.sparkSession.sparkContext.broadcast
+    single = stage(union(shard_automata(texts, lambda: single_words, ranges), least), "word-automata")
+    of_words = copied(frequent_bits(single))
+    double = stage(union(shard_automata(texts, lambda: pairs(of_words.value), ranges), least), "pair-automata")
+    of_pairs = copied(frequent_bits(double))
+    longer = stage(union(shard_automata(texts, lambda: triples(of_pairs.value), ranges), least), "triple-automata")
+    counts = single.unionByName(double)
+    found = phrases(double, 2).unionByName(phrases(longer, 3))
     words = F.split("phrase", " ")
     cut = found.select("lang", "phrase", "a", F.inline(_cuts(words)))
     sides = stage(cut.select("lang", "phrase", "a", "k", F.inline(F.array(
@@ -318,5 +338,5 @@ def collocations(docs: DataFrame, most: int = 2000, least: int = LEAST, inside:
     widest = halves.groupBy("lang", "phrase").agg(F.max("whole").alias("whole"))
     kept = scored.join(widest, ["lang", "phrase"], "left").filter(~F.coalesce(F.col("whole") * 100 >= F.col("a") * inside, F.lit(False))).drop("whole")
     ranked = top_k(kept, ["lang"], [F.col("score").desc(), F.col("a").desc(), F.col("phrase")], most, hot_keys=True)
-    total = counts.groupBy("lang").agg(F.sum("n").alias("n"))
+    total = single.groupBy("lang").agg(F.sum("n").alias("n"))
     return ranked.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
