@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from perkwise.functions.draws import uuid_text
+from perkwise.functions.text import strip
 from perkwise.operators.keyed import insert_ignore, new_rows, upsert
 
 # Allowed codes.
@@ -50,7 +51,7 @@ def _reasons(rules: Sequence[tuple[str, Column]]) -> Column:
 
 def _text(column: str) -> Column:
     """The value as text without white space at its ends."""
-    return F.regexp_replace(F.col(column).cast("string"), r"(?U)^\s+|\s+$", "")
+    return strip(F.col(column).cast("string"))
 
 
 def _time(column: str) -> Column:
