@@ -129,6 +129,20 @@ def aggregate_score(spark, d):
     )
 
 
+@query("evl6_copies_unstemmed", f"""SELECT pair_id, {sql.fixed('bleu', 4)} AS bleu, {sql.fixed('rouge_l', 4)} AS rouge_l, coherence, brand_alignment, cta_strength,
+  {sql.fixed('0.2::DOUBLE * bleu + 0.2::DOUBLE * rouge_l + 0.6::DOUBLE * ((coherence + brand_alignment + cta_strength) / 3.0::DOUBLE)', 4)} AS aggregate
+  FROM (SELECT b.pair_id, bleu, rouge_l, CASE WHEN m < 2 THEN 0.75 ELSE (1 + t) / 5 END::DOUBLE AS coherence,
+    CASE WHEN m < 2 THEN 0.75 ELSE (1 + (t + 2) % 5) / 5 END::DOUBLE AS brand_alignment, CASE WHEN m < 2 THEN 0.75 ELSE 3.5 / 5 END::DOUBLE AS cta_strength
+    FROM (SELECT *, length(generated) % 4 AS m, length(generated) % 5 AS t FROM {sql.PAIRS}) p
+    JOIN {bleu_sql()} b USING (pair_id) JOIN ({ROUGE}) r USING (pair_id))""")
+def copies_unstemmed(spark, d):
+    size = F.length("generated")
+    answer = F.when(size % 4 == 0, "no json").when(size % 4 == 1, '{"coherence": 4}').otherwise(F.concat(
+        F.lit('{"coherence": '), (1 + size % 5).cast("string"), F.lit(', "brand_alignment": '), (1 + (size + 2) % 5).cast("string"),
+        F.lit(', "cta_strength": 3.5}')))
+    return ev.evaluate_copies(st.copy_pairs(spark, d).select("pair_id", F.col("generated").alias("body"), "reference", answer.alias("judge_raw")), stem=False)
+
+
 @query("evl6_evaluate_copies")
 def evaluate_copies(spark, d):
     pairs = st.copy_pairs(spark, d).select(

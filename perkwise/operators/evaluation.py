@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from perkwise.functions.compute import compute_once
 from perkwise.functions.numbers import round_exact
 from perkwise.functions.stemming import porter_stem
 from perkwise.functions.jsontext import string_map
@@ -58,48 +61,56 @@ def metric_tokens(text: Column) -> Column:
     return F.filter(F.split(out, r"\s+"), lambda token: token != "")
 
 
-def _ngrams(tokens: Column, order: int) -> Column:
-    starts = F.sequence(F.lit(1), F.size(tokens) - F.lit(order - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, order), " "))
-    return F.when(F.size(tokens) >= order, grams).otherwise(F.array().cast("array<string>"))
+def _counts(max_order: int):
+    """Of two token arrays per row: clipped matches and totals of each order, and the second's length."""
 
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def count(generated: pd.Series, reference: pd.Series) -> pd.Series:
+        def of(ours: list, theirs: list) -> list[int]:
+            matches, totals = [], []
+            for n in range(max_order):
+                grams, known = (Counter(zip(*(tokens[i:] for i in range(n + 1)))) for tokens in (ours, theirs))
+                matches.append(sum(min(found, known[gram]) for gram, found in grams.items() if gram in known))
+                totals.append(max(len(ours) - n, 0))
+            return [*matches, *totals, len(theirs)]
 
-def bleu_counts(
-    pairs: DataFrame, key: str = "pair_id", generated: str = "generated",
-    reference: str = "reference", max_order: int = 4,
+        return pd.Series([of(list(a), list(b)) for a, b in zip(generated, reference)])
+
+    return count
+
+
+def with_bleu_counts(
+    pairs: DataFrame, generated: str = "generated", reference: str = "reference", max_order: int = 4,
 ) -> DataFrame:
-    """Clipped n-gram matches, n-gram totals and lengths per pair.
+    """Every row with its clipped n-gram matches, n-gram totals and lengths; rows stay where they are.
 
-    Pairs are placed by key once; both groupings below it need no further shuffle.
+    A missing text counts as empty.
     """
-    tokens = pairs.select(
-        key, metric_tokens(F.col(generated)).alias("_gen"), metric_tokens(F.col(reference)).alias("_ref")
-    ).repartition(key)
-
-    def entry(order: int, flag: int):
-        return lambda gram: F.struct(
-            F.lit(order).alias("order"), gram.alias("gram"), F.lit(flag).alias("generated")
-        )
-
-    def side(column: str, flag: int) -> list[Column]:
-        return [
-            F.transform(_ngrams(F.col(column), n), entry(n, flag)) for n in range(1, max_order + 1)
-        ]
-
-    # A marker of order 0 keeps pairs of two empty texts, which have no n-gram at all.
-    marker = F.array(F.struct(F.lit(0).alias("order"), F.lit("").alias("gram"), F.lit(0).alias("generated")))
-    grams = tokens.select(key, F.inline(F.concat(*side("_gen", 1), *side("_ref", 0), marker)))
-    per_gram = grams.groupBy(key, "order", "gram").agg(
-        F.sum("generated").alias("_gen"), F.sum(F.lit(1) - F.col("generated")).alias("_ref")
-    )
-    matched, order = F.least("_gen", "_ref"), F.col("order")
-    return per_gram.groupBy(key).agg(
-        *[F.sum(F.when(order == n, matched).otherwise(0)).alias(f"correct_{n}") for n in range(1, max_order + 1)],
-        *[F.sum(F.when(order == n, F.col("_gen")).otherwise(0)).alias(f"total_{n}") for n in range(1, max_order + 1)],
-        F.sum(F.when(order == 1, F.col("_ref")).otherwise(0)).alias("reference_length"),
+    def tokens(text: str) -> Column:
+        return metric_tokens(F.coalesce(F.col(text), F.lit("")))
+
+    rows = compute_once(pairs, _gen=tokens(generated), _ref=tokens(reference))
+    orders = range(1, max_order + 1)
+    # The score refers to the counts many times; a generator keeps them from being counted for each.
+    rows = compute_once(rows.withColumn("_counts", _counts(max_order)("_gen", "_ref")).drop("_gen", "_ref"), _all=F.col("_counts"))
+    return rows.select(
+        *pairs.columns,
+        *[F.col("_all")[n - 1].alias(f"correct_{n}") for n in orders],
+        *[F.col("_all")[max_order + n - 1].alias(f"total_{n}") for n in orders],
+        F.col("_all")[2 * max_order].alias("reference_length"),
     )
 
 
+def bleu_counts(
+    pairs: DataFrame, key: str = "pair_id", generated: str = "generated",
+    reference: str = "reference", max_order: int = 4,
+) -> DataFrame:
+    """Clipped n-gram matches, n-gram totals and lengths of every pair; repeated ids stay apart."""
+    orders = range(1, max_order + 1)
+    return with_bleu_counts(pairs.select(key, generated, reference), generated, reference, max_order).select(
+        key, *[f"correct_{n}" for n in orders], *[f"total_{n}" for n in orders], "reference_length")
+
+
 def bleu_from_counts(max_order: int = 4) -> Column:
     """Sentence BLEU in [0, 1]: effective order, exponential smoothing of empty matches."""
     log_sum, used, halvings = F.lit(0.0), F.lit(0), F.lit(0)
@@ -121,6 +132,7 @@ def bleu_from_counts(max_order: int = 4) -> Column:
 
 
 def sentence_bleu(pairs: DataFrame, key: str = "pair_id", **columns) -> DataFrame:
+    """BLEU of every row, in one pass without a shuffle."""
     return bleu_counts(pairs, key, **columns).select(key, bleu_from_counts().alias("bleu"))
 
 
@@ -147,18 +159,32 @@ def _lcs(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([_common_length(list(a), list(b)) for a, b in zip(left, right)])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stemmed(tokens: pd.Series) -> pd.Series:
+@F.pandas_udf(T.IntegerType())
+def _lcs_of_stems(left: pd.Series, right: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
 
-    def stem(token: str) -> str:
-        if len(token) <= 3:
-            return token
-        if token not in known:
-            known[token] = porter_stem(token)
-        return known[token]
+    def stems(tokens) -> list[str]:
+        for token in tokens:
+            if token not in known:
+                known[token] = porter_stem(token) if len(token) > 3 else token
+        return [known[token] for token in tokens]
+
+    return pd.Series([_common_length(stems(a), stems(b)) for a, b in zip(left, right)])
+
+
+def with_rouge_l(pairs: DataFrame, generated: str = "generated", reference: str = "reference", stem: bool = True) -> DataFrame:
+    """Every row with ``rouge_l``; a missing text counts as empty.
+
+    Stems keep the number of tokens, so lengths are taken before: one function call a row, tokens travel once.
+    """
+    def tokens(text: str) -> Column:
+        return word_tokens(F.coalesce(F.col(text), F.lit("")))
 
-    return tokens.map(lambda row: [stem(t) for t in row])
+    rows = compute_once(pairs, _gen=tokens(generated), _ref=tokens(reference))
+    rows = rows.withColumn("_lcs", (_lcs_of_stems if stem else _lcs)("_gen", "_ref"))
+    precision, recall = F.col("_lcs") / F.size("_gen"), F.col("_lcs") / F.size("_ref")
+    score = F.when(F.col("_lcs") > 0, F.lit(2.0) * precision * recall / (precision + recall)).otherwise(0.0)
+    return rows.withColumn("rouge_l", score).drop("_gen", "_ref", "_lcs")
 
 
 def rouge_l(
@@ -166,14 +192,7 @@ def rouge_l(
     reference: str = "reference", stem: bool = True,
 ) -> DataFrame:
     """ROUGE-L F-measure per pair."""
-    gen, ref = word_tokens(F.col(generated)), word_tokens(F.col(reference))
-    if stem:
-        gen, ref = _stemmed(gen), _stemmed(ref)
-    tokens = pairs.select(key, gen.alias("_gen"), ref.alias("_ref"))
-    common = tokens.withColumn("_lcs", _lcs("_gen", "_ref"))
-    precision, recall = F.col("_lcs") / F.size("_gen"), F.col("_lcs") / F.size("_ref")
-    score = F.when(F.col("_lcs") > 0, F.lit(2.0) * precision * recall / (precision + recall)).otherwise(0.0)
-    return common.select(key, score.alias("rouge_l"))
+    return with_rouge_l(pairs.select(key, generated, reference), generated, reference, stem).select(key, "rouge_l")
 
 
 def judge_answers(copies: DataFrame, make_backend, template: str) -> DataFrame:
@@ -227,14 +246,11 @@ def aggregate_score(bleu: Column, rouge: Column, dimensions: list[Column]) -> Co
 def evaluate_copies(copies: DataFrame, stem: bool = True) -> DataFrame:
     """All scores per copy: columns pair_id, body, reference and the judge's raw answer.
 
-    BLEU and ROUGE-L look at the body only.
+    BLEU and ROUGE-L look at the body only. One row in, one row out, without a shuffle or join; ids may repeat.
     """
-    columns = {"generated": "body", "reference": "reference"}
-    judged = copies.select("pair_id", judge_scores(F.col("judge_raw")).alias("_judge"))
-    scored = (
-        judged.join(sentence_bleu(copies, "pair_id", **columns), "pair_id")
-        .join(rouge_l(copies, "pair_id", stem=stem, **columns), "pair_id")
-    )
+    rows = copies.select("pair_id", "body", "reference", judge_scores(F.col("judge_raw")).alias("_judge"))
+    counted = with_rouge_l(with_bleu_counts(rows, "body", "reference"), "body", "reference", stem)
+    scored = counted.withColumn("bleu", bleu_from_counts())
     dims = [F.col(f"_judge.{d}") for d in JUDGE_DIMENSIONS]
     return scored.select(
         "pair_id",

@@ -52,11 +52,19 @@ def test_bleu_agrees_with_the_definition(spark):
     assert bleu(spark, pairs) == [pytest.approx(slow_bleu(g, r), abs=1e-12) for g, r in pairs]
 
 
-def test_bleu_groups_without_a_second_shuffle(spark):
+def test_scores_stay_in_the_row(spark):
     frame = spark.range(10).select(F.col("id").alias("pair_id"), F.lit("a b").alias("generated"), F.lit("a c").alias("reference"))
-    plan = ev.bleu_counts(frame)._jdf.queryExecution().executedPlan().toString()
-    assert "order#" in plan and "hashpartitioning(pair_id#" in plan
-    assert not re.search(r"hashpartitioning\([^)]*gram", plan)
+    assert "Exchange" not in ev.bleu_counts(frame)._jdf.queryExecution().executedPlan().toString()
+    copies = frame.select("pair_id", F.col("generated").alias("body"), "reference", F.lit(None).cast("string").alias("judge_raw"))
+    plan = ev.evaluate_copies(copies)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_repeated_ids_are_scored_apart(spark):
+    frame = spark.createDataFrame([(1, "one two three four", "one two three four", None), (1, "one two", "zwei", None), (1, None, "x", None)],
+        "pair_id int, body string, reference string, judge_raw string")
+    assert sorted(r["bleu"] for r in ev.sentence_bleu(frame, generated="body").collect()) == [0.0, 0.0, 1.0]
+    assert sorted((r["bleu"], r["rouge_l"], r["aggregate"]) for r in ev.evaluate_copies(frame).collect()) == [(0.0, 0.0, 0.45), (0.0, 0.0, 0.45), (1.0, 1.0, 0.85)]
 
 
 def test_tokens(spark):
