@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks import query, sql
+from checks import SQL, query, sql
 from perkwise.operators import ingest as ing
 from perkwise.plans import etl
 from perkwise.sources import sample_tables as st
@@ -36,6 +36,16 @@ def insert_ignore(spark, d):
     return out.drop("items", "currency")
 
 
+@query("ing2_bucketed_insert", SQL["ing2_insert_ignore"])
+def bucketed_insert(spark, d):
+    table = st.bucketed(st.transaction_snapshot(spark, d), ["transaction_id"])
+    batch = st.transaction_batch(spark, d)
+    table.insert_ignore(batch, ["arrival"], "late")
+    # The same delivery again changes nothing.
+    table.insert_ignore(batch, ["arrival"], "late")
+    return table.read().drop("items", "currency")
+
+
 @query("ing3_items_json", """SELECT CAST(l_orderkey AS VARCHAR) AS transaction_id,
   to_json(list({'line': l_linenumber, 'part': l_partkey, 'quantity': l_quantity, 'price': l_extendedprice}
     ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice))::VARCHAR AS items,
@@ -59,6 +69,15 @@ def upsert_customers(spark, d):
     return ing.upsert_customers(st.customer_snapshot(spark, d), st.customer_batch(spark, d))
 
 
+@query("ing4_bucketed_upsert", SQL["ing4_upsert_customers"])
+def bucketed_upsert(spark, d):
+    table = st.bucketed(st.customer_snapshot(spark, d), ["customer_id"])
+    batch = st.customer_batch(spark, d)
+    for name in ("recent", "recent"):
+        table.upsert(batch, ["arrival"], ["created_at"], name)
+    return table.read()
+
+
 @query("ing5_etl_counts", f"""SELECT 'transactions' AS table_name, count(*) AS written FROM (SELECT *, CASE WHEN o_orderkey % 17 <> 0
     THEN CAST(o_orderkey AS VARCHAR) END AS tid FROM orders) WHERE {_FAILED} = ''
     AND (tid IS NULL OR tid NOT IN (SELECT transaction_id FROM {sql.TRANSACTION_SNAPSHOT}))

@@ -61,7 +61,7 @@ def latest_features(spark, d):
 
 @query("fst6_list_versions", f"SELECT version, max(written_at) AS written_at FROM {sql.STORED} GROUP BY version")
 def list_versions(spark, d):
-    return store.list_versions(st.stored_features(spark, d))
+    return store.list_versions(store.published(spark, st.feature_store(spark, d)))
 
 
 @query("fst7_feature_stats", " UNION ALL ".join(
@@ -85,7 +85,7 @@ def feature_quantiles(spark, d):
 
 @query("fst8_newest_version", f"SELECT {sql.FEATURE_SELECT}, TIMESTAMP '2024-02-15' AS written_at, 'v3' AS version FROM {sql.features()}")
 def newest_version(spark, d):
-    return compared(store.newest_version(st.stored_features(spark, d)))
+    return compared(store.read_newest(spark, st.feature_store(spark, d)))
 
 
 def _vectors(spark, d, version):

@@ -1,16 +1,25 @@
-"""Versioned feature store kept as Parquet partitioned by version."""
+"""Versioned feature store kept as Parquet partitioned by version and slot, with a log of what is published.
+
+A write goes into a slot of its own while its quality gates are counted on the way. Only if they pass does one small
+file in the log name the slot; readers see the last published slot of each version and nothing else, so a failed or
+broken write leaves the store as it was. Versions are listed from the log alone.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from perkwise.functions.times import before
 from perkwise.operators.keyed import keep_last, upsert
 from perkwise.schemas import FEATURE_COLUMNS, NUMERIC_FEATURES, STORED_FEATURES
+from perkwise.session import path_exists
 
 # Quality limits and the age at which a hot row expires.
 NULL_LIMIT = 0.05
 HOT_SECONDS = 86_400
+_LOG = "number bigint, version string, slot string, written_at timestamp, n_rows bigint"
 
 
 class FeatureValidationError(ValueError):
@@ -31,14 +40,18 @@ def _is_missing(features: DataFrame, column: str):
     return (col.isNull() | F.isnan(col)) if numeric else col.isNull()
 
 
-def _gate_counts(features: DataFrame) -> DataFrame:
+def _gates(features: DataFrame) -> list[Column]:
     score = F.col("engagement_score")
     outside = ((score < 0.0) | (score > 1.0)) & ~F.isnan(score)
-    return features.agg(
+    return [
         F.count(F.lit(1)).alias("n_rows"),
         *[F.count_if(_is_missing(features, c)).alias(c) for c in FEATURE_COLUMNS],
         F.count_if(outside).alias("n_out_of_range"),
-    )
+    ]
+
+
+def _gate_counts(features: DataFrame) -> DataFrame:
+    return features.agg(*_gates(features))
 
 
 def null_fractions(features: DataFrame, limit: float = NULL_LIMIT) -> DataFrame:
@@ -59,35 +72,72 @@ def range_check(features: DataFrame) -> DataFrame:
     )
 
 
-def validate(features: DataFrame, limit: float = NULL_LIMIT) -> DataFrame:
-    """All quality gates in one aggregation; raises on the first that fails."""
-    require_columns(features)
-    counts = _gate_counts(features).first()
+def _refuse(counts: dict[str, int], limit: float) -> None:
     for column in FEATURE_COLUMNS:
         share = counts[column] / counts["n_rows"] if counts["n_rows"] else 0.0
         if share > limit:
             raise FeatureValidationError(f"column {column!r} has {share:.1%} nulls (limit {limit:.0%})")
     if counts["n_out_of_range"]:
         raise FeatureValidationError("engagement_score contains values outside [0, 1]")
+
+
+def validate(features: DataFrame, limit: float = NULL_LIMIT) -> DataFrame:
+    """All quality gates in one aggregation; raises on the first that fails."""
+    require_columns(features)
+    _refuse(_gate_counts(features).first().asDict(), limit)
     return features
 
 
-def write_version(features: DataFrame, path: str, version: str, written_at: str) -> None:
-    """Validate and store one version; writing it again replaces just that version."""
-    validate(features)
+def write_version(features: DataFrame, path: str, version: str, written_at: str, limit: float = NULL_LIMIT) -> None:
+    """Store one version and publish it if its gates pass; writing it again replaces just that version.
+
+    The features are computed and written once; the gates are counted by the tasks that write. One writer at a time.
+    """
+    require_columns(features)
+    spark, slot, gates = features.sparkSession, uuid.uuid4().hex, Observation()
+    rows = features.select("customer_id", *FEATURE_COLUMNS)
     (
-        features.select("customer_id", *FEATURE_COLUMNS)
-        .withColumn("written_at", F.lit(written_at).cast("timestamp"))
-        .withColumn("version", F.lit(version))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("version")
-        .parquet(path)
+        rows.observe(gates, *_gates(rows))
+        .withColumns({"written_at": F.lit(written_at).cast("timestamp"), "version": F.lit(version), "slot": F.lit(slot)})
+        .write.mode("append").partitionBy("version", "slot").parquet(f"{path}/rows")
     )
-
-
-def read_store(spark, path: str) -> DataFrame:
-    return spark.read.schema(STORED_FEATURES).parquet(path)
+    # A failed write stays unnamed, so that nobody reads it.
+    _refuse(gates.get, limit)
+    number = (publish_log(spark, path).agg(F.max("number")).first()[0] or 0) + 1
+    entry = spark.range(1).select(
+        F.lit(number).cast("bigint").alias("number"), F.lit(version).alias("version"), F.lit(slot).alias("slot"),
+        F.lit(written_at).cast("timestamp").alias("written_at"), F.lit(gates.get["n_rows"]).cast("bigint").alias("n_rows"))
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/log")
+
+
+def publish_log(spark, path: str) -> DataFrame:
+    """(number, version, slot, written_at, n_rows) of every published write."""
+    if not path_exists(spark, f"{path}/log"):
+        return spark.createDataFrame([], _LOG)
+    return spark.read.schema(_LOG).parquet(f"{path}/log")
+
+
+def published(spark, path: str) -> DataFrame:
+    """The last published write of every version. Reads the log only."""
+    return keep_last(publish_log(spark, path), ["version"], ["number"])
+
+
+def read_store(spark, path: str, version: str | None = None) -> DataFrame:
+    """The published rows, of all versions or of one; other slots are pruned before any file is opened."""
+    entries = published(spark, path)
+    if version is not None:
+        entries = entries.filter(F.col("version") == version)
+    slots = [r["slot"] for r in entries.select("slot").collect()]
+    if not slots:
+        return spark.createDataFrame([], STORED_FEATURES)
+    whole = T.StructType([*STORED_FEATURES.fields, T.StructField("slot", T.StringType())])
+    return spark.read.schema(whole).parquet(f"{path}/rows").filter(F.col("slot").isin(slots)).drop("slot")
+
+
+def read_newest(spark, path: str) -> DataFrame:
+    """All rows of the version written last: the log tells which, only its files are read."""
+    newest = published(spark, path).orderBy(F.desc("written_at"), F.desc("version")).select("version").head(1)
+    return read_store(spark, path, newest[0]["version"] if newest else "")
 
 
 def latest_features(stored: DataFrame) -> DataFrame:

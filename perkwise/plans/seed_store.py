@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame
 
 from perkwise.operators.features import compute_features
 from perkwise.operators.store import read_store, write_version
-from perkwise.session import stage
 
 
 def seed(events: DataFrame, store_path: str, version: str, reference_ts: str, written_at: str) -> DataFrame:
     """Compute and store one version; returns the store.
 
-    The features are first written to a table in the shared folder, so that the quality gates and the
-    write read one row per customer instead of computing them from the events twice.
+    The features are computed, checked and written in one pass over the events.
     """
     spark = events.sparkSession
-    features = stage(compute_features(events, reference_ts), "features")
-    write_version(features, store_path, version, written_at)
+    write_version(compute_features(events, reference_ts), store_path, version, written_at)
     return read_store(spark, store_path)

@@ -72,6 +72,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders directly below a path."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(hadoop) if s.isDirectory()] if files.exists(hadoop) else []
+
+
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """A block whose staged tables go when it ends.

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from perkwise.operators.features import compute_features
-from perkwise.operators.store import FEATURE_COLUMNS, read_store
+from perkwise.operators.buckets import BucketedTable
+from perkwise.operators.store import read_store, write_version
 from perkwise.session import scratch_path
 
 REFERENCE_TS = "2024-02-15 00:00:00"
@@ -299,11 +300,22 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three versions of the features, written to and read back from a store."""
+def bucketed(rows: DataFrame, keys: list[str], buckets: int = 8) -> BucketedTable:
+    """The rows as a table in hash buckets."""
+    spark = rows.sparkSession
+    table_ = BucketedTable(spark, scratch_path(spark, "bucketed"), tuple(keys), rows.schema, buckets)
+    table_.upsert(rows, keys)
+    return table_
+
+
+def feature_store(spark: SparkSession, sf_dir: str) -> str:
+    """The path of a store with three versions of the features."""
     path = scratch_path(spark, "store")
     for version, moment in VERSION_TIMES.items():
-        compute_features(loyalty_events(spark, sf_dir), moment).select(
-            "customer_id", *FEATURE_COLUMNS, F.lit(moment).cast("timestamp").alias("written_at")
-        ).write.parquet(f"{path}/version={version}")
-    return read_store(spark, path)
+        write_version(compute_features(loyalty_events(spark, sf_dir), moment), path, version, moment)
+    return path
+
+
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of the features, written to and read back from a store."""
+    return read_store(spark, feature_store(spark, sf_dir))

@@ -73,3 +73,39 @@ def test_hot_row_expires_after_a_day(spark):
     ids = spark.createDataFrame([("a",), ("b",), ("missing",), ("a",)], "customer_id string")
     got = {r["customer_id"]: (r["values"][0], r["from_hot"]) for r in store.lookup(ids, hot, cold, "2024-01-03 00:00:00").collect()}
     assert got == {"a": (1.0, True), "b": (2.0, False)}
+
+
+def test_failed_gates_publish_nothing(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert store.read_store(spark, path).count() == 0 and store.read_newest(spark, path).count() == 0
+    store.write_version(features(spark, [ROW]), path, "v1", "2024-01-01 00:00:00")
+    with pytest.raises(store.FeatureValidationError, match="outside"):
+        store.write_version(features(spark, [(*ROW[:-1], 1.5)]), path, "v2", "2024-01-02 00:00:00")
+    with pytest.raises(store.FeatureValidationError, match="monetary_90d"):
+        store.write_version(features(spark, [("c9", 1, 2, None, 0.5, "web", 0.5)]), path, "v1", "2024-01-03 00:00:00")
+    assert [tuple(r) for r in store.read_store(spark, path).select("customer_id", "version").collect()] == [("c1", "v1")]
+    assert [r["version"] for r in store.list_versions(store.published(spark, path)).collect()] == ["v1"]
+    log = store.publish_log(spark, path).collect()
+    assert [(r["number"], r["version"], r["n_rows"]) for r in log] == [(1, "v1", 1)]
+
+
+def test_features_are_computed_once_per_write(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            runs.add(len(batch))
+            yield batch
+
+    rows = features(spark, [ROW, ("c2", *ROW[1:])]).mapInPandas(seen, schemas.FEATURES)
+    store.write_version(rows, str(tmp_path / "store"), "a/b=c", "2024-01-01 00:00:00")
+    assert runs.value == 2 and store.read_newest(spark, str(tmp_path / "store")).select("version").distinct().first()[0] == "a/b=c"
+
+
+def test_versions_come_from_the_log(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for i in (1, 2, 1):
+        store.write_version(features(spark, [ROW]), path, f"v{i}", f"2024-01-0{i} 00:00:00")
+    assert all("/log/" in f for f in store.list_versions(store.published(spark, path)).inputFiles())
+    assert {f.split("version=")[1][:2] for f in [r[0] for r in store.read_newest(spark, path).select(F.input_file_name()).collect()]} == {"v2"}
+    assert store.read_store(spark, path).count() == 2
