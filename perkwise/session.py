@@ -106,6 +106,18 @@ def tidy(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]
             drop_path(spark, path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """A block in which Python workers get whole texts in batches of fewer rows: ten thousand take tens of megabytes on each side."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to a fresh table in the shared folder and read it back.
 
