@@ -25,17 +25,17 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkwise.session import stage, tidy
+from perkwise.session import small_batches, stage, tidy
 
 SIMILARITY = (4, 5)
 MIN_WORDS = 5
 BUCKETS = 1 << 22
 SLICES = 64
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 18
 ROWS_PER_TARGET = 400_000
 CROWDED = 200_000
 # A task forgets the lines it has sent when there are so many; that costs shuffle and changes no result.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 HELD = 150_000
 # A table of bits, 2 MB at any size, tells which cells a second search looks into.
 CELL_BITS = 24
@@ -557,7 +557,7 @@ def drop_repeated_lines(docs: DataFrame, t: tuple[int, int] = SIMILARITY, id_col
     alike. Columns of the two new names that are there already are replaced.
     """
     docs = docs.drop("n_lines", "removed")
-    with tidy(docs.sparkSession) as result:
+    with small_batches(docs.sparkSession), tidy(docs.sparkSession) as result:
         gone = (repeated_lines(docs, t, id_col, text_col, min_words).groupBy(F.col("doc").alias("__doc"))
                 .agg(F.collect_list(F.struct("line", "crc")).alias("__gone")))
         gone = result(gone, "lines-gone")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from perkwise.llm import simhash
 from perkwise.llm.linededup import Reader, _mixed, repeated_lines, verified, words_of
-from perkwise.session import stage, tidy
+from perkwise.session import small_batches, stage, tidy
 
 WORDS = 5
 SIMILARITY = (4, 5)
@@ -78,7 +78,7 @@ def keep_first(docs: DataFrame, words: int = WORDS, t: tuple[int, int] = SIMILAR
     renamed = docs.toDF(*names)
     rows = _keyed(renamed, own[id_col], own[text_col])
     texts = rows.select("__key", F.coalesce(own[text_col], F.lit("")).alias("__text"))
-    with tidy(docs.sparkSession) as result:
+    with small_batches(docs.sparkSession), tidy(docs.sparkSession) as result:
         groups = simhash.near_duplicates(texts, words, id_col="__key", text_col="__text")
         alike = groups.filter("component_id < `__key`").select(
             F.col("__key").alias("doc"), F.lit(0).alias("line"), F.lit(0).cast("long").alias("crc"),
