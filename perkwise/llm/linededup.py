@@ -32,6 +32,7 @@ MIN_WORDS = 5
 BUCKETS = 1 << 22
 SLICES = 64
 BATCH_CHARS = 1 << 18
+ROWS_AT_ONCE = 256
 ROWS_PER_TARGET = 400_000
 CROWDED = 200_000
 # A task forgets the lines it has sent when there are so many; that costs shuffle and changes no result.
@@ -567,7 +568,7 @@ def drop_repeated_lines(docs: DataFrame, t: tuple[int, int] = SIMILARITY, id_col
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             texts, counts, removed = [], [], []
             for text, gone_ in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
                 lines = [] if text is None else text.split("\n")
