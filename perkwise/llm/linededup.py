@@ -560,7 +560,7 @@ def drop_repeated_lines(docs: DataFrame, t: tuple[int, int] = SIMILARITY, id_col
     docs = docs.drop("n_lines", "removed")
     with small_batches(docs.sparkSession), tidy(docs.sparkSession) as result:
         gone = (repeated_lines(docs, t, id_col, text_col, min_words).groupBy(F.col("doc").alias("__doc"))
-                .agg(F.collect_list(F.struct("line", "crc")).alias("__gone")))
+                .agg(F.collect_list(F.shiftleft(F.col("line").cast("long"), 32) + F.col("crc")).alias("__gone")))
         gone = result(gone, "lines-gone")
     gone = _small(gone, "__gone")
     joined = docs.join(gone, docs[id_col] == gone["__doc"], "left").drop("__doc")
@@ -574,9 +574,10 @@ def drop_repeated_lines(docs: DataFrame, t: tuple[int, int] = SIMILARITY, id_col
                 lines = [] if text is None else text.split("\n")
                 out = []
                 if gone_ and text is not None:
-                    marks = {(x["line"], x["crc"]) for x in gone_}
-                    hit = {i for i, _ in marks}
-                    out = [i for i in sorted(hit) if i < len(lines) and (i, zlib.crc32(lines[i].encode("utf-8", "replace"))) in marks]
+                    # One number holds the line and the checksum.
+                    marks = set(gone_)
+                    hit = {x >> 32 for x in marks}
+                    out = [i for i in sorted(hit) if i < len(lines) and (i << 32) + zlib.crc32(lines[i].encode("utf-8", "replace")) in marks]
                     drop = set(out)
                     text = "\n".join([x for i, x in enumerate(lines) if i not in drop])
                 texts.append(text)
