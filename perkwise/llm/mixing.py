@@ -165,12 +165,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 42,
                     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The mix itself: every row as often as it is taken, with all its columns."""
-    out = unit_copies(docs, weights, most, seed, id_col, source_col, text_col).select(
-        F.col("key").alias("__key"), F.col("repeats"), F.col("total"))
-    out = out.select("__key", F.struct("repeats", "total").alias("__unit"))
-    rows = docs.withColumn("__size", _size(text_col)).withColumn("__key", row_key(id_col, source_col, "__size")).join(out, "__key")
-    row = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(text_col))) - 1
-    copies = F.floor((F.col("__unit.total") + F.when(F.col("__unit.repeats") > 1, row).otherwise(0)) / F.col("__unit.repeats"))
-    return (rows.withColumn("__copies", copies.cast("int")).filter("__copies > 0")
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns))
+    """The mix itself: every row as often as it is taken, with all its columns, whatever their names.
+
+    Rows of size 0 (null texts, texts without words) are taken 0 times and so are not in it. Rows of one id, source
+    and size share their copies by the order of a digest of the text; of equal texts any may get one more, which
+    shows in no text. An empty table gives no rows.
+    """
+    units = unit_copies(docs, weights, most, seed, id_col, source_col, text_col).select("key", "repeats", "total")
+    own = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    named = docs.toDF(*own.values()).withColumn("size", _size(own[text_col]))
+    rows = named.withColumn("key", row_key(own[id_col], own[source_col], "size")).join(units, "key")
+    row = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(own[text_col]))) - 1
+    copies = F.floor((F.col("total") + F.when(F.col("repeats") > 1, row).otherwise(0)) / F.col("repeats"))
+    return (rows.withColumn("copies", copies.cast("int")).filter("copies > 0")
+            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(n).alias(c) for c, n in own.items()]))
