@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 QUERY_BLOCK = 4096
 CANDIDATE_GROUP = 65_536
+# Groups are no smaller than this to give every task one.
+LEAST_GROUP = 1024
 ROWS_AT_ONCE = 64
+LONGS = np.iinfo(np.int64)
 
 
 def usable(vector: str) -> Column:
@@ -26,7 +29,8 @@ def usable(vector: str) -> Column:
 def quantized(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(id, weights) with floor(scale * x); rows of null id or unusable vector are left out.
 
-    Rows that repeat an id count once, with the smallest of their vectors.
+    Rows that repeat an id count once, with the smallest of their vectors. A weight beyond 64 bits is the
+    largest or smallest number of 64 bits.
     """
     fine = rows.filter(F.col(id_col).isNotNull() & usable(vector_col))
     weights = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long"))
@@ -43,6 +47,14 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
+def _beyond(part: np.ndarray, postings: np.ndarray, scores: np.ndarray) -> None:
+    """Put right the scores whose sum may leave 64 bits on the way: exact sums, cut to the range of 64 bits."""
+    if part.size and postings.size and float(abs(part.astype(float)).max()) * float(abs(postings.astype(float)).max()) * len(postings) >= 2.0**62:
+        for i, j in np.argwhere(abs(part.astype(float)) @ abs(postings.astype(float)) >= 2.0**62):
+            exact = sum(int(a) * int(b) for a, b in zip(part[i], postings[:, j]))
+            scores[i, j] = min(max(exact, LONGS.min), LONGS.max)
+
+
 def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best scores, in order, ties by id; ``ids`` ascend."""
     if len(scores) > k:
@@ -51,13 +63,20 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         places = np.concatenate([above, np.flatnonzero(scores == cut)[: k - len(above)]])
     else:
         places = np.arange(len(scores))
-    return places[np.lexsort((ids[places], -scores[places]))]
+    # Complements descend as negatives do, and the smallest number of 64 bits has one.
+    return places[np.lexsort((ids[places], ~scores[places]))]
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) from frames (id, weights): the k best candidates but the query itself."""
+    """(query_id, rank, vec_id, score) from frames (id, weights): the k best candidates but the query itself.
+
+    A score beyond 64 bits counts as the largest or smallest number of 64 bits, and ties go to the smaller id. The
+    number of groups is that of the tasks at once, as long as groups stay between two bounds; results do not depend on it.
+    """
     n_queries, n_rows = queries.count(), candidates.count()
-    blocks, groups = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_rows // CANDIDATE_GROUP))
+    blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    tasks = candidates.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-n_rows // CANDIDATE_GROUP), min(-(-tasks // blocks), n_rows // LEAST_GROUP))
     width = candidates.agg(F.max(F.size("weights"))).first()[0] or 0
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("part", upto(groups))
@@ -75,6 +94,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
             for term in range(width):
                 has = np.flatnonzero(part[:, term])
                 scores[has] += part[has, term, None] * postings[term]
+            _beyond(part, postings, scores)
             for i, own in enumerate(q_ids[start:start + ROWS_AT_ONCE]):
                 others = np.flatnonzero(ids != own)
                 places = others[best_of(scores[i, others], ids[others], k)]
