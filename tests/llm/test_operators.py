@@ -358,6 +358,31 @@ def test_secrets_spans_and_ledger(spark):
     assert secrets.by_path(docs.limit(0), found).count() == 0
 
 
+def test_secrets_of_a_raised_rule_count_once(spark):
+    docs = spark.createDataFrame([(1, "AKIA1234567890ABCD and AKIA12345678901", "f", 7, None), (1, "AKIA1234567890ABCD and AKIA12345678901", "f", 7, None)],
+                                 "doc_id long, text string, found string, n_hex long, blob string")
+    ledger, found = secrets.scan(docs)
+    raised = (secrets.RULES[0], secrets.Rule("access", "AKIA[A-Z0-9]+", 0, 10, 2), secrets.RULES[2])
+    ledger, more = secrets.scan(docs, ledger, raised)
+    every = found.unionByName(more).unionByName(more)
+    for rules, want in ((secrets.RULES, [(0, 18)]), (raised, [(0, 18), (23, 38)])):
+        out = secrets.by_path(docs, every, rules=rules)
+        assert out.columns == ["doc_id", "text", "blob", "n_assign", "n_access", "n_hex", "found"]
+        rows = out.collect()
+        assert len(rows) == 2 and all([(x.start, x.end) for x in r.found] == want and r.n_access == len(want) and r.n_hex == 0 for r in rows)
+
+
+def test_mixture_with_clashing_names(spark, odd):
+    clashing = odd.selectExpr("doc_id", "text", "lang", "source", "7 AS __key", "8 AS size", "9 AS copies", "'k' AS key", "1 AS total")
+    out = mixing.mixed_documents(clashing)
+    assert out.columns == clashing.columns
+    plain = sorted(map(str, mixing.mixed_documents(odd).select("doc_id", "text").collect()))
+    rows = out.collect()
+    assert plain and sorted(str(r) for r in out.select("doc_id", "text").collect()) == plain
+    assert {(r["__key"], r["size"], r["copies"], r["key"], r["total"]) for r in rows} == {(7, 8, 9, "k", 1)}
+    assert mixing.mixed_documents(clashing.limit(0)).count() == 0
+
+
 def test_top_k_with_ties_and_odd_vectors(spark):
     rows = [(i, [float(i % 7), 1.0, -0.5]) for i in range(200)] + [(500, None), (501, [1.0, None, 0.0]), (502, [float("nan"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (0, [0.0, 1.0, -0.5])]
     frame_ = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding", 1024)
@@ -369,6 +394,27 @@ def test_top_k_with_ties_and_odd_vectors(spark):
     assert topk.search(frame_.limit(0), frame_, 5).count() == 0
 
 
+def test_top_k_beyond_64_bits(spark):
+    rng = np.random.default_rng(4)
+    x = [[float(v) for v in rng.standard_normal(4) * 10.0 ** rng.integers(0, 9)] for _ in range(60)] + [[1e300, 0.0, 0.0, -1e300], [-1e300, 1e300, 1.0, 0.0]]
+    low, high = -(1 << 63), (1 << 63) - 1
+    w = [[min(max(int(np.floor(1024 * v)), low), high) for v in row] for row in x]
+    rows = topk.quantized(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>"), "vec_id", "embedding", 1024)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.search(rows, rows, 61).collect()}
+    for q, a in enumerate(w):
+        best = sorted((-min(max(sum(s * t for s, t in zip(a, b)), low), high), i) for i, b in enumerate(w) if i != q)
+        assert [got[q, k + 1] for k in range(61)] == [(i, -s) for s, i in best]
+
+
+def test_top_k_in_many_groups(spark, monkeypatch):
+    rows = [(i, [(i * 37 % 101) / 64, (i * 53 % 97) / 64]) for i in range(300)]
+    frame_ = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 1024)
+    want = topk.search(frame_.filter("id % 50 = 0"), frame_, 7).collect()
+    monkeypatch.setattr(topk, "LEAST_GROUP", 10)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    assert sorted(topk.search(frame_.filter("id % 50 = 0"), frame_, 7).collect()) == sorted(want)
+
+
 def test_graph_search_recall_copies_and_odd_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((1500, 16))
