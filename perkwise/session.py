@@ -107,15 +107,18 @@ def tidy(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """A block in which Python workers get whole texts in batches of fewer rows: ten thousand take tens of megabytes on each side."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> Iterator[None]:
+    """A block in which Python workers get batches of fewer rows and bytes: ten thousand texts, or a thousand
+    packed rows, take tens of megabytes on each side. A row beyond ``size`` is a batch of its own."""
+    records, octets = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {key: spark.conf.get(key) for key in (records, octets)}
+    spark.conf.set(records, str(min(rows, int(before[records])) if int(before[records]) > 0 else rows))
+    spark.conf.set(octets, str(size))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -1,10 +1,12 @@
 import json
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from perkwise import schemas
+from perkwise.session import small_batches
 from perkwise.sources import generators as gen, tables
 
 
@@ -43,3 +45,18 @@ def test_embedding_lines(spark, tmp_path):
 def test_scores_stay_in_range(spark):
     got = gen.generate_scores(spark.range(2000), 0.55, 0.18).agg(F.min("score"), F.max("score"), F.avg("score"), F.stddev("score")).first()
     assert got[0] >= 0.0 and got[1] <= 1.0 and got[2] == pytest.approx(0.55, abs=0.02) and got[3] == pytest.approx(0.18, abs=0.02)
+
+
+def test_small_batches_bound_rows_and_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    rows = spark.range(60, numPartitions=1).withColumn("text", F.repeat(F.lit("x"), 1000))
+    settings = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(key) for key in settings]
+    for bounds, most in (({"rows": 7}, 7), ({"rows": 50, "size": 10_000}, 11)):
+        with small_batches(spark, **bounds):
+            got = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) == 60 and max(got) <= most
+    assert [spark.conf.get(key) for key in settings] == before
