@@ -25,6 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from perkwise.llm.common import lean
 from perkwise.session import small_batches, stage, tidy
 
 SIMILARITY = (4, 5)
@@ -161,8 +162,8 @@ def rarity(docs: DataFrame, text_col: str = "text", reader: Reader = LINES) -> t
                 [pa.array([i], pa.int32()), pa.array([level.tobytes()]), pa.array([int(x.sum())], pa.int64())],
                 names=["slice", "levels", "n"])
 
-    rows = (docs.select(text_col).mapInArrow(count, "slice int, counts binary").repartition(8, "slice")
-            .mapInArrow(add, "slice int, levels binary, n long").collect())
+    rows = (docs.select(text_col).mapInArrow(lean(count), "slice int, counts binary").repartition(8, "slice")
+            .mapInArrow(lean(add), "slice int, levels binary, n long").collect())
     levels = np.zeros((SLICES, BUCKETS // SLICES), np.uint8)
     for r in rows:
         levels[r["slice"]] = np.frombuffer(r["levels"], np.uint8)
@@ -243,6 +244,7 @@ def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, in
 
     def searched(blobs: list[bytes]) -> pa.RecordBatch:
         rows = _unpacked(blobs)
+        blobs.clear()
         # Most words of a target are in one line only.
         order = np.argsort(rows["cell"])
         same = rows["cell"][order[1:]] == rows["cell"][order[:-1]]
@@ -259,21 +261,22 @@ def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, in
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
         for batch in batches:
-            for target, blob, certain in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for row in range(batch.num_rows):
+                # One message at a time: a batch of them is as large as their target.
+                target, blob, certain = (batch.column(i)[row].as_py() for i in range(3))
                 if certain:
                     rows = np.frombuffer(blob, _COPY)
                     yield _found(rows["doc"], rows["line"], rows["crc"], None, None, None, np.zeros(len(rows), bool))
                     continue
                 if target != now and blobs:
                     yield searched(blobs)
-                    blobs = []
                 now = target
                 blobs.append(blob)
         if blobs:
             yield searched(blobs)
 
     return sent.repartition(targets, "target").sortWithinPartitions("target").mapInArrow(
-        search, "doc long, line int, crc long, other_doc long, other_line int, apart int, stopped boolean")
+        lean(search), "doc long, line int, crc long, other_doc long, other_line int, apart int, stopped boolean")
 
 
 def _unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
@@ -316,7 +319,7 @@ def probed_cells(docs: DataFrame, levels: np.ndarray, t: tuple[int, int], id_col
     # Crowded cells are cut by their places later on, so they keep their own numbers here.
     sent = entries(docs, levels, 1, t, id_col, text_col, probes, 1 << 62, min_words, reader, None)
     table = np.zeros((SLICES, (1 << (CELL_BITS - 3)) // SLICES), np.uint8)
-    for r in sent.mapInArrow(mark, "slice int, bits binary").repartition(8, "slice").mapInArrow(join, "slice int, bits binary").collect():
+    for r in sent.mapInArrow(lean(mark), "slice int, bits binary").repartition(8, "slice").mapInArrow(lean(join), "slice int, bits binary").collect():
         table[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
     return table.reshape(-1)
 
@@ -433,7 +436,7 @@ def entries(docs: DataFrame, levels: np.ndarray, targets: int, t: tuple[int, int
         yield from flush()
 
     columns = [id_col, text_col] + ([probes] if probes else [])
-    return docs.select(*columns).mapInArrow(send, "target int, rows binary, certain boolean")
+    return docs.select(*columns).mapInArrow(lean(send), "target int, rows binary, certain boolean")
 
 
 def _grid(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -490,7 +493,7 @@ def line_words(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, r
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.int64()), pa.array(lines, pa.int32()), pa.array(sets, pa.binary())], names=["doc", "line", "words"])
 
-    return joined.mapInArrow(run, "doc long, line int, words binary")
+    return joined.mapInArrow(lean(run), "doc long, line int, words binary")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, t: tuple[int, int], id_col: str, text_col: str, reader: Reader = LINES) -> DataFrame:
@@ -510,7 +513,7 @@ def verified(docs: DataFrame, pairs: DataFrame, t: tuple[int, int], id_col: str,
                 keep.append(both * t[1] >= t[0] * (len(a) + len(b) - both))
             yield batch.select(["doc", "line", "crc"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "doc long, line int, crc long").distinct()
+    return joined.mapInArrow(lean(run), "doc long, line int, crc long").distinct()
 
 
 def repeated_lines(docs: DataFrame, t: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
@@ -589,4 +592,4 @@ def drop_repeated_lines(docs: DataFrame, t: tuple[int, int] = SIMILARITY, id_col
                 [*arrays, pa.array(counts, pa.int32()), pa.array(removed, pa.list_(pa.int32()))], names=[*names, "n_lines", "removed"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(run, f"{fields}, n_lines int, removed array<int>")
+    return joined.mapInArrow(lean(run), f"{fields}, n_lines int, removed array<int>")
