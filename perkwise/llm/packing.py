@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkwise.llm.common import windows
-from perkwise.session import stage
+from perkwise.llm.common import lean, windows
+from perkwise.session import small_batches, stage
 
 CAPACITY = 2048
 BLOCK_WINDOWS = 128
@@ -275,13 +275,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 first = last
 
     schema = f"`{id_col}` {key}, start long, ids binary, n int, doc_tokens long, whole boolean, uid long"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def pack_bytes(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block_windows: int = BLOCK_WINDOWS,
                end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As ``pack``, with the ids of a piece as little-endian 32-bit numbers in one binary value."""
-    pieces = stage(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = stage(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
     rests = pieces.filter(~F.col("whole"))
     total = rests.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, round(total / (capacity * block_windows)))
