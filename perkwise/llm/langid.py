@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkwise.llm.common import held_out, row_key, windows
+from perkwise.llm.common import held_out, lean, row_key, windows
 from perkwise.session import stage
 
 DIMENSIONS = 4096
@@ -180,4 +180,4 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
                     names=names_out)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, lang_score double, rejected boolean")
+    return kept.mapInArrow(lean(run), f"{fields}, lang_pred string, lang_score double, rejected boolean")

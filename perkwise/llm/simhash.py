@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkwise.llm.common import windows
+from perkwise.llm.common import give_back, lean, windows
 from perkwise.llm.components import stars
 from perkwise.session import stage
 
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
                 names=[id_col, "text_key", "fp"])
 
     rows = docs.select(id_col, F.xxhash64(text_col).alias("text_key"), text_col)
-    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, text_key long, fp long")
+    return rows.mapInArrow(lean(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, text_key long, fp long")
 
 
 def vantage_points(levels: int) -> np.ndarray:
@@ -133,7 +133,7 @@ def links(marks: DataFrame, distance: int = DISTANCE, shard: int = SHARD, crowde
     radii = np.zeros((2, levels), np.int64)
     if levels:
         table = np.zeros((2, levels, 33), np.int64)
-        counted = marks.select("fp").mapInArrow(distances, "tree long, level long, away long, n long")
+        counted = marks.select("fp").mapInArrow(lean(distances), "tree long, level long, away long, n long")
         for r in counted.groupBy("tree", "level", "away").agg(F.sum("n").alias("n")).collect():
             table[r.tree, r.level, r.away] = r.n
         radii = (np.cumsum(table, axis=2) * 2 >= table.sum(axis=2, keepdims=True)).argmax(axis=2)
@@ -147,7 +147,7 @@ def links(marks: DataFrame, distance: int = DISTANCE, shard: int = SHARD, crowde
                     [pa.array(np.full(len(row), tree, np.int32)), pa.array(place), pa.array(fps[row].view(np.int64)), pa.array(lives)],
                     names=["tree", "place", "fp", "lives"])
 
-    routed = marks.select("fp").mapInArrow(route, "tree int, place long, fp long, lives boolean")
+    routed = marks.select("fp").mapInArrow(lean(route), "tree int, place long, fp long, lives boolean")
     # A crowded shard becomes a grid of cells, residents by rows and all its fingerprints by columns.
     sizes = (routed.groupBy("tree", "place").count().filter(F.col("count") > crowded)
              .select("tree", "place", F.ceil(F.col("count") / (crowded / 2)).alias("cells")))
@@ -167,6 +167,8 @@ def links(marks: DataFrame, distance: int = DISTANCE, shard: int = SHARD, crowde
     def search(group: pd.DataFrame) -> pd.DataFrame:
         fps = group["fp"].to_numpy().view(np.uint64)
         a, b = forest(fps[group["resident"].to_numpy()], fps[group["other"].to_numpy()], distance)
+        if len(fps) > SHARD * 10:
+            give_back()
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return (cells.select("tree", "place", "cell.*", "fp").groupBy("tree", "place", "i", "j")
