@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perkwise.llm.common import lean, windows
@@ -28,8 +28,8 @@ CAPACITY = 2048
 BLOCK_WINDOWS = 128
 SMALLEST_CUT = 32
 END_ID = 1
-CACHED_WORDS = 600_000
-PART_CHARS = 1 << 22
+CACHED_WORDS = 200_000
+PART_CHARS = 1 << 20
 # Unicode's white space, which the tokenizer drops; str.split() also splits at U+001C to U+001F.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 # Below this code point, and only there surely, lower-casing commutes with normalising and nothing composes.
@@ -279,13 +279,20 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
 
 def pack_bytes(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block_windows: int = BLOCK_WINDOWS,
-               end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``pack``, with the ids of a piece as little-endian 32-bit numbers in one binary value."""
+               end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
+    """As ``pack``, with the ids of a piece as little-endian 32-bit numbers in one binary value.
+
+    ``carry`` names what to return in place of the ids, as expressions of a piece's ``ids`` and ``n``; it is all that
+    is written and shuffled, so where a checksum will do no ids are moved. Its names may not be those of other columns here.
+    """
+    carry = carry or {"ids": F.col("ids")}
     with small_batches(docs.sparkSession):
-        pieces = stage(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
+        pieces = stage(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col).select(
+            id_col, "start", "n", "doc_tokens", "whole", "uid", *[value.alias(name) for name, value in carry.items()]), "pieces")
     rests = pieces.filter(~F.col("whole"))
     total = rests.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, round(total / (capacity * block_windows)))
+    kept = [id_col, "start", *carry, "doc_tokens"]
 
     def place(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("uid").to_numpy(), kind="stable")
@@ -298,15 +305,13 @@ def pack_bytes(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, b
         offset[by_window] = before - np.maximum.accumulate(np.where(first, before, 0))
         back = np.argsort(order)
         block = table.column("block").to_numpy()
-        return table.select([id_col, "start", "ids", "doc_tokens"]).append_column(
+        return table.select(kept).append_column(
             "sequence_id", pa.array((np.int64(1) << 62) + (block << 20) + window[back])).append_column("offset", pa.array(offset[back]))
 
-    key = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {key}, start long, ids binary, doc_tokens long, sequence_id long, offset long"
+    schema = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in kept) + ", sequence_id long, offset long"
     packed = (rests.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks))).drop("whole")
               .groupBy("block").applyInArrow(place, schema))
-    full = pieces.filter("whole").select(
-        id_col, "start", "ids", "doc_tokens", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = pieces.filter("whole").select(*kept, F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return full.unionByName(packed)
 
 

@@ -179,6 +179,8 @@ def test_packing_round_trip(spark, odd):
         sizes = g.ids.map(len)
         assert (g.offset == sizes.cumsum() - sizes).all() and sizes.sum() <= 2048
     assert packing.pack(odd.limit(0), path).count() == 0
+    whole = [sorted(map(tuple, f.collect()), key=str) for f in (queries.packed_digests(docs, path), queries.piece_digests(packing.pack_bytes(docs, path)))]
+    assert whole[0] == whole[1] and whole[0]
     digests = queries.piece_digests(packing.pack_bytes(docs.filter("doc_id = 5"), path)).collect()
     ids = tokenizer.encode(docs.filter("doc_id = 5").first().text, add_special_tokens=False).ids + [1]
     assert all(d.ids_crc32 == zlib.crc32(np.array(ids[d.start:d.start + d.length], "<u4").tobytes()) for d in digests)
