@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perkwise.llm import langid, linededup, mixing, packing, shinglejoin
-from perkwise.llm.queries import piece_digests, tokenizer_path
+from perkwise.llm import langid, linededup, mixing, shinglejoin
+from perkwise.llm.queries import packed_digests, tokenizer_path
 from perkwise.session import stage
 
 
@@ -35,7 +35,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in windows of 2048 tokens."""
-    return piece_digests(packing.pack_bytes(docs, tokenizer_path()))
+    return packed_digests(docs, tokenizer_path())
 
 
 STAGES = [
