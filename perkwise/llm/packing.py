@@ -29,7 +29,7 @@ BLOCK_WINDOWS = 128
 SMALLEST_CUT = 32
 END_ID = 1
 CACHED_WORDS = 200_000
-PART_CHARS = 1 << 20
+PART_CHARS = 1 << 18
 # Unicode's white space, which the tokenizer drops; str.split() also splits at U+001C to U+001F.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 # Below this code point, and only there surely, lower-casing commutes with normalising and nothing composes.
@@ -286,7 +286,7 @@ def pack_bytes(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, b
     is written and shuffled, so where a checksum will do no ids are moved. Its names may not be those of other columns here.
     """
     carry = carry or {"ids": F.col("ids")}
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, 250, 1 << 20):
         pieces = stage(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col).select(
             id_col, "start", "n", "doc_tokens", "whole", "uid", *[value.alias(name) for name, value in carry.items()]), "pieces")
     rests = pieces.filter(~F.col("whole"))
