@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -78,23 +79,38 @@ def best_epoch(aucs: list[float], patience: int = PATIENCE) -> tuple[int, int]:
     return best, len(aucs) - 1
 
 
-def train(stored: DataFrame, epochs: int = EPOCHS, depth: int = 4, seed: int = 42, version: str = "1") -> Trained:
+def train(stored: DataFrame, epochs: int = EPOCHS, depth: int = 4, seed: int = 42, version: str = "1",
+          patience: int = PATIENCE) -> Trained:
     """Boosting rounds are the epochs; the round with the best validation AUC is kept.
 
-    Every round is a prefix of the same ensemble, so all epochs are evaluated in one pass and the
-    best state is restored by using the trees up to that round.
+    Rounds are fitted in growing steps until the best AUC has not been beaten for ``patience`` rounds, so no more
+    than about twice the rounds looked at are ever fitted. The seed of a round depends on its number alone, so an
+    ensemble is a prefix of a longer one: all its epochs are evaluated in one pass, and the best state is restored
+    by using the trees up to that round.
     """
     rows = training_rows(stored)
     fit_on = rows.filter("split = 'train'").select("features", "label")
-    model = GBTClassifier(maxIter=epochs, maxDepth=depth, seed=seed, stepSize=0.1).fit(fit_on)
-    staged = with_staged_scores(model, rows.filter("split <> 'train'"))
-    metrics = epoch_metrics(staged, ("split",)).withColumn("run", F.lit(version))
-    metrics = stage(metrics, "epochs")
-    validation = metrics.filter("split = 'validation'").select("epoch", "roc_auc").orderBy("epoch").collect()
-    best, last = best_epoch([r["roc_auc"] or 0.0 for r in validation])
+    held = rows.filter("split <> 'train'")
+    for rounds in growing_steps(epochs, patience):
+        model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, stepSize=0.1).fit(fit_on)
+        metrics = stage(epoch_metrics(with_staged_scores(model, held), ("split",)).withColumn("run", F.lit(version)), "epochs")
+        # A row per epoch.
+        validation = metrics.filter("split = 'validation'").select("epoch", "roc_auc").orderBy("epoch").collect()
+        best, last = best_epoch([r["roc_auc"] or 0.0 for r in validation], patience)
+        if last - best >= patience:
+            break
     return Trained(model, best, metrics.filter(F.col("epoch") <= last), version=version)
 
 
+def growing_steps(epochs: int, patience: int = PATIENCE) -> Iterator[int]:
+    """Numbers of rounds to try, each twice the one before, up to ``epochs``. Fewer than ``patience`` + 1 cannot end a run."""
+    rounds = patience + 1
+    while rounds < epochs:
+        yield rounds
+        rounds *= 2
+    yield epochs
+
+
 def train_light(stored: DataFrame, max_iter: int = 50) -> PipelineModel:
     """A logistic model on the same inputs."""
     fit_on = training_rows(stored).filter("split = 'train'").select("features", "label")

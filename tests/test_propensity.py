@@ -137,3 +137,18 @@ def test_light_model(spark, stored):
     scored = mo.score(training.train_light(stored), stored.filter("version = 'v2'").drop("version", "written_at"))
     auc = mo.ranking_metrics(scored.join(stored.filter("version = 'v2'").select("customer_id", mo.label(F.col("offer_redemption_rate")).alias("y")), "customer_id").select(F.col("propensity_score").alias("score"), F.col("y").alias("label")))
     assert auc.first()["roc_auc"] > 0.95
+
+
+def test_rounds_are_fitted_in_steps_until_the_score_stops_rising(spark, stored):
+    assert list(training.growing_steps(20, 3)) == [4, 8, 16, 20] and list(training.growing_steps(3, 3)) == [3]
+    short = training.train(stored, epochs=40, depth=3, patience=2)
+    fitted = short.model.getNumTrees
+    assert fitted < 40
+    steps = sorted(r["epoch"] for r in short.metrics.filter("split = 'validation'").collect())
+    aucs = {r["epoch"]: r["roc_auc"] for r in short.metrics.filter("split = 'validation'").collect()}
+    assert steps == list(range(short.best_epoch + 3)) and aucs[short.best_epoch] == max(aucs.values())
+    # The rounds of a longer run are the same, so stopping early loses nothing.
+    whole = training.train(stored, epochs=fitted + 3, depth=3, patience=50)
+    assert whole.model.getNumTrees == fitted + 3
+    same = {r["epoch"]: r["roc_auc"] for r in whole.metrics.filter("split = 'validation'").collect()}
+    assert all(abs(same[e] - aucs[e]) < 1e-9 for e in aucs)
