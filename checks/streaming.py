@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import query, sql
 from perkwise import schemas
+from perkwise.operators.buckets import BucketedTable
 from perkwise.session import scratch_path
 from perkwise.sources import sample_tables as st
 from perkwise.streaming import feeds
@@ -43,3 +44,26 @@ def stream_call_metrics(spark, d):
     stream = _feed(spark, st.llm_calls(spark, d), schemas.LLM_CALLS, "calls")
     out = feeds.run_once(feeds.call_metrics(stream), "call-metrics")
     return out.withColumn("latency_sum", F.round("latency_sum", 4))
+
+
+def _kept(spark, frame, schema, keys, measure, window_keys, name):
+    """The table that a stream keeps: four files one by one, in no order of time, then a restart and a file that comes again."""
+    path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    table = None
+    for again in (False, True):
+        dealt = frame.withColumn("_file", F.pmod(F.xxhash64(*keys), F.lit(4)))
+        rows = dealt.filter("_file = 1").coalesce(1) if again else dealt.repartition(4, "_file")
+        rows.drop("_file").write.mode("append").parquet(path)
+        stream = measure(feeds.once(feeds.read_feed(spark, path, schema, files_per_trigger=1), keys, "60 days"))
+        table = table or BucketedTable(spark, scratch_path(spark, f"{name}-table"), window_keys, stream.schema, 8)
+        feeds.keep_feed(stream, table, [window_keys[0]], checkpoint).awaitTermination()
+    return table.read()
+
+
+@query("str2_open_feedback_windows", f"""SELECT w AS window_start, w + INTERVAL 7 DAY AS window_end,
+  CAST(sum(rating) AS BIGINT) AS rating_sum, count(*) FILTER (WHERE thumbs = 'up') AS ups, count(*) AS record_count
+  FROM (SELECT *, unnest(generate_series(date_trunc('day', created_at)::TIMESTAMP - INTERVAL 6 DAY,
+    date_trunc('day', created_at)::TIMESTAMP, INTERVAL 1 DAY)) AS w FROM {sql.FEEDBACK}) GROUP BY w""")
+def open_feedback_windows(spark, d):
+    return _kept(spark, st.feedback(spark, d), schemas.FEEDBACK, ["id"],
+                 lambda s: feeds.rolling_feedback_stats(s, delay=None), ("window_start",), "kept-ratings")

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from perkwise import schemas
+from perkwise.operators.buckets import BucketedTable
 from perkwise.streaming import feeds
 
 
@@ -37,3 +38,37 @@ def test_rolling_stats_emit_complete_windows_only(spark, tmp_path):
     ).filter(F.col("window.end") <= F.lit("2024-01-20 11:00:00").cast("timestamp"))
     want = {str(r[0]["start"])[:10]: tuple(r)[1:] for r in batch.collect()}
     assert got == want and "2024-01-13" in got and "2024-01-14" not in got
+
+
+def test_kept_windows_of_several_files(spark, tmp_path):
+    columns = "id bigint, offer_id string, customer_id string, generated_copy string, rating int, thumbs string, prompt_version string, model_version string, at string"
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+
+    def arrive(ids, day):
+        rows = [(i, "o", "c", "{}", 1 + i % 5, "up", "", "", f"2024-01-{day:02d} 12:00:00") for i in ids]
+        frame = spark.createDataFrame(rows, columns).withColumn("created_at", F.col("at").cast("timestamp")).drop("at")
+        frame.coalesce(1).write.mode("append").parquet(source)
+        return frame
+
+    def take():
+        stream = feeds.once(feeds.read_feed(spark, source, schemas.FEEDBACK, files_per_trigger=1), ["id"], "10 days")
+        stats = feeds.rolling_feedback_stats(stream, "1 day", "1 day", None)
+        table = BucketedTable(spark, str(tmp_path / "table"), ("window_start",), stats.schema, 4)
+        feeds.keep_feed(stats, table, ["window_start"], state).awaitTermination()
+        return table, {str(r["window_start"])[8:10]: (r["rating_sum"], r["ups"], r["record_count"]) for r in table.read().collect()}
+
+    arrive(range(10), 20)
+    arrive(range(10, 15), 15)
+    table, got = take()
+    assert got == {"20": (30, 10, 10), "15": (15, 5, 5)}
+    commits = table.log().agg(F.max("commit")).first()[0]
+    # After a restart: the first file again, a late one within the delay, one beyond it, one more of an open day.
+    for ids, day in ((range(10), 20), (range(20, 22), 15), (range(30, 32), 2), (range(40, 45), 20)):
+        arrive(ids, day)
+    table, got = take()
+    assert got == {"20": (45, 15, 15), "15": (18, 7, 7)}
+    # A micro-batch that comes again after its commit changes nothing.
+    again = spark.createDataFrame([("2024-01-20 00:00:00", 99)], "s string, v bigint").select(
+        F.col("s").cast("timestamp").alias("window_start"), F.col("s").cast("timestamp").alias("window_end"),
+        *[F.col("v").alias(c) for c in ("rating_sum", "ups", "record_count")])
+    assert commits >= 2 and not table.upsert(again, ["window_start"], name="feed-0")
