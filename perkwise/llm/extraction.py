@@ -37,8 +37,10 @@ _BOILERPLATE = frozenset(
 # What a name of boilerplate may have besides such a word.
 _FILLERS = frozenset(
     "area article articles banner bar block blocks body bottom box button buttons container content fixed form global group header "
-    "icons inline inner item items left link links list main media message mobile out page panel posts primary right row "
-    "secondary section site sticky story stories text thread title top unit wrap wrapper x".split())
+    "icons inline inner item items left link links list main media message mobile out page panel posts primary reader right row "
+    "secondary section site sticky story stories text thread title top unit user wrap wrapper x".split())
+# Reader comments are not content, whatever their ratio.
+_COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 _NAMED = frozenset("center dd div dl header li ol section table tbody td tr ul".split())
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -49,6 +51,15 @@ def _names_boilerplate(name: str) -> bool:
     return not _BOILERPLATE.isdisjoint(parts) and all(part in _BOILERPLATE or part in _FILLERS for part in parts)
 
 
+def _names(attrs: list[tuple[str, str | None]]) -> list[str]:
+    return [part for name, value in attrs if name in ("class", "id") and value for part in value.split()]
+
+
+def _names_comments(name: str) -> bool:
+    """Whether a class or id is one of boilerplate and says that it is of reader comments."""
+    return _names_boilerplate(name) and not _COMMENTS.isdisjoint(part.lower() for part in _NAME_PARTS.findall(name))
+
+
 def _is_hidden(tag: str, attrs: list[tuple[str, str | None]], in_content: bool) -> bool:
     if tag in _HIDDEN or tag == "header" and not in_content:
         return True
@@ -63,23 +74,28 @@ def _is_hidden(tag: str, attrs: list[tuple[str, str | None]], in_content: bool)
             return True
         if name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
-    return False
+    return tag in _NAMED and any(map(_names_comments, _names(attrs)))
 
 
 def _is_suspect(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    return tag in _NAMED and any(name in ("class", "id") and value and any(map(_names_boilerplate, value.split())) for name, value in attrs)
+    return tag in _NAMED and any(map(_names_boilerplate, _names(attrs)))
 
 
 class _Lines(HTMLParser):
-    """Lines of visible text with their tags, open containers and the number of the open suspect element or 0."""
+    """Lines of visible text with their tags, innermost container and the number of the open suspect element or 0.
+
+    Containers are numbered as they open, so a parent has a smaller number than its children.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], int]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self._open: list[tuple[str, bool, bool]] = []
         self._counts: dict[str, int] = {}
-        self._hidden = self._suspect = self._suspects = self._in_content = self._tags = self._made = 0
+        self._hidden = self._suspect = self._suspects = self._in_content = self._tags = 0
         self._containers: list[int] = [0]
+        self.parents: list[int] = [0]
+        self.depths: list[int] = [0]
         self.content: set[int] = set()
         self._text: list[str] = []
 
@@ -88,7 +104,7 @@ class _Lines(HTMLParser):
             text = " ".join("".join(self._text).split())
             self._text.clear()
             if text:
-                self.lines.append((text, self._tags, tuple(self._containers), self._suspects if self._suspect else 0))
+                self.lines.append((text, self._tags, self._containers[-1], self._suspects if self._suspect else 0))
                 self._tags = 0
 
     def _push(self, tag: str, hidden: bool, suspect: bool) -> None:
@@ -98,10 +114,12 @@ class _Lines(HTMLParser):
         self._suspects += suspect and not self._suspect
         self._suspect += suspect
         if tag in _CONTAINERS:
-            self._made += 1
-            self._containers.append(self._made)
+            number = len(self.parents)
+            self.parents.append(self._containers[-1])
+            self.depths.append(len(self._containers))
+            self._containers.append(number)
             if tag in ("article", "main"):
-                self.content.add(self._made)
+                self.content.add(number)
         self._in_content += tag in ("article", "main")
 
     def _pop(self) -> str:
@@ -148,7 +166,10 @@ class _Lines(HTMLParser):
         if not self._hidden:
             self._text.append(data)
 
-    def finish(self) -> list[tuple[str, int, tuple[int, ...], int]]:
+    def finish(self) -> list[tuple[str, int, int, int]]:
+        if self.rawdata.startswith("<!--"):
+            # A comment that never ends runs to the end of the page.
+            self.rawdata = ""
         self.close()
         self._flush()
         return self.lines
@@ -194,19 +215,21 @@ def main_text(html: str) -> str:
     content = np.where(ratios >= border, sizes, 0.0)
     if not content.any():
         content = sizes
-    held: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    for size, (_, _, containers, _) in zip(content, lines):
-        for level, c in enumerate(containers):
-            held[c] = held.get(c, 0.0) + size
-            depth[c] = level
-    core = max((c for c in held if held[c] >= REGION_SHARE * held[0]), key=lambda c: (depth[c], held[c]))
-    path = next(containers for _, _, containers, _ in lines if core in containers)
-    path = path[:path.index(core) + 1]
+    parents, depths = parser.parents, parser.depths
+    held = np.bincount([c for _, _, c, _ in lines], content, len(parents)).tolist()
+    for c in range(len(parents) - 1, 0, -1):
+        held[parents[c]] += held[c]
+    core = max((c for c in range(len(parents)) if held[c] >= REGION_SHARE * held[0]), key=lambda c: (depths[c], held[c]))
+    path = [core]
+    while path[-1]:
+        path.append(parents[path[-1]])
     # Of the articles and mains around it the lowest with as much as any; without them the lowest container with all.
     around = [c for c in path if c in parser.content] or path
-    region = next(c for c in reversed(around) if held[c] >= held[around[0]])
-    return "\n".join(text for text, _, containers, _ in lines if region in containers)
+    region = next(c for c in around if held[c] >= held[around[-1]])
+    inside = [False] * len(parents)
+    for c, parent in enumerate(parents):
+        inside[c] = c == region or c > 0 and inside[parent]
+    return "\n".join(text for text, _, c, _ in lines if inside[c])
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

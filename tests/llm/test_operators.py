@@ -484,3 +484,14 @@ def test_pipeline(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).toPandas()
     assert set(out.doc_id) <= {r.doc_id for r in docs.select("doc_id").collect()} and len(out)
     assert out.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_deep_pages_comments_and_unclosed_markup():
+    lines = [f"words of line {i:05d} here" for i in range(20_000)]
+    assert extraction.main_text("<article>" + "".join(f"<div><p>{line}" for line in lines)) == "\n".join(lines)
+    article, long = "The whole text of the article is here, and it is long.", "A reader liked this very much and says so at length, " * 5
+    for name in ("comments", "user-comments", "reader-comments-list", "replies"):
+        assert extraction.main_text(f"<main><p>{article}</p><div id='{name}'><p>{long}</p></div></main>") == article
+    kept = f"<article><p>{article}</p><section id='comments-on-the-method'><p>{long.strip()}</p></section></article>"
+    assert extraction.main_text(kept) == f"{article}\n{long.strip()}"
+    assert extraction.main_text(f"<article><p>{article}</p></article><!-- never closed <p>markup") == article
