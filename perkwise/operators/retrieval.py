@@ -176,6 +176,7 @@ def answer_summary(queries: DataFrame, retrieved: DataFrame) -> DataFrame:
     )
     return queries.select("query_id").join(lists, "query_id", "left").select(
         "query_id",
+        # Fixed value: the sentence of an answer.
         F.format_string("Retrieved %d offers for context.", F.size(descriptions)).alias("answer"),
         descriptions.alias("filtered_offers"),
     )
