@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from perkwise.operators.propensity import (
@@ -14,7 +14,7 @@ from perkwise.operators.propensity import (
     threshold_metrics,
 )
 from perkwise.operators.store import newest_version
-from perkwise.session import stage
+from perkwise.session import drop_path, scratch_path, stage
 
 EPOCHS = 20
 PATIENCE = 3
@@ -112,10 +112,19 @@ def growing_steps(epochs: int, patience: int = PATIENCE) -> Iterator[int]:
 
 
 def train_light(stored: DataFrame, max_iter: int = 50) -> PipelineModel:
-    """A logistic model on the same inputs."""
+    """A logistic model on the same inputs.
+
+    A model just fitted holds its training summary, whose frame cannot be sent to the tasks that score; read back
+    from a file it is coefficients only.
+    """
+    spark = stored.sparkSession
     fit_on = training_rows(stored).filter("split = 'train'").select("features", "label")
-    fitted = LogisticRegression(maxIter=max_iter).fit(fit_on)
-    return PipelineModel([fitted])
+    path = scratch_path(spark, "light-model")
+    LogisticRegression(maxIter=max_iter).fit(fit_on).write().save(path)
+    try:
+        return PipelineModel([LogisticRegressionModel.load(path)])
+    finally:
+        drop_path(spark, path)
 
 
 def metrics_log(trained: Trained) -> DataFrame:

@@ -139,6 +139,13 @@ def test_light_model(spark, stored):
     assert auc.first()["roc_auc"] > 0.95
 
 
+def test_light_model_can_be_sent_to_tasks(spark, stored):
+    model = training.train_light(stored, max_iter=5)
+    assert not model.stages[0].hasSummary
+    rows = mo.score(model, stored.filter("version = 'v2'").drop("version", "written_at")).toPandas()
+    assert len(rows) == 600 and rows["propensity_score"].between(0.0, 1.0).all()
+
+
 def test_rounds_are_fitted_in_steps_until_the_score_stops_rising(spark, stored):
     assert list(training.growing_steps(20, 3)) == [4, 8, 16, 20] and list(training.growing_steps(3, 3)) == [3]
     short = training.train(stored, epochs=40, depth=3, patience=2)
