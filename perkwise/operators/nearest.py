@@ -16,6 +16,12 @@ from perkwise.operators.keyed import top_k
 BROADCAST_NUMBERS = 8_000_000
 # Rows of queries and of catalogue that meet in one block task.
 BLOCK_ROWS = 50_000
+# Grid lines up to which small blocks are kept: every line sends the other side once more.
+GRID_LINES = 16
+# Queries and catalogue rows whose scores are in memory at once.
+SLICE_ROWS, TILE_ROWS = 512, 4096
+# Multiplications of a task, where queries come in fewer parts; catalogues below so many numbers are not worth a shuffle.
+TASK_PRODUCTS, SMALL_CATALOGUE = 2**33, 2**18
 # Similarities are compared to nine digits, so equal vectors tie whatever the order of additions.
 DIGITS = 9
 
@@ -25,37 +31,72 @@ _NEIGHBOURS = "query_id string, id string, score double, rank int"
 def _matrix(vectors: pd.Series, cosine: bool) -> np.ndarray:
     if not len(vectors):
         return np.zeros((0, 0))
-    values = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    values = np.empty((len(vectors), len(vectors.iloc[0])))
+    for i, v in enumerate(vectors):
+        row = np.asarray(v, dtype=np.float64)
+        if row.shape != values.shape[1:]:
+            raise ValueError(f"vectors of {row.shape[0]} and {values.shape[1]} numbers")
+        values[i] = row
     if cosine:
         norms = np.linalg.norm(values, axis=1, keepdims=True)
-        values = values / np.where(norms == 0.0, 1.0, norms)
+        values /= np.where(norms == 0.0, 1.0, norms)
     return values
 
 
-def _best(query_ids, queries: np.ndarray, ids: np.ndarray, catalogue: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best catalogue rows of each query; ``ids`` ascend, so of equal scores the first rows are taken."""
+def _comparable(scores: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(scores), -np.inf, scores)
+
+
+def _first_best(queries: np.ndarray, catalogue: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and row numbers of the k best rows of each query, best first."""
     scores = np.round(queries @ catalogue.T, DIGITS)
-    k = min(k, scores.shape[1])
-    value = np.where(np.isnan(scores), -np.inf, scores)
+    value = _comparable(scores)
     edge = np.partition(value, -k, axis=1)[:, -k][:, None]
     above, level = value > edge, value == edge
     room = k - above.sum(axis=1, keepdims=True)
     chosen = np.nonzero(above | (level & (np.cumsum(level, axis=1) <= room)))[1].reshape(len(scores), k)
     order = np.argsort(-np.take_along_axis(value, chosen, axis=1), axis=1, kind="stable")
     picked = np.take_along_axis(chosen, order, axis=1)
+    return np.take_along_axis(scores, picked, axis=1), picked
+
+
+def _best(query_ids, queries: np.ndarray, ids: np.ndarray, catalogue: np.ndarray, k: int, width: int = TILE_ROWS) -> pd.DataFrame:
+    """The k best catalogue rows of each query; ``ids`` ascend, so of equal scores the first rows are taken.
+
+    The catalogue is read in tiles. After the first one only rows above a query's k-th score so far are looked at,
+    so a tile costs a product and a comparison.
+    """
+    k = min(k, len(catalogue))
+    width = max(width, k)
+    best, picked = _first_best(queries, catalogue[:width], k)
+    for start in range(width, len(catalogue), width):
+        raw = queries @ catalogue[start : start + width].T
+        edge = _comparable(best[:, -1])
+        at, row = np.nonzero(raw >= edge[:, None])
+        score = np.round(raw[at, row], DIGITS)
+        higher = score > edge[at]
+        at, row, score = at[higher], row[higher] + start, score[higher]
+        if not len(at):
+            continue
+        touched = np.unique(at)
+        of = np.concatenate([np.repeat(touched, k), at])
+        scores = np.concatenate([best[touched].ravel(), score])
+        rows = np.concatenate([picked[touched].ravel(), row])
+        order = np.lexsort((rows, -_comparable(scores), of))
+        place = np.searchsorted(of[order], touched)[:, None] + np.arange(k)
+        best[touched], picked[touched] = scores[order][place], rows[order][place]
     return pd.DataFrame({
         "query_id": np.repeat(np.asarray(query_ids, dtype=object), k),
         "id": ids[picked].ravel(),
-        "score": np.take_along_axis(scores, picked, axis=1).ravel(),
-        "rank": np.tile(np.arange(1, k + 1, dtype=np.int32), len(scores)),
+        "score": best.ravel(),
+        "rank": np.tile(np.arange(1, k + 1, dtype=np.int32), len(queries)),
     })
 
 
-def _slices(frame: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
-    """Cut a batch so that a score matrix stays near 16 million numbers."""
-    step = max(1, 16_000_000 // max(width, 1))
-    for start in range(0, len(frame), step):
-        yield frame.iloc[start : start + step]
+def _slices(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Cut a batch so that the scores of a tile are about two million numbers."""
+    for start in range(0, len(frame), SLICE_ROWS):
+        yield frame.iloc[start : start + SLICE_ROWS]
 
 
 def _fits(catalogue: DataFrame, limit: int) -> bool:
@@ -70,16 +111,21 @@ def _broadcast_join(queries: DataFrame, catalogue: DataFrame, k: int, cosine: bo
     local = catalogue.select("id", "embedding").toPandas().sort_values("id", kind="stable")
     ids, matrix = local["id"].to_numpy(dtype=object), _matrix(local["embedding"], cosine)
     shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+    queries = queries.select("query_id", "embedding")
+    if matrix.size >= SMALL_CATALOGUE:
+        # A few files of queries would be a few long tasks.
+        parts = -(-queries.count() * matrix.size // TASK_PRODUCTS)
+        queries = queries.repartition(parts) if parts > 1 else queries
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = shared.value
         if not len(ids):
             return
         for batch in batches:
-            for part in _slices(batch, len(ids)):
+            for part in _slices(batch):
                 yield _best(part["query_id"], _matrix(part["embedding"], cosine), ids, matrix, k)
 
-    return queries.select("query_id", "embedding").mapInPandas(search, _NEIGHBOURS)
+    return queries.mapInPandas(search, _NEIGHBOURS)
 
 
 def _search_group(k: int, cosine: bool):
@@ -93,7 +139,7 @@ def _search_group(k: int, cosine: bool):
         ids, matrix = right["id"].to_numpy(dtype=object), _matrix(right["embedding"], cosine)
         found = pd.concat([
             _best(part["query_id"], _matrix(part["embedding"], cosine), ids, matrix, k)
-            for part in _slices(left, len(ids))
+            for part in _slices(left)
         ])
         # Text gathered from several Arrow batches is chunked, which Spark does not take back.
         return found.astype({"query_id": object, "id": object})
@@ -106,13 +152,21 @@ def _merge(partial: DataFrame, k: int) -> DataFrame:
     return top_k(partial.drop("rank"), ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
+def _lines(rows: int, block_rows: int, dims: int) -> int:
+    """Blocks of one side. Each is sent to every block of the other side, so blocks below ``BLOCK_ROWS`` grow with the
+    table once there are ``GRID_LINES`` of them; wide vectors take smaller blocks up to there."""
+    wanted = min(block_rows, max(1, BROADCAST_NUMBERS // max(dims, 1)))
+    return max(1, min(-(-rows // wanted), max(GRID_LINES, -(-rows // BLOCK_ROWS))))
+
+
 def _block_join(
     queries: DataFrame, catalogue: DataFrame, k: int, cosine: bool, block_rows: int
 ) -> DataFrame:
     """Exact join of two large sides: each pair of blocks meets in one bounded task, which keeps only
     its k best per query."""
-    parts = max(1, -(-catalogue.count() // block_rows))
-    strips = max(1, -(-queries.count() // block_rows))
+    dims = (catalogue.select(F.size("embedding").alias("d")).head(1) or [{"d": 1}])[0]["d"]
+    parts = _lines(catalogue.count(), block_rows, dims)
+    strips = _lines(queries.count(), block_rows, dims)
     left = queries.select(
         "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(strips)).alias("strip"),
         F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),

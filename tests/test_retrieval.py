@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +161,37 @@ def test_rows_without_a_vector_take_no_part(spark):
     catalogue = spark.createDataFrame([("a", None), ("b", [0.0, 1.0]), ("c", [2.0, 0.0])], f"id string, {schema}")
     found = nn.nearest(queries, catalogue, 3).orderBy("rank").collect()
     assert [(r["query_id"], r["id"]) for r in found] == [("q", "c"), ("q", "b")]
+
+
+def test_tiles_give_the_rows_of_a_whole_matrix():
+    rng = np.random.default_rng(6)
+    queries, rows = rng.integers(-2, 3, (40, 3)).astype(float), rng.integers(-2, 3, (300, 3)).astype(float)
+    rows[[0, 1, 2, 150]] = np.nan
+    ids = np.array([f"{i:03}" for i in range(300)], dtype=object)
+    for k in (1, 7, 60, 299, 300):
+        whole = nn._best(np.arange(40), queries, ids, rows, k, width=300)
+        for width in (1, 16, 299):
+            assert whole.equals(nn._best(np.arange(40), queries, ids, rows, k, width=width))
+    ascending = np.arange(300.0)[:, None]
+    assert nn._best(["q"], np.ones((1, 1)), ids, ascending, 3, width=8)["id"].tolist() == ["299", "298", "297"]
+
+
+def test_memory_of_a_search_does_not_grow_with_the_catalogue():
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    ids, peaks = np.arange(60_000).astype(str).astype(object), []
+    queries = pd.DataFrame({"query_id": ["q"] * 2000, "embedding": list(rng.random((2000, 4)))})
+    for n in (15_000, 60_000):
+        rows = rng.random((n, 4))
+        tracemalloc.start()
+        for part in nn._slices(queries):
+            nn._best(part["query_id"], nn._matrix(part["embedding"], False), ids[:n], rows, 5)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert max(peaks) < 150e6 and peaks[1] < 1.2 * peaks[0]
+
+
+def test_a_grid_has_few_lines_unless_blocks_are_full():
+    assert [nn._lines(n, 150, 64) for n in (0, 500, 2000, 100_000, 600_000, 6_000_000)] == [1, 4, 14, 16, 16, 120]
+    assert nn._lines(600_000, nn.BLOCK_ROWS, 64) == 12 and nn._lines(100_000, nn.BLOCK_ROWS, 384) == 5
