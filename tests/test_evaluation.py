@@ -188,3 +188,22 @@ def test_registry_state(spark):
     versions = spark.createDataFrame([("p", "v1"), ("p", "v2"), ("p", "v3")], "name string, version string")
     status = {r["version"]: (r["activated_at"], r["status"]) for r in registry.version_list(versions, log).collect()}
     assert status == {"v1": (1, "archived"), "v2": (2, "active"), "v3": (None, "archived")}
+
+
+def test_tokens_of_a_batch_are_not_in_memory_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def peak(rows):
+        column = pa.array([[f"w{i}-{j}" for j in range(100)] for i in range(rows)])
+        tracemalloc.start()
+        assert sum(len(a) + len(b) for a, b in ev._token_rows(column, column)) == 200 * rows
+        try:
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    small = peak(1000)
+    assert peak(4000) < 1.2 * small and small < 20e6
+    assert list(ev._token_rows(pa.array([["a"], []]), pa.array([[], ["b", "c"]]))) == [(["a"], []), ([], ["b", "c"])]
