@@ -46,13 +46,18 @@ def stream_call_metrics(spark, d):
     return out.withColumn("latency_sum", F.round("latency_sum", 4))
 
 
+def _one_file(rows):
+    """The rows as one part, which one task writes and many make."""
+    return rows.repartition(1)
+
+
 def _kept(spark, frame, schema, keys, measure, window_keys, name):
     """The table that a stream keeps: four files one by one, in no order of time, then a restart and a file that comes again."""
     path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
     table = None
     for again in (False, True):
         dealt = frame.withColumn("_file", F.pmod(F.xxhash64(*keys), F.lit(4)))
-        rows = dealt.filter("_file = 1").coalesce(1) if again else dealt.repartition(4, "_file")
+        rows = _one_file(dealt.filter("_file = 1")) if again else dealt.repartition(4, "_file")
         rows.drop("_file").write.mode("append").parquet(path)
         stream = measure(feeds.once(feeds.read_feed(spark, path, schema, files_per_trigger=1), keys, "60 days"))
         table = table or BucketedTable(spark, scratch_path(spark, f"{name}-table"), window_keys, stream.schema, 8)

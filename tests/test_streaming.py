@@ -72,3 +72,12 @@ def test_kept_windows_of_several_files(spark, tmp_path):
         F.col("s").cast("timestamp").alias("window_start"), F.col("s").cast("timestamp").alias("window_end"),
         *[F.col("v").alias(c) for c in ("rating_sum", "ups", "record_count")])
     assert commits >= 2 and not table.upsert(again, ["window_start"], name="feed-0")
+
+
+def test_rows_of_one_file_are_made_by_many_tasks(spark, tmp_path):
+    from checks.streaming import _one_file
+
+    rows = spark.range(0, 100, 1, 4).withColumn("made_by", F.spark_partition_id())
+    _one_file(rows).write.parquet(str(tmp_path / "file"))
+    back = spark.read.parquet(str(tmp_path / "file"))
+    assert back.select("made_by").distinct().count() == 4 and len(list((tmp_path / "file").glob("*.parquet"))) == 1
