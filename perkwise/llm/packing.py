@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import string
 from array import array
 from collections.abc import Iterator
 from itertools import accumulate
@@ -37,8 +38,9 @@ _BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]")
 # Byte-level vocabularies spell printable bytes as themselves and the others as the code points from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
-# White space to Python and Arrow, but not to the tokenizer.
+# White space to Python, but not to the tokenizer.
 _ONLY_PYTHON = "\x1c\x1d\x1e\x1f"
+_MARKS = string.punctuation
 
 
 def _is_space(char: str) -> bool:
@@ -57,23 +59,53 @@ def _latin(text: str) -> bool:
     return True
 
 
+def _split(part: str) -> list[str]:
+    """The words of a text, as the tokenizer sees white space."""
+    if any(c in part for c in _ONLY_PYTHON):
+        return [w for w in _SPACE.split(part) if w]
+    return part.split()
+
+
+class _KnownWords(dict):
+    """The ids of words as bytes: those of a word not seen yet are made when it is asked for."""
+
+    def __init__(self, tokenizer, older: dict[str, bytes]):
+        super().__init__()
+        self._encode, self._tokenize, self._older = tokenizer.encode, tokenizer.model.tokenize, older
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._older.get(word)
+        if ids is None:
+            ids = self._made(word)
+        self[word] = ids
+        return ids
+
+    def _made(self, word: str) -> bytes:
+        base = word.rstrip(_MARKS)
+        if base and len(base) < len(word) and base[-1] < "\u0100" and base[-1].isalnum() and "<|" not in word:
+            return self[base] + self[word[len(base):]]
+        if word.isalpha() and word.islower() and (word.isascii() or not _BEYOND_LATIN.search(word)):
+            # Nothing to normalise or to split: such a word goes to the model as it is, in its byte alphabet.
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            return array("i", [t.id for t in self._tokenize(spelled)]).tobytes()
+        return array("i", self._encode(word, add_special_tokens=False).ids).tobytes()
+
+
 class WordTokenizer:
     """Token ids of texts, word by word.
 
-    The tokenizer never joins characters across white space, nor a letter or digit to a mark after it, so
-    each distinct word is encoded once, without its closing mark, and kept in two tables of bounded size
+    The tokenizer never joins characters across white space, nor a letter or digit to the marks after it, so
+    each distinct word is encoded once, without its closing marks, and kept in two tables of bounded size
     (the older one is dropped when the newer one is full). Latin texts are lower-cased first, as the
-    tokenizer would do, unless they may hold one of its special tokens. Arrow splits the texts, finds their
-    distinct words and puts the ids of the words in place.
+    tokenizer would do, unless they may hold one of its special tokens. A text's ids are those of its words, looked up
+    one after another and joined as bytes.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        self._encode, self._model = tokenizer.encode_batch_fast, tokenizer.model
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self._tokenizer = Tokenizer.from_file(path)
+        self._words = _KnownWords(self._tokenizer, {})
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         values, counts = self.flat(texts)
@@ -108,44 +140,11 @@ class WordTokenizer:
         return np.concatenate(values), counts
 
     def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if any(c in part for part in parts for c in _ONLY_PYTHON):
-            lists = pa.array([[w for w in _SPACE.split(part) if w] for part in parts], pa.list_(pa.string()))
-        else:
-            lists = pa.compute.utf8_split_whitespace(pa.array(parts, pa.string()))
-        coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self._new) > CACHED_WORDS:
-            self._old, self._new = self._new, {}
-        # Leading and trailing white space leaves empty words.
-        self._new[""] = b""
-        self._learn(set(words).difference(self._new))
-        blobs = list(map(self._new.__getitem__, words))
-        ends = np.cumsum([0, *map(len, blobs)]) // 4
-        by_word = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
-        placed = by_word.take(coded.indices)
-        sizes = np.r_[0, np.cumsum(placed.value_lengths().to_numpy(zero_copy_only=False))]
-        offsets = lists.offsets.to_numpy()
-        return placed.flatten().to_numpy(), np.diff(sizes[offsets - offsets[0]])
-
-    def _learn(self, words: set[str]) -> None:
-        new, old = self._new, self._old
-        cut = {w: w[:-1] for w in words if w[-1] in ".,:;!?" and len(w) > 1 and w[-2].isascii() and w[-2].isalnum()}
-        unseen = set()
-        for w in {*words.difference(cut), *cut.values(), *(w[-1] for w in cut)}:
-            if w in old:
-                new[w] = old[w]
-            elif w not in new:
-                unseen.add(w)
-        plain = {w for w in unseen if w.isalpha() and w.islower() and (w.isascii() or not _BEYOND_LATIN.search(w))}
-        for w in plain:
-            # Nothing to normalise or to split: such a word goes to the model as it is, in its byte alphabet.
-            spelled = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            new[w] = array("i", [t.id for t in self._model.tokenize(spelled)]).tobytes()
-        unseen = sorted(unseen - plain)
-        for w, e in zip(unseen, self._encode(unseen, add_special_tokens=False)):
-            new[w] = array("i", e.ids).tobytes()
-        for w, base in cut.items():
-            new[w] = new[base] + new[w[-1]]
+        if len(self._words) > CACHED_WORDS:
+            self._words = _KnownWords(self._tokenizer, dict(self._words))
+        ids_of = self._words.__getitem__
+        blobs = [b"".join(map(ids_of, _split(part))) for part in parts]
+        return np.frombuffer(b"".join(blobs), np.int32), np.fromiter((len(b) // 4 for b in blobs), np.int64, len(blobs))
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

@@ -495,3 +495,19 @@ def test_deep_pages_comments_and_unclosed_markup():
     kept = f"<article><p>{article}</p><section id='comments-on-the-method'><p>{long.strip()}</p></section></article>"
     assert extraction.main_text(kept) == f"{article}\n{long.strip()}"
     assert extraction.main_text(f"<article><p>{article}</p></article><!-- never closed <p>markup") == article
+
+
+def test_a_word_is_encoded_once_whatever_marks_close_it():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    words = packing.WordTokenizer(path)
+    words.ids(["bravo### bravo$$$ bravo!! é.\" 7,%"])
+    assert {"bravo", "###", "$$$", "!!", "é", "7"} <= words._words.keys()
+    whole, rnd = Tokenizer.from_file(path), random.Random(5)
+    letters = "ab'sétÀßª½3²9.,!?#$%<|>_-\"'́İΣς漢"
+    texts = [" ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 6))) for _ in range(8)) for _ in range(1500)]
+    for text, got in zip(texts, words.ids(texts)):
+        assert got.tolist() == whole.encode(text, add_special_tokens=False).ids, text
