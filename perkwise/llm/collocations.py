@@ -139,7 +139,10 @@ def _marked(bits: np.ndarray, digest: np.ndarray) -> np.ndarray:
 
 
 def _messages(lang: str, alphabet: pa.Array, digest: np.ndarray, counted: Counted, ranges: int) -> Iterator[pa.RecordBatch]:
-    """One automaton for each range that some of the sequences are in."""
+    """One automaton for each range that some of the sequences are in, with its words; both travel compressed.
+
+    The more ranges there are, the more of them a word is in, so that the words are what grows. No word holds a line end.
+    """
     grams, weights = counted
     number = prefix_ranges(digest, grams, ranges)
     order = np.argsort(number, kind="stable")
@@ -147,16 +150,24 @@ def _messages(lang: str, alphabet: pa.Array, digest: np.ndarray, counted: Counte
     found, starts = np.unique(number[order], return_index=True)
     for i, a, b in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]):
         words, automaton = restricted(texts, grams[order[a:b]], weights[order[a:b]])
+        joined = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_buffer()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang], pa.string()), pa.array([i], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-             pa.array([automaton], pa.binary())], names=["lang", "range", "words", "automaton"])
+            [pa.array([lang], pa.string()), pa.array([i], pa.int32()), pa.array([zlib.compress(joined, 1)], pa.binary()),
+             pa.array([zlib.compress(automaton, 1)], pa.binary())], names=["lang", "range", "words", "automaton"])
+
+
+def _opened(messages: pa.Table) -> tuple[pa.ListArray, list[bytes]]:
+    """(alphabets, automata) of some messages."""
+    joined = pa.array(map(zlib.decompress, messages.column("words").to_pylist()), pa.binary()).cast(pa.string())
+    return pa.compute.split_pattern(joined, "\n"), list(map(zlib.decompress, messages.column("automaton").to_pylist()))
 
 
-_MESSAGE = "lang string, range int, words array<string>, automaton binary"
+_MESSAGE = "lang string, range int, words binary, automaton binary"
+_UNITED = "lang string, range int, words array<string>, automaton binary, n long"
 
 
 def shard_automata(docs: DataFrame, counter: Callable[[], Callable[[np.ndarray, np.ndarray], Counted]], ranges: int) -> DataFrame:
-    """(lang, range, words, automaton) of every shard of (lang, text)."""
+    """(lang, range, words, automaton) of every shard of (lang, text), as ``_messages`` packs them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, shards = counter(), defaultdict(Shard)
@@ -201,15 +212,14 @@ def union(shards: DataFrame, least: int) -> DataFrame:
     """
 
     def unite(group: pa.Table) -> pa.Table:
-        alphabets = group.column("words").combine_chunks()
-        words, grams, weights = united(alphabets, group.column("automaton").to_pylist())
+        words, grams, weights = united(*_opened(group))
         n = int(weights[grams[:, 1] < 0].sum())
         keep = weights >= least
         own, automaton = restricted(words, grams[keep], weights[keep])
         return pa.table([group.column("lang")[:1], group.column("range")[:1], pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
                          pa.array([automaton], pa.binary()), pa.array([n], pa.int64())], names=["lang", "range", "words", "automaton", "n"])
 
-    return shards.groupBy("lang", "range").applyInArrow(unite, f"{_MESSAGE}, n long")
+    return shards.groupBy("lang", "range").applyInArrow(unite, _UNITED)
 
 
 def phrases(counts: DataFrame, fewest: int = 1) -> DataFrame:
@@ -276,8 +286,9 @@ def looked_up(parts: DataFrame, counts: DataFrame, ranges: int) -> DataFrame:
                 yield from _messages(lang, pa.array(alphabet, pa.binary()), word_digests(lang, alphabet), in_order(grams), ranges)
 
     def compose(asked: pa.Table, counted: pa.Table) -> pa.Table:
-        both = pa.concat_tables([asked.select(["words", "automaton"]), counted.select(["words", "automaton"])])
-        automata, alphabets = both.column("automaton").to_pylist(), both.column("words").combine_chunks()
+        alphabets, automata = _opened(asked)
+        alphabets = pa.concat_arrays([alphabets, counted.column("words").combine_chunks().cast(alphabets.type)])
+        automata += counted.column("automaton").to_pylist()
         empty = restricted(pa.array([], pa.string()), np.zeros((0, 3), np.int32), np.zeros(0, np.int64))[1]
         # One alphabet for both sides, so that words are the same numbers in both.
         n = asked.num_rows

@@ -229,3 +229,15 @@ def test_token_count_query(spark, sf_dir, piece_model):
     library = sentencepiece.SentencePieceProcessor(model_file=piece_model)
     want = {r.doc_id: len(library.encode(r.text or "")) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert {r.doc_id: r.n_tokens for r in queries.QUERIES["op13_token_counts"](spark, sf_dir).collect()} == want
+
+
+def test_shards_travel_compressed():
+    shard = collocations.Shard()
+    shard.add([" ".join(f"collocation{i:05d}" for i in range(20_000)).encode()])
+    alphabet, ids = shard.sorted()
+    digest = collocations.word_digests("en", alphabet.to_pylist())
+    sent = list(collocations._messages("en", alphabet, digest, collocations.single_words(ids, digest), 3))
+    table = pa.Table.from_batches(sent)
+    assert len(sent) == 3 and table.nbytes < 100_000
+    words, grams, weights = automata.united(*collocations._opened(table))
+    assert words.to_pylist() == [f"collocation{i:05d}" for i in range(20_000)] and weights.tolist() == [1] * 20_000 and len(grams) == 20_000
