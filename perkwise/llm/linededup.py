@@ -72,7 +72,12 @@ def _grams(run: re.Match) -> str:
 def _spaced(text: str) -> str:
     """The text in lower case, with blanks between the trigrams of runs that have none."""
     text = text.lower()
-    return text if text.isascii() else _UNSPACED.sub(_grams, text)
+    try:
+        # Much faster than a search, and true of most texts.
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _UNSPACED.sub(_grams, text)
+    return text
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -147,14 +152,16 @@ def rarity(docs: DataFrame, text_col: str = "text", reader: Reader = LINES) -> t
             np.add.at(seen, (reader.words(texts)[0] & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
         for i, part in enumerate(seen.reshape(SLICES, -1)):
             if part.any():
+                size = next(n for n in (1, 2, 4, 8) if int(part.max()) < 1 << 8 * n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i], pa.int32()), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)])], names=["slice", "counts"])
+                    [pa.array([i], pa.int32()), pa.array([zlib.compress(part.astype(f"<u{size}").tobytes(), 1)])], names=["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[i] = sums.get(i, 0) + np.frombuffer(zlib.decompress(x), "<i8")
+                raw = zlib.decompress(x)
+                sums[i] = sums.get(i, 0) + np.frombuffer(raw, f"<u{len(raw) * SLICES // BUCKETS}").astype(np.int64)
         for i, x in sums.items():
             # Byte 255 would be a count no table reaches.
             level = np.where(x > 0, np.floor(2 * np.log2(np.maximum(x, 1))) + 1, 0).astype(np.uint8)

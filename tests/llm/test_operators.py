@@ -511,3 +511,10 @@ def test_a_word_is_encoded_once_whatever_marks_close_it():
     texts = [" ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 6))) for _ in range(8)) for _ in range(1500)]
     for text, got in zip(texts, words.ids(texts)):
         assert got.tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_latin_texts_are_not_searched_for_scripts_without_blanks(monkeypatch):
+    text = "Über den Fluß\ncafé ½ naïve"
+    assert linededup._spaced(text) == text.lower() and linededup._spaced("ab漢字") == "ab 漢字 "
+    monkeypatch.setattr(linededup, "_UNSPACED", None)
+    assert linededup._spaced(text) == text.lower()
