@@ -200,7 +200,7 @@ def build(codes: DataFrame) -> DataFrame:
 
 
 def walk(queries: DataFrame, codes: DataFrame, graph: DataFrame, k: int) -> DataFrame:
-    """(id, other): for queries (id, code) the beam of nodes that a greedy walk has come to.
+    """(id, other, sim): for queries (id, code) the beam of nodes that a greedy walk has come to.
 
     It starts at the best of a few fixed entries and of the longest vectors, which are often the answer and seldom
     a neighbour, and for a query that is a node at its neighbours. Links are followed both ways. Each step looks
@@ -259,7 +259,7 @@ def walk(queries: DataFrame, codes: DataFrame, graph: DataFrame, k: int) -> Data
             merge, "id long, ids array<long>, sims array<float>, seen array<boolean>, look array<long>")
 
     if not len(entries):
-        return queries.select("id", F.col("id").alias("other")).limit(0)
+        return queries.select("id", F.col("id").alias("other"), F.lit(None).cast("float").alias("sim")).limit(0)
     start = queries.select("id", "code").mapInArrow(enter, "id long, other long")
     own = graph.join(queries.select("id"), "id", "left_semi").select("id", "other")
     start = start.unionByName(own).unionByName(queries.select("id", F.col("id").alias("other")))
@@ -275,7 +275,7 @@ def walk(queries: DataFrame, codes: DataFrame, graph: DataFrame, k: int) -> Data
             nexts = nodes.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nexts"))).alias("nexts"))
             fresh = state.join(nexts, "id").select("id", F.explode(F.array_except("nexts", "ids")).alias("other"))
             state = result(merged(state.join(measured(fresh), "id", "left")), "ann-walk")
-    return state.select("id", F.explode("ids").alias("other"))
+    return state.select("id", F.inline(F.arrays_zip(F.col("ids").alias("other"), F.col("sims").alias("sim"))))
 
 
 def search(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
