@@ -50,8 +50,8 @@ _ENTRY = np.dtype([("cell", "<u8"), ("doc", "<i8"), ("whole", "<u8"), ("low", "<
                    ("n", "<i4"), ("at", "<i4"), ("role", "u1")])
 _COPY = np.dtype([("doc", "<i8"), ("line", "<i4"), ("crc", "<u4")])
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-# The value of a byte in a word's digest; white space has none.
-_LETTER = np.where(np.isin(np.arange(256), [32, *range(9, 14)]), 0, np.arange(256) + 1).astype(np.uint64)
+# The value of a byte in a word's digest, that of the small letter for A-Z; white space has none.
+_LETTER = np.where(np.isin(np.arange(256), [32, *range(9, 14)]), 0, np.frombuffer(bytes(range(256)).lower(), np.uint8) + 1.0).astype(np.uint64)
 _POWERS: list[np.ndarray] = []
 # Runs of Thai, Lao, Myanmar, Khmer, kana and Han, which have no blanks between words.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]+")
@@ -70,7 +70,10 @@ def _grams(run: re.Match) -> str:
 
 
 def _spaced(text: str) -> str:
-    """The text in lower case, with blanks between the trigrams of runs that have none."""
+    """The text in lower case but for A-Z of ASCII texts, with blanks between the trigrams of runs that have none."""
+    if text.isascii():
+        # The values of bytes make A-Z small.
+        return text
     text = text.lower()
     try:
         # Much faster than a search, and true of most texts.
@@ -86,13 +89,18 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     raw = np.frombuffer("\n".join([_spaced(t) for t in texts]).encode("utf-8", "replace") + b"\n", np.uint8)
     text_of = np.repeat(np.arange(len(texts)), counts)
     number = np.arange(len(text_of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    solid = _LETTER.astype(bool)[raw]
-    starts = np.flatnonzero(np.r_[solid[:1], solid[1:] & ~solid[:-1]])
+    values = _LETTER.take(raw)
+    solid = values != 0
+    starts = np.flatnonzero(np.r_[solid[:1], solid[1:] > solid[:-1]])
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), text_of, number
     # A polynomial over the whole batch; dividing by the power of a word's place makes it independent of the place.
     powers, inverse = _powers(len(raw))
-    digest = _mixed(np.add.reduceat(_LETTER[raw] * powers, starts) * inverse[starts])
+    values *= powers
+    # White space adds nothing, so a word's sum is what is added up to the next word.
+    sums = np.cumsum(values, out=values)[np.r_[starts[1:] - 1, len(raw) - 1]]
+    sums[1:] -= sums[:-1].copy()
+    digest = _mixed(sums * inverse[starts])
     ends = np.flatnonzero(raw == 10)
     line = np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(starts, ends), prepend=0))
     return digest, line, text_of, number
@@ -131,7 +139,7 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with about BATCH_CHARS of text, at least one row each."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
         first = 0
         while first < batch.num_rows:
             last, size = first + 1, lengths[first]
@@ -194,36 +202,38 @@ def _pairs(rows: dict[str, np.ndarray], t: tuple[int, int], stop: bool, alike: i
     first = np.maximum.accumulate(np.where(edge, np.arange(total), 0)) if total else np.zeros(0, np.int64)
     later, earlier, stopped = [], [], []
     active = np.flatnonzero((rows["role"] & 1 > 0) & (first < np.arange(total)))
-    n, at, role, low, high, whole, doc, line = (rows[x] for x in ("n", "at", "role", "low", "high", "whole", "doc", "line"))
+    n, role, low, high, whole, doc, line = (rows[x] for x in ("n", "role", "low", "high", "whole", "doc", "line"))
+    left, offers = n - rows["at"], role & 2 > 0
     back, convincing, settled, ended = 1, np.zeros(total, np.int32), np.zeros(total, bool), np.zeros(total, bool)
     while len(active):
         other = active - back
-        small, large = np.minimum(n[active], n[other]), np.maximum(n[active], n[other])
-        both = small + large
+        a, b = n[active], n[other]
+        small, large = np.minimum(a, b), np.maximum(a, b)
+        both = a + b
         need = _overlap(both, t)
-        hit = (small * t[1] >= large * t[0]) & (role[other] & 2 > 0)
-        hit &= 1 + np.minimum(n[active] - at[active], n[other] - at[other]) - 1 >= need
-        apart = np.bitwise_count(low[active] ^ low[other]).astype(np.int64) + np.bitwise_count(high[active] ^ high[other])
-        hit &= apart <= both - 2 * need
-        hit &= (doc[active] != doc[other]) | (line[active] != line[other])
-        equal = hit & settle & (apart == 0) & (small == large) & (whole[active] == whole[other])
-        settled[active[equal]] = True
-        hit &= ~equal
-        later.append(active[hit])
-        earlier.append(other[hit])
+        hit = (small * t[1] >= large * t[0]) & offers[other]
+        hit &= np.minimum(left[active], left[other]) >= need
+        # The maps are read only where sizes and places leave a chance.
+        may = np.flatnonzero(hit)
+        a, b, spare = active[may], other[may], (both - 2 * need)[may]
+        apart = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
+        near = np.flatnonzero((apart <= spare) & ((doc[a] != doc[b]) | (line[a] != line[b])))
+        a, b, spare, apart = a[near], b[near], spare[near], apart[near]
+        equal = settle & (apart == 0) & (n[a] == n[b]) & (whole[a] == whole[b])
+        settled[a[equal]] = True
+        a, b, spare, apart = a[~equal], b[~equal], spare[~equal], apart[~equal]
+        later.append(a)
+        earlier.append(b)
         back += 1
-        more = (active - back >= first[active]) & ~equal
         if stop:
             # Maps so much alike are no accident, whatever the length of the lines.
-            sure = hit & (apart * 3 <= 2 * (both - 2 * need)) & (apart <= alike)
-            convincing[active[sure]] += 1
-            enough = convincing[active] >= ENOUGH
-            stopped.append((more & enough)[hit])
-            ended[active[more & enough]] = True
-            active = active[more & ~enough]
+            convincing[a[(apart * 3 <= 2 * spare) & (apart <= alike)]] += 1
+            enough = (convincing[a] >= ENOUGH) & (a - back >= first[a])
+            stopped.append(enough)
+            ended[a[enough]] = True
         else:
-            stopped.append(np.zeros(int(hit.sum()), bool))
-            active = active[more]
+            stopped.append(np.zeros(len(a), bool))
+        active = active[(active - back >= first[active]) & ~settled[active] & ~ended[active]]
     none = np.zeros(0, np.int64)
     later, earlier, stopped = np.concatenate([none, *later]), np.concatenate([none, *earlier]), np.concatenate([none > 0, *stopped])
     keep = ~settled[later] & ~ended[later]
@@ -256,7 +266,8 @@ def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, in
         order = np.argsort(rows["cell"])
         same = rows["cell"][order[1:]] == rows["cell"][order[:-1]]
         order = order[np.r_[False, same] | np.r_[same, False]]
-        order = order[np.lexsort((rows["line"][order], rows["doc"][order], rows["cell"][order]))]
+        rows = {c: x[order] for c, x in rows.items()}
+        order = _by_place(rows)
         rows = {c: x[order] for c, x in rows.items()}
         later, earlier, stopped, settled = _pairs(rows, t, stop, alike, probes is None)
         a, b = ({c: rows[c][i] for c in ("doc", "line", "crc", "low", "high")} for i in (later, earlier))
@@ -286,6 +297,20 @@ def candidates(docs: DataFrame, levels: np.ndarray, words: int, t: tuple[int, in
         lean(search), "doc long, line int, crc long, other_doc long, other_line int, apart int, stopped boolean")
 
 
+def _by_place(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """The order by cell, document and line of rows that are in order of cells."""
+    cell, doc, line = rows["cell"], rows["doc"], rows["line"]
+    if not len(cell):
+        return np.zeros(0, np.int64)
+    group = np.cumsum(np.r_[False, cell[1:] != cell[:-1]]).astype(np.uint64)
+    bits = [int(x).bit_length() for x in (group[-1], int(doc.max()) - int(doc.min()), line.max())]
+    if sum(bits) > 64:
+        return np.lexsort((line, doc, cell))
+    # One number, nearly in order, is sorted much faster than three columns.
+    key = group << np.uint64(bits[1]) | (doc - doc.min()).astype(np.uint64)
+    return np.argsort(key << np.uint64(bits[2]) | line.astype(np.uint64), kind="stable")
+
+
 def _unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
     parts: dict[str, list[np.ndarray]] = {c: [] for c in _ENTRY.names}
     for blob in blobs:
@@ -301,6 +326,19 @@ def _cell_bit(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8)
 
 
+def _may_send(digest: np.ndarray, line: np.ndarray, cells: np.ndarray, t: tuple[int, int]) -> np.ndarray:
+    """Which words are of lines that may have an entry in the cells: of most lines no word is in one.
+
+    The cell of a line so short that only an equal set is similar enough is no word's; all lines that may be as short stay.
+    """
+    at, bit = _cell_bit(digest >> np.uint64(20))
+    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    hit = np.logical_or.reduceat(cells[at] & bit > 0, first)
+    # No more than the number of its different words.
+    least = np.bitwise_count(np.bitwise_or.reduceat(np.uint64(1) << (digest & np.uint64(63)), first)).astype(np.int64)
+    return np.repeat(hit | (least * t[1] < t[0] * (least + 1)), np.diff(np.r_[first, len(line)]))
+
+
 def probed_cells(docs: DataFrame, levels: np.ndarray, t: tuple[int, int], id_col: str, text_col: str, probes: str,
                  min_words: int = MIN_WORDS, reader: Reader = LINES) -> np.ndarray:
     """The bits of the cells in which the lines of ``probes`` look for others."""
@@ -341,13 +379,16 @@ def entries(docs: DataFrame, levels: np.ndarray, targets: int, t: tuple[int, int
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                rows = np.concatenate(held)
+                # Columns that lie together are put in order much faster than those of wide rows.
+                columns_ = [np.concatenate([x[c] for x in held]) for c in _ENTRY.names]
                 held.clear()
-                target = (_mixed(rows["cell"]) % np.uint64(targets)).astype(np.int32)
+                # Small numbers are sorted by their digits.
+                target = (_mixed(columns_[0]) % np.uint64(targets)).astype(np.min_scalar_type(targets))
                 order = np.argsort(target, kind="stable")
-                cuts = np.searchsorted(target[order], np.arange(targets + 1))
+                cuts = np.r_[0, np.cumsum(np.bincount(target, minlength=targets))].tolist()
                 full = [i for i in range(targets) if cuts[i] < cuts[i + 1]]
-                packed = [b"".join(np.ascontiguousarray(rows[c][order[cuts[i]:cuts[i + 1]]]).tobytes() for c in _ENTRY.names) for i in full]
+                columns_ = [x[order] for x in columns_]
+                packed = [b"".join(x[cuts[i]:cuts[i + 1]].tobytes() for x in columns_) for i in full]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(full, pa.int32()), pa.array(packed, pa.binary()), pa.array([False] * len(full))], names=["target", "rows", "certain"])
             if copies:
@@ -365,6 +406,9 @@ def entries(docs: DataFrame, levels: np.ndarray, targets: int, t: tuple[int, int
             digest, line, text_of, number = reader.words(texts)
             if not len(digest):
                 continue
+            if wanted_cells is not None:
+                stays = _may_send(digest, line, wanted_cells, t)
+                digest, line = digest[stays], line[stays]
             short = digest >> np.uint64(20)
             level = level_of[(digest & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
             for low in range(0, len(text_of), 1 << 13):
@@ -373,7 +417,8 @@ def entries(docs: DataFrame, levels: np.ndarray, targets: int, t: tuple[int, int
                 key = (line[mine] - low).astype(np.uint64) << np.uint64(51) | level[mine] << np.uint64(44) | short[mine]
                 if not len(key):
                     continue
-                by = np.argsort(key)
+                # Lines are in order already, which a stable sort makes use of.
+                by = np.argsort(key, kind="stable")
                 key = key[by]
                 once = np.r_[True, key[1:] != key[:-1]]
                 key, full = key[once], digest[mine][by[once]]
@@ -388,9 +433,10 @@ def entries(docs: DataFrame, levels: np.ndarray, targets: int, t: tuple[int, int
                 lines = own[first] + low
                 docs_, numbers = ids[text_of[lines]], number[lines]
                 fresh, double = np.zeros(len(lines), bool), np.zeros(len(lines), bool)
-                for i in np.flatnonzero(n >= min_words).tolist():
+                long_ = np.flatnonzero(n >= min_words)
+                for i, mark, doc, number_ in zip(*(x.tolist() for x in (long_, whole[long_], docs_[long_], numbers[long_]))):
                     # One number for (document, line): a dictionary of pairs takes twice the memory.
-                    mark, place = int(whole[i]), (int(docs_[i]) << 32) + int(numbers[i])
+                    place = (doc << 32) + number_
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     before = seen.get(mark)
@@ -405,12 +451,12 @@ def entries(docs: DataFrame, levels: np.ndarray, targets: int, t: tuple[int, int
                     fresh |= (role == 3) & (n >= min_words)
                 if (double | fresh).any():
                     crc = np.zeros(len(lines), np.uint32)
-                    split: dict[int, list[str]] = {}
-                    for i in np.flatnonzero(double | fresh).tolist():
-                        t_ = int(text_of[lines[i]])
-                        if t_ not in split:
-                            split = {t_: reader.units(texts[t_])}
-                        crc[i] = zlib.crc32(split[t_][int(numbers[i])].encode("utf-8", "replace"))
+                    split, now, sums, marked = [], -1, [], np.flatnonzero(double | fresh)
+                    for t_, number_ in zip(text_of[lines[marked]].tolist(), numbers[marked].tolist()):
+                        if t_ != now:
+                            split, now = reader.units(texts[t_]), t_
+                        sums.append(zlib.crc32(split[number_].encode("utf-8", "replace")))
+                    crc[marked] = sums
                 if double.any() and not probes:
                     out = np.zeros(int(double.sum()), _COPY)
                     out["doc"], out["line"], out["crc"] = docs_[double], numbers[double], crc[double]
@@ -581,17 +627,17 @@ def drop_repeated_lines(docs: DataFrame, t: tuple[int, int] = SIMILARITY, id_col
         for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             texts, counts, removed = [], [], []
             for text, gone_ in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
-                lines = [] if text is None else text.split("\n")
-                out = []
+                n, out = 0 if text is None else text.count("\n") + 1, []
                 if gone_ and text is not None:
+                    lines = text.split("\n")
                     # One number holds the line and the checksum.
                     marks = set(gone_)
                     hit = {x >> 32 for x in marks}
-                    out = [i for i in sorted(hit) if i < len(lines) and (i << 32) + zlib.crc32(lines[i].encode("utf-8", "replace")) in marks]
+                    out = [i for i in sorted(hit) if i < n and (i << 32) + zlib.crc32(lines[i].encode("utf-8", "replace")) in marks]
                     drop = set(out)
                     text = "\n".join([x for i, x in enumerate(lines) if i not in drop])
                 texts.append(text)
-                counts.append(len(lines))
+                counts.append(n)
                 removed.append(out)
             arrays = list(batch.columns[:len(names)])
             arrays[at] = pa.array(texts, pa.string())

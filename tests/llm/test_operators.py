@@ -518,3 +518,45 @@ def test_latin_texts_are_not_searched_for_scripts_without_blanks(monkeypatch):
     assert linededup._spaced(text) == text.lower() and linededup._spaced("ab漢字") == "ab 漢字 "
     monkeypatch.setattr(linededup, "_UNSPACED", None)
     assert linededup._spaced(text) == text.lower()
+
+
+def test_second_search_reads_only_lines_with_a_wanted_cell(spark):
+    def unread(text):
+        raise AssertionError("this line has no word in a wanted cell")
+
+    docs = spark.createDataFrame([(i, "one two three four five six\n" * 2, []) for i in range(3)], "doc_id long, text string, p array<int>")
+    levels, words = linededup.rarity(docs)
+    none = np.zeros(1 << (linededup.CELL_BITS - 3), np.uint8)
+    found = linededup.candidates(docs, levels, words, (4, 5), False, "doc_id", "text", "p", reader=linededup.Reader(unread), cells=none)
+    assert found.count() == 0
+
+
+def test_second_search_finds_the_lines_of_a_full_one(spark):
+    rng = np.random.default_rng(7)
+    # Few different words in long lines too: their cells are digests of the whole set.
+    extra = [" ".join(rng.choice(["ab", "cd", "ef"], rng.integers(1, 12))) for _ in range(40)]
+    rows = [(i, t + "\n" + extra[i % 40]) for i, t in noisy_lines()]
+    docs = spark.createDataFrame([(i, t, [n for n in range(5) if (i + n) % 4 == 0]) for i, t in rows], "doc_id long, text string, p array<int>")
+    levels, words = linededup.rarity(docs)
+    cells = linededup.probed_cells(docs, levels, (4, 5), "doc_id", "text", "p", 1)
+
+    def found(cells):
+        rows_ = linededup.candidates(docs, levels, words, (4, 5), False, "doc_id", "text", "p", min_words=1, cells=cells)
+        return {tuple(r) for r in rows_.select("doc", "line", "other_doc", "other_line").collect()}
+
+    want = found(None)
+    assert len(want) > 100 and any(line == 4 for _, line, _, _ in want) and found(cells) == want
+
+
+def test_entries_are_in_order_of_their_places():
+    rng = np.random.default_rng(8)
+    for doc in (rng.integers(0, 50, 2000), rng.choice([-1 << 63, -1, 0, (1 << 63) - 1], 2000)):
+        rows = {"cell": np.sort(rng.integers(0, 300, 2000)).astype(np.uint64), "doc": doc, "line": rng.integers(0, 9, 2000).astype(np.int32)}
+        got, want = linededup._by_place(rows), np.lexsort((rows["line"], doc, rows["cell"]))
+        assert all(np.array_equal(rows[c][got], rows[c][want]) for c in rows)
+    assert not len(linededup._by_place({c: np.zeros(0, np.int64) for c in ("cell", "doc", "line")}))
+
+
+def test_words_do_not_differ_by_case():
+    low, up = (linededup.words_of(["ab cd\n" + x, "é ab"])[0] for x in ("xyz", "XYZ"))
+    assert np.array_equal(low, up) and low[0] == linededup.words_of(["É AB"])[0][1] and len(set(low.tolist())) == 4
