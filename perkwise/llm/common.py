@@ -38,10 +38,25 @@ def give_back() -> None:
         trim(0)
 
 
-def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same function of batches, giving memory back when the task ends."""
+# What a worker process keeps from task to task, such as a tokenizer and the words it knows, by the name of the kind of tasks.
+KEPT: dict[str, dict] = {}
+
+
+def let_go(keeps: str | None = None) -> None:
+    """Drop what tasks of other kinds have kept."""
+    others = [name for name in KEPT if name != keeps]
+    for name in others:
+        KEPT.pop(name)
+    if others:
+        give_back()
+
+
+def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+         keeps: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of batches, giving memory back when the task ends; what is kept for tasks but those of ``keeps`` goes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(keeps)
         try:
             yield from function(batches)
         finally:

@@ -13,13 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkwise.llm.common import held_out, lean, row_key, windows
-from perkwise.session import stage
+from perkwise.llm.common import give_back, held_out, lean, let_go, row_key, windows
+from perkwise.session import small_batches, stage
 
 DIMENSIONS = 4096
 CENTROIDS = 4
@@ -29,6 +28,8 @@ ROUNDS = 12
 REJECT_QUANTILE = 0.001
 REJECT_SHARE = 0.5
 UNKNOWN = "und"
+# So many texts at once that the counts of their n-grams take a few megabytes.
+TEXTS_AT_ONCE = 64
 _LETTER = re.compile(r"[^\W\d_]")
 # ASCII letters stay, everything else of ASCII becomes a blank; bytes of other characters stay.
 _LETTERS_ONLY = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -73,11 +74,33 @@ def spherical_clusters(rows: np.ndarray, count: int, rounds: int = ROUNDS) -> np
     centroids = rows[chosen]
     for _ in range(rounds):
         own = np.argmax(rows @ centroids.T, axis=1)
-        sums = np.stack([rows[own == i].sum(axis=0) if (own == i).any() else c for i, c in enumerate(centroids)])
-        centroids = _unit(sums)
+        # Added up one by one: a copy of a cluster's rows may be as large as all of them.
+        sums = np.zeros_like(centroids)
+        for i, row in zip(own, rows):
+            sums[i] += row
+        centroids = _unit(np.where(np.isin(np.arange(len(centroids)), own)[:, None], sums, centroids))
     return centroids
 
 
+def sample_rows(sample: pa.Table, weights: np.ndarray) -> np.ndarray:
+    """The vectors of (places, values), in an order of their own; made row by row, so that there is one array of them."""
+    cells = [(p, v) for batch in sample.to_batches() for p, v in zip(
+        batch.column("places").to_numpy(zero_copy_only=False), batch.column("values").to_numpy(zero_copy_only=False))]
+    counts = np.zeros((1, DIMENSIONS), np.float32)
+
+    def vector(i: int) -> np.ndarray:
+        counts[:] = 0
+        counts[0, cells[i][0]] = cells[i][1]
+        return vectors(counts, weights)[0]
+
+    # The order of rows in a group follows the shuffle; the clusters must not.
+    order = np.lexsort(np.round([vector(i)[:64] for i in range(len(cells))], 9).T)
+    out = np.empty((len(cells), DIMENSIONS))
+    for to, i in enumerate(order):
+        out[to] = vector(i)
+    return out
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -131,25 +154,26 @@ def fit(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, centroids: int =
                 names=["lang", "places", "values"])
 
     rows = _training_rows(docs, id_col, text_col, lang_col, per_language)
-    sample = stage(rows.mapInArrow(count, "lang string, places array<int>, values array<float>"), "language-sample")
+    with small_batches(docs.sparkSession):
+        sample = stage(rows.mapInArrow(lean(count), "lang string, places array<int>, values array<float>"), "language-sample")
     total = sample.count()
     seen = np.zeros(DIMENSIONS)
     for place, n in sample.select(F.explode("places").alias("p")).groupBy("p").count().collect():
         seen[place] = n
     weights = np.log((1 + total) / (1 + seen)) + 1
 
-    def cluster(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros((len(group), DIMENSIONS), np.float32)
-        for i, (p, v) in enumerate(zip(group["places"], group["values"])):
-            counts[i, p] = v
-        # The order of rows in a group follows the shuffle; the clusters must not.
-        unit = vectors(counts, weights)
-        unit = unit[np.lexsort(np.round(unit[:, :64], 9).T)].astype(np.float64)
+    def cluster(group: pa.Table) -> pa.Table:
+        let_go()
+        unit = sample_rows(group, weights)
         found = spherical_clusters(unit, centroids)
         limit = REJECT_SHARE * float(np.quantile((unit @ found.T).max(axis=1), REJECT_QUANTILE))
-        return pd.DataFrame({"lang": key[0], "limit": limit, "centroid": [c.tolist() for c in found]})
+        lang = group.column("lang")[0].as_py()
+        del unit
+        give_back()
+        return pa.table({"lang": pa.array([lang] * len(found), pa.string()), "limit": pa.array([limit] * len(found)),
+                         "centroid": pa.array(found.tolist(), pa.list_(pa.float64()))})
 
-    found = (sample.groupBy("lang").applyInPandas(cluster, "lang string, limit double, centroid array<double>")
+    found = (sample.groupBy("lang").applyInArrow(cluster, "lang string, limit double, centroid array<double>")
              .toPandas().sort_values("lang", kind="stable"))
     languages = sorted(found["lang"].unique())
     owners = np.array([languages.index(x) for x in found["lang"]], np.int64)
@@ -172,8 +196,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
+            for start in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(start, TEXTS_AT_ONCE)
                 names, scores, rejected = shared.value.predict(batch.column(text_at).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)],

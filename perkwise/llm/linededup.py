@@ -362,9 +362,11 @@ def probed_cells(docs: DataFrame, levels: np.ndarray, t: tuple[int, int], id_col
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()])], names=["slice", "bits"])
 
     # Crowded cells are cut by their places later on, so they keep their own numbers here.
-    sent = entries(docs, levels, 1, t, id_col, text_col, probes, 1 << 62, min_words, reader, None)
+    rows, send = _sender(docs, levels, 1, t, id_col, text_col, probes, 1 << 62, min_words, reader, None)
     table = np.zeros((SLICES, (1 << (CELL_BITS - 3)) // SLICES), np.uint8)
-    for r in sent.mapInArrow(lean(mark), "slice int, bits binary").repartition(8, "slice").mapInArrow(lean(join), "slice int, bits binary").collect():
+    # Both in one worker: two functions one after the other take two workers a task, which stay and fill up with each stage.
+    marked = rows.mapInArrow(lean(lambda batches: mark(send(batches))), "slice int, bits binary")
+    for r in marked.repartition(8, "slice").mapInArrow(lean(join), "slice int, bits binary").collect():
         table[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
     return table.reshape(-1)
 
@@ -372,6 +374,14 @@ def probed_cells(docs: DataFrame, levels: np.ndarray, t: tuple[int, int], id_col
 def entries(docs: DataFrame, levels: np.ndarray, targets: int, t: tuple[int, int], id_col: str, text_col: str, probes: str | None,
             crowded: int, min_words: int, reader: Reader, cells: np.ndarray | None) -> DataFrame:
     """(target, rows, certain): packed entries of the lines' prefixes, and lines whose words came earlier in the same task."""
+    rows, send = _sender(docs, levels, targets, t, id_col, text_col, probes, crowded, min_words, reader, cells)
+    return rows.mapInArrow(lean(send), "target int, rows binary, certain boolean")
+
+
+def _sender(docs: DataFrame, levels: np.ndarray, targets: int, t: tuple[int, int], id_col: str, text_col: str, probes: str | None,
+            crowded: int, min_words: int, reader: Reader, cells: np.ndarray | None
+            ) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+    """The rows that ``entries`` reads, and what makes its rows of their batches."""
     table = docs.sparkSession.sparkContext.broadcast((levels, cells))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,7 +499,7 @@ def entries(docs: DataFrame, levels: np.ndarray, targets: int, t: tuple[int, int
         yield from flush()
 
     columns = [id_col, text_col] + ([probes] if probes else [])
-    return docs.select(*columns).mapInArrow(lean(send), "target int, rows binary, certain boolean")
+    return docs.select(*columns), send
 
 
 def _grid(rows: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perkwise.llm import common
 from perkwise.llm.common import lean, windows
 from perkwise.session import small_batches, stage
 
@@ -147,15 +148,16 @@ class WordTokenizer:
         return np.frombuffer(b"".join(blobs), np.int32), np.fromiter((len(b) // 4 for b in blobs), np.int64, len(blobs))
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENS = "tokens"
 
 
 def worker_tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer for all tasks of a worker process, so that what it has learned is used again."""
+    """One tokenizer for all tasks of a worker process, so that what it has learned is used again; tasks of other kinds drop it."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    kept = common.KEPT.setdefault(_TOKENS, {})
+    if path not in kept:
+        kept[path] = WordTokenizer(path)
+    return kept[path]
 
 
 def rest_cuts(rest: int, smallest: int = SMALLEST_CUT) -> list[int]:
@@ -274,7 +276,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 first = last
 
     schema = f"`{id_col}` {key}, start long, ids binary, n int, doc_tokens long, whole boolean, uid long"
-    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run, _TOKENS), schema)
 
 
 def pack_bytes(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block_windows: int = BLOCK_WINDOWS,

@@ -1,15 +1,17 @@
 """The corpus operators on small frames: brute force, round trips, and the odd rows that tables hold."""
 
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from checks.compare import connect, differences
-from perkwise.llm import ann, extraction, langid, linededup, mixing, packing, queries, secrets, shinglejoin, simhash, topk, toxicity
+from perkwise.llm import ann, common, extraction, langid, linededup, mixing, packing, queries, secrets, shinglejoin, simhash, topk, toxicity
 from perkwise.llm.components import stars
 
 SCHEMA = "doc_id long, text string, lang string, source string, extra string"
@@ -216,6 +218,58 @@ def test_languages(spark, odd):
     assert {r.lang_pred for r in langid.identify(odd, empty).collect()} == {"und"}
 
 
+def peak(function):
+    """Result and largest number of bytes held meanwhile beyond those held before."""
+    tracemalloc.start()
+    try:
+        return function(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_languages_are_learned_from_one_array_of_vectors():
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 3, (500, langid.DIMENSIONS)).astype(np.float32)
+    places = [np.flatnonzero(c).astype(np.int32) for c in counts]
+    sample = pa.table({"lang": ["en"] * 500, "places": places, "values": [c[p] for c, p in zip(counts, places)]})
+    weights = rng.random(langid.DIMENSIONS) + 1
+    unit = langid.vectors(counts, weights)
+    unit = unit[np.lexsort(np.round(unit[:, :64], 9).T)]
+    # Clusters as they were computed before, from copies of the rows of each.
+    own = langid.spherical_clusters(unit, 3, rounds=0)
+    near = np.argmax(unit @ own.T, axis=1)
+    own = langid._unit(np.stack([unit[near == i].sum(axis=0) for i in range(3)]))
+    got, held = peak(lambda: langid.spherical_clusters(unit, 3, rounds=1))
+    assert np.array_equal(got, own) and held < unit.nbytes / 4
+    rows, held = peak(lambda: langid.sample_rows(sample, weights))
+    assert np.array_equal(rows, unit) and held < 2 * unit.nbytes
+
+
+def test_a_worker_drops_what_other_tasks_have_kept():
+    path = queries.tokenizer_path()
+    kept = packing.worker_tokenizer(path)
+    list(common.lean(iter, "tokens")([]))
+    assert packing.worker_tokenizer(path) is kept
+    list(common.lean(iter)([]))
+    assert not common.KEPT and packing.worker_tokenizer(path) is not kept
+
+
+def test_cells_to_look_into_take_one_worker_a_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, EN[i % 2], [0]) for i in range(6)], "doc_id long, text string, probes array<int>")
+    kind, plans = type(docs), []
+    plain = kind.mapInArrow
+
+    def noted(self, *args):
+        plans.append(self._jdf.queryExecution().optimizedPlan().toString())
+        return plain(self, *args)
+
+    monkeypatch.setattr(kind, "mapInArrow", noted)
+    bits = linededup.probed_cells(docs, np.full(linededup.BUCKETS, 3, np.uint8), (4, 5), "doc_id", "text", "probes", 1)
+    assert bits.any() and len(plans) == 2
+    # Between one Python function and the next is an exchange.
+    assert all("MapInArrow" not in plan or "Repartition" in plan.partition("MapInArrow")[0] for plan in plans)
+
+
 def repeated(rows):
     lines = [(i, n, {w for w in re.split(r"[ \t\r\v\f]+", x.lower()) if w}) for i, t in sorted(rows) for n, x in enumerate(t.split("\n"))]
     out = set()
