@@ -1,10 +1,13 @@
+import gzip
 import json
+from datetime import datetime
 from pathlib import Path
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import checks
 from perkwise import schemas
 from perkwise.session import small_batches
 from perkwise.sources import generators as gen, tables
@@ -42,6 +45,31 @@ def test_embedding_lines(spark, tmp_path):
     assert json.loads(part.read_text()) == {"id": "7", "embedding": [0.5, 1.0]}
 
 
+def test_pairs_are_written_as_packed_lines(spark, tmp_path):
+    kinds, start = ("error", "click", "view"), datetime(2024, 1, 1)
+    events = [(i, start, i % 40, kinds[i % 3], 1.0, json.dumps({"k": 1 + i % 2})) for i in range(600)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(
+        str(tmp_path / "events.parquet"))
+    checks.load()
+    pairs = checks.QUERIES["src6_pairs_json_lines"](spark, str(tmp_path))
+    texts = checks.QUERIES["fbk7_pair_texts"](spark, str(tmp_path))
+    assert pairs.exceptAll(texts).isEmpty() and texts.exceptAll(pairs).isEmpty() and pairs.count() > 5000
+    files = [Path(f.removeprefix("file://")) for f in pairs.inputFiles()]
+    lines = [json.loads(x) for f in files for x in gzip.decompress(f.read_bytes()).splitlines()]
+    assert sorted((x["prompt"], x["chosen"], x["rejected"]) for x in lines) == sorted(map(tuple, pairs.collect()))
+    assert sum(f.stat().st_size for f in files) < sum(len(json.dumps(x)) for x in lines) / 15
+
+
+def test_packed_lines_keep_nulls_and_are_cut_into_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(tables._PACKED, "maxRecordsPerFile", 4)
+    frame = spark.createDataFrame([(i, None if i % 3 else "é\n") for i in range(10)], "a int, b string").coalesce(1)
+    tables.write_json_lines(frame, str(tmp_path / "l"), packed=True)
+    files = sorted((tmp_path / "l").glob("part-*.json.gz"))
+    found = [[json.loads(x) for x in gzip.decompress(f.read_bytes()).splitlines()] for f in files]
+    assert sorted(map(len, found)) == [2, 4, 4]
+    assert sorted((x["a"], x["b"]) for f in found for x in f) == sorted(map(tuple, frame.collect()))
+
+
 def test_scores_stay_in_range(spark):
     got = gen.generate_scores(spark.range(2000), 0.55, 0.18).agg(F.min("score"), F.max("score"), F.avg("score"), F.stddev("score")).first()
     assert got[0] >= 0.0 and got[1] <= 1.0 and got[2] == pytest.approx(0.55, abs=0.02) and got[3] == pytest.approx(0.18, abs=0.02)
